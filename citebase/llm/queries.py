@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citebase.llm import canonical
+from citebase.llm import canonical, pairs
 from citebase.session import table
 
 
@@ -11,5 +11,10 @@ def p2_found(spark, sf_dir):
     return canonical.map_claims(table(spark, sf_dir, "answer_claims"), table(spark, sf_dir, "products"), table(spark, sf_dir, "spec_attributes"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p4_found(spark, sf_dir):
+    """Every defective answer with its defect."""
+    return pairs.find_defects(table(spark, sf_dir, "visibility_answers"), table(spark, sf_dir, "prompts"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
 ORACLE: dict[str, str] = {}
