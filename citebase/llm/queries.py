@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citebase.llm import canonical, pairs
+from citebase.llm import canonical, leaks, pairs, spam
 from citebase.session import table
 
 
@@ -16,5 +16,15 @@ def p4_found(spark, sf_dir):
     return pairs.find_defects(table(spark, sf_dir, "visibility_answers"), table(spark, sf_dir, "prompts"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
+def p7_found(spark, sf_dir):
+    """Every document and the evaluation items it leaks."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark, sf_dir):
+    """Every page of keywords, links or tags."""
+    return spam.find_spam(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
