@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citebase.llm import canonical, leaks, pairs, spam
+from citebase.llm import canonical, leaks, listings, pairs, spam
 from citebase.session import table
 
 
@@ -16,6 +16,16 @@ def p4_found(spark, sf_dir):
     return pairs.find_defects(table(spark, sf_dir, "visibility_answers"), table(spark, sf_dir, "prompts"))
 
 
+def p5_groups(spark, sf_dir):
+    """Every listing with its product group and its number of links."""
+    return listings.group_listings(table(spark, sf_dir, "product_listings"), table(spark, sf_dir, "extraction_runs"))
+
+
+def p5_found(spark, sf_dir):
+    """Every pair of listings of the same product."""
+    return listings.same_product_pairs(p5_groups(spark, sf_dir))
+
+
 def p7_found(spark, sf_dir):
     """Every document and the evaluation items it leaks."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -26,5 +36,5 @@ def p8_found(spark, sf_dir):
     return spam.find_spam(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_groups": p5_groups, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
