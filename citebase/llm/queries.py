@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from citebase.llm import canonical, leaks, listings, pairs, spam
+from citebase.llm import canonical, leaks, listings, packing, pairs, spam, splitting
 from citebase.session import table
 
 
+def p1_pieces(spark, sf_dir):
+    """Every piece of the chunks and page tables over 800 tokens."""
+    items = splitting.oversized_items(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "document_pages"))
+    return splitting.split_items(items)
+
+
+def p1_found(spark, sf_dir):
+    """Every item over 800 tokens, one row for each that was split."""
+    return p1_pieces(spark, sf_dir).where("piece_index = 0").select("item_kind", "item_id", "item_index")
+
+
 def p2_found(spark, sf_dir):
     """Every entered product name and spec key that is no list entry, with the entry meant or ``unmatched``."""
     return canonical.map_claims(table(spark, sf_dir, "answer_claims"), table(spark, sf_dir, "products"), table(spark, sf_dir, "spec_attributes"))
@@ -26,6 +37,11 @@ def p5_found(spark, sf_dir):
     return listings.same_product_pairs(p5_groups(spark, sf_dir))
 
 
+def p6_containers(spark, sf_dir):
+    """Every text in a container of each capacity."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
+
+
 def p7_found(spark, sf_dir):
     """Every document and the evaluation items it leaks."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -36,5 +52,15 @@ def p8_found(spark, sf_dir):
     return spam.find_spam(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_groups": p5_groups, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
+    "p6_containers": p6_containers,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
+}
 ORACLE: dict[str, str] = {}
