@@ -42,3 +42,31 @@ def one_edit(a: Column, b: Column) -> Column:
     """One insertion, deletion or substitution, or two neighbours swapped (given a shared deletion form)."""
     chars = lambda c: F.array_sort(F.split(c, ""))
     return (F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & (chars(a) == chars(b)))
+
+
+def slug(*parts: Column) -> Column:
+    """Lower-case ascii words joined by hyphens; ``product`` when nothing is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(fold(F.concat_ws(" ", *parts)), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit("")), F.lit("product"))
+
+
+def mention_offset(text: Column, needles: list[str]) -> Column:
+    """Earliest 0-based offset of any needle in the text, case aside; null where none occurs or none is given."""
+    found = [F.nullif(F.instr(F.lower(text), n), F.lit(0)) for n in dict.fromkeys(x.strip().lower() for x in needles if x and x.strip())]
+    if not found:
+        return F.lit(None).cast("bigint")
+    return ((F.least(*found) if len(found) > 1 else found[0]) - 1).cast("bigint")
+
+
+def own_brand(claimed: Column, audited: str) -> Column:
+    """Equality or containment either way of the normalised names, both non-empty."""
+    a, b = normalize(claimed), F.lit(" ".join(audited.lower().split()))
+    return F.coalesce((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)), F.lit(False))
+
+
+def preview(c: Column, width: int = 80) -> Column:
+    return F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 3), F.lit("..."))).otherwise(c)
+
+
+def token_count(c: Column) -> Column:
+    """Words parted by white space, at least 1."""
+    return F.greatest(F.lit(1), F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != ""))).cast("bigint")

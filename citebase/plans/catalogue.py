@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from citebase.plans import facts  # noqa: F401  (registers its queries)
+from citebase.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
