@@ -8,7 +8,7 @@ from citebase.session import table
 
 def p1_pieces(spark, sf_dir):
     """Every piece of the chunks and page tables over 800 tokens."""
-    items = splitting.oversized_items(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "document_pages"))
+    items = splitting.long_items(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "document_pages"))
     return splitting.split_items(items)
 
 

@@ -2,14 +2,13 @@
 
 Lexical-cohesion segmentation: at every sentence, line or row end the words of the blocks before and after are compared;
 valleys of their similarity mark topic boundaries. Each piece ends at the deepest valley of its size window, and the next
-one repeats the last tokens of the piece before it. A token is a run of characters other than white space.
+one repeats the last tokens of the piece before it. A token is a run of characters other than white space (no-break and narrow spaces are white space too), which is what ``str.split`` parts at.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,36 +17,52 @@ from pyspark.sql import functions as F
 #: Tokens of a piece at most, tokens repeated from the piece before, tokens of a comparison block.
 LIMIT, OVERLAP, BLOCK = 800, 120, 60
 
-#: White space, no-break and narrow spaces included.
-SPACE = "\t\n\x0b\x0c\r\x1c-\x20\x85\xa0  -     　"
-_TOKEN = re.compile(f"[^{SPACE}]+")
 _SENTENCE_END = re.compile(r"[.!?:;。…][\"'”’»)\]*_]*$")
-_JAVA_TOKEN = r"[^\t\n\x0B\f\r\x1C-\x20\x85\xA0  -     　]+"
-
-
-def token_count(c: Column) -> Column:
-    """Tokens of a text; 0 for null."""
-    return F.coalesce(F.regexp_count(c, F.lit(_JAVA_TOKEN)), F.lit(0))
+_PUNCTUATION = ".,;:!?()[]{}\"'“”„’‘«»*_#|-–—/"
 
 
 def cohesion_depths(words: list[str], gaps: list[int], block: int = BLOCK) -> list[float]:
-    """Depth of the similarity valley at each gap (a position between words): how far similarity rises on both sides."""
-    similar = []
-    for g in gaps:
-        left, right = Counter(words[max(0, g - block) : g]), Counter(words[g : g + block])
-        dot = sum(n * right[w] for w, n in left.items() if w in right)
-        norm = math.sqrt(sum(n * n for n in left.values()) * sum(n * n for n in right.values()))
-        similar.append(dot / norm if norm else 0.0)
+    """Depth of the similarity valley at each gap (a position between words): how far similarity rises on both sides.
+
+    Two sliding blocks: moving a gap by a word changes three counts, so the cost grows with the words only.
+    """
+    numbers: dict[str, int] = {}
+    ids = [numbers.setdefault(w, len(numbers)) for w in words]
+    n, wanted, similar = len(ids), set(gaps), []
+    left, right = [0] * len(numbers), [0] * len(numbers)
+    dot = left2 = right2 = 0
+    for w in ids[:block]:
+        right2 += 2 * right[w] + 1
+        right[w] += 1
+    for g in range(1, n):
+        w = ids[g - 1]  # crosses from the right block to the left one
+        dot += right[w] - left[w] - 1
+        right2 -= 2 * right[w] - 1
+        left2 += 2 * left[w] + 1
+        right[w] -= 1
+        left[w] += 1
+        if g > block:
+            w = ids[g - block - 1]
+            dot -= right[w]
+            left2 -= 2 * left[w] - 1
+            left[w] -= 1
+        if g + block <= n:
+            w = ids[g + block - 1]
+            dot += left[w]
+            right2 += 2 * right[w] + 1
+            right[w] += 1
+        if g in wanted:
+            similar.append(dot / math.sqrt(left2 * right2))
     depths = []
     for k, s in enumerate(similar):
-        left = right = s
+        before = after = s
         i = k - 1
-        while i >= 0 and similar[i] >= left:
-            left, i = similar[i], i - 1
+        while i >= 0 and similar[i] >= before:
+            before, i = similar[i], i - 1
         i = k + 1
-        while i < len(similar) and similar[i] >= right:
-            right, i = similar[i], i + 1
-        depths.append(left - s + right - s)
+        while i < len(similar) and similar[i] >= after:
+            after, i = similar[i], i + 1
+        depths.append(before - s + after - s)
     return depths
 
 
@@ -57,32 +72,38 @@ def split_tokens(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
     A piece holds at most ``limit`` tokens and, but for the first, begins with the last ``overlap`` tokens of the one
     before. Where a window has no natural boundary the piece is filled to the limit.
     """
-    spans = [m.span() for m in _TOKEN.finditer(text)]
-    n = len(spans)
+    tokens = text.split()
+    n = len(tokens)
     if n <= limit:
         return [(0, n, 0, len(text))] if n else []
     overlap = min(overlap, limit - 1)
+    starts, ends, at = [], [], 0
+    for t in tokens:
+        at = text.index(t, at)
+        starts.append(at)
+        at += len(t)
+        ends.append(at)
     gaps, strength = [], []
     for k in range(1, n):
-        between = text[spans[k - 1][1] : spans[k][0]]
-        lines = between.count("\n") + between.count(" ") or between.count("\r")
-        if lines:
-            gaps.append(k), strength.append(0.2 if lines > 1 else 0.1)
-        elif _SENTENCE_END.search(text[spans[k - 1][0] : spans[k - 1][1]]):
+        if starts[k] - ends[k - 1] > 1 or text[ends[k - 1]] != " ":
+            between = text[ends[k - 1] : starts[k]]
+            lines = between.count("\n") + between.count("\u2028") or between.count("\r")
+            if lines:
+                gaps.append(k), strength.append(0.2 if lines > 1 else 0.1)
+                continue
+        if not tokens[k - 1][-1].isalnum() and _SENTENCE_END.search(tokens[k - 1]):
             gaps.append(k), strength.append(0.0)
-    words = [re.sub(r"\W+", "", text[a:b].lower()) for a, b in spans]
+    words = [t.strip(_PUNCTUATION).lower() for t in tokens]
     score = dict(zip(gaps, (d + s for d, s in zip(cohesion_depths(words, gaps), strength))))
     pieces, start, done = [], 0, 0
-    while True:
-        if n - start <= limit:
-            pieces.append((start, n))
-            break
+    while n - start > limit:
         top = start + limit
         window = [g for g in range(max(done + 1, (done + top) // 2), top + 1) if g in score] or [g for g in range(done + 1, top + 1) if g in score and g > start + overlap]
         end = max(window, key=lambda g: (score[g], g)) if window else top
         pieces.append((start, end))
         start, done = max(end - overlap, start + 1), end
-    return [(a, b, spans[a][0] if a else 0, spans[b - 1][1] if b < n else len(text)) for a, b in pieces]
+    pieces.append((start, n))
+    return [(a, b, starts[a] if a else 0, ends[b - 1] if b < n else len(text)) for a, b in pieces]
 
 
 def table_text(rows: Column) -> Column:
@@ -91,11 +112,12 @@ def table_text(rows: Column) -> Column:
     return F.array_join(F.transform(rows, cells), "\n")
 
 
-def oversized_items(chunks: DataFrame, pages: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(item_kind, item_id, item_index, heading_path, text) of the chunks and page tables over the limit.
+def long_items(chunks: DataFrame, pages: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(item_kind, item_id, item_index, heading_path, text) of the chunks and page tables that may exceed the limit.
 
-    Counted from the text itself, as stored counts may be null or wrong; a heading path is kept only if the text begins
-    with its last heading or whole path.
+    A text of more tokens has at least twice as many characters less one, so shorter ones are dropped before they reach
+    Python; tokens themselves are counted there, as stored counts may be null or wrong. A heading path is kept only if the
+    text begins with it.
     """
     path = F.col("heading_path")
     head = F.regexp_replace(F.lower(F.substring("content", 1, 2000)), r"[^\p{L}\p{N}]+", "")
@@ -103,11 +125,12 @@ def oversized_items(chunks: DataFrame, pages: DataFrame, limit: int = LIMIT) ->
     a = chunks.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.lit(0).alias("item_index"), known.alias("heading_path"), F.col("content").alias("text"))
     tables = pages.select("page_id", F.posexplode("page_tables").alias("item_index", "t"))
     b = tables.select(F.lit("table").alias("item_kind"), F.col("page_id").alias("item_id"), "item_index", F.lit(None).cast("array<string>").alias("heading_path"), table_text(F.col("t.rows")).alias("text"))
-    return a.unionByName(b).where(token_count(F.col("text")) > limit)
+    return a.unionByName(b).where(F.length("text") > 2 * limit)
 
 
 def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """One row for each piece: item_kind, item_id, item_index, piece_index, first_token, token_count, heading_path, content.
+    """One row for each piece of the items over the limit: item_kind, item_id, item_index, piece_index, first_token,
+    token_count, heading_path, content.
 
     Joined without their repeated tokens, the pieces give the text back character for character. Null and blank texts give
     no piece. One narrow map; an item is one text, so no task holds more than its rows.
@@ -118,7 +141,8 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
         for b in batches:
             out = [[] for _ in range(8)]
             for kind, i, index, path, text in zip(*(b.column(k).to_pylist() for k in range(5))):
-                for p, (first, end, a, z) in enumerate(split_tokens(text, limit, overlap) if text else ()):
+                pieces = split_tokens(text, limit, overlap) if text else ()
+                for p, (first, end, a, z) in enumerate(pieces if len(pieces) > 1 else ()):
                     for column, value in zip(out, (kind, i, index, p, first, end - first, path, text[a:z])):
                         column.append(value)
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
