@@ -45,8 +45,10 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def slug(*parts: Column) -> Column:
-    """Lower-case ascii words joined by hyphens; ``product`` when nothing is left."""
-    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(fold(F.concat_ws(" ", *parts)), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit("")), F.lit("product"))
+    """Lower-case ascii words joined by hyphens; ``product`` when nothing is left. Letters without an ascii base are dropped."""
+    plain = F.translate(F.lower(F.concat_ws(" ", *parts)), ACCENTED + SUPERSCRIPTS, BASE + DIGITS)
+    ascii_ = F.regexp_replace(F.replace(plain, F.lit("™"), F.lit("tm")), r"[^\x00-\x7F]", "")
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(ascii_, "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit("")), F.lit("product"))
 
 
 def mention_offset(text: Column, needles: list[str]) -> Column:

@@ -190,7 +190,7 @@ def verify_claims(spark, d):
     return out.select("answer_claim_id", "ok", "reason", F.round("value_numeric", 6).alias("value_numeric"), "unit")
 
 
-@query("""with c as (select l_orderkey * 10 + l_linenumber as claim_id, case when l_partkey % 50 <> 0 then l_partkey end as product_id, case when l_linenumber % 2 = 1 then 'size' else 'lot' end as spec_key, l_quantity as v, p.p_size as size, p.p_size % 25 + 1 as lot
+@query("""with c as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::int) as claim_id, case when l_partkey % 50 <> 0 then l_partkey end as product_id, case when l_linenumber % 2 = 1 then 'size' else 'lot' end as spec_key, l_quantity as v, p.p_size as size, p.p_size % 25 + 1 as lot
 from lineitem l left join part p on p.p_partkey = l.l_partkey and l.l_partkey % 50 <> 0)
 select claim_id, case when product_id is null then 'unverifiable_product' when (spec_key = 'size' and size > 45) or size is null then 'unverifiable_spec'
 when spec_key = 'size' and abs(v - size) <= 2 then 'correct' when spec_key = 'lot' and v = lot then 'correct'
@@ -201,7 +201,7 @@ def claim_verdicts(spark, d):
     n = lambda c, t: F.lit(None).cast(t).alias(c)
     rest = [n("value_numeric_max", "double"), n("value_text", "string"), n("value_bool", "boolean"), n("value_enum", "string")]
     claims = table(spark, d, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.when(F.col("l_partkey") % 50 != 0, F.col("l_partkey")).alias("product_id"), F.when(F.col("l_linenumber") % 2 == 1, "size").otherwise("lot").alias("spec_key"), F.col("l_quantity").alias("value_numeric"), *rest
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("claim_id"), F.when(F.col("l_partkey") % 50 != 0, F.col("l_partkey")).alias("product_id"), F.when(F.col("l_linenumber") % 2 == 1, "size").otherwise("lot").alias("spec_key"), F.col("l_quantity").alias("value_numeric"), *rest
     )
     attributes = spark.createDataFrame([("size", "numeric", 2.0, ["ghost", "lot"]), ("lot", "numeric", 0.0, ["size"])], "spec_key string, data_type string, comparison_tolerance double, confusable_with array<string>")
     p = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_size").cast("double").alias("s"))
