@@ -31,6 +31,14 @@ def normalize(c: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.translate(c, "‑–— ", "--- "), r"\s+", " ")))
 
 
+def quoted(page: Column, snippet: Column) -> Column:
+    """Whether a snippet stands in a page after normalising both; null if either is null.
+
+    A snippet that stands there as it is also does normalised, so most rows never normalise a page.
+    """
+    return F.when(F.contains(page, snippet), F.lit(True)).otherwise(F.contains(normalize(page), normalize(snippet)))
+
+
 def deletions(c: Column) -> Column:
     """The text itself and every text with one character left out: two texts one edit apart share an entry."""
     n = F.length(c)

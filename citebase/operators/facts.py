@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citebase.functions.numbers import digits_within, six_digits
 from citebase.functions.similarity import jaccard, trigrams
-from citebase.functions.text import normalize, slug
+from citebase.functions.text import normalize, quoted, slug
 from citebase.operators.relational import supersede_chain
 
 #: Least similarity of a possible duplicate and of a resolved product.
@@ -42,17 +42,17 @@ def verify_claims(claims: DataFrame, ranges: DataFrame) -> DataFrame:
         F.when(silent, None)
         .when(cited & (F.coalesce("source_snippet", F.lit("")) == "") | cited & F.col("page_number").isNull(), "no citation")
         .when(cited & F.col("page_text").isNull(), "no page text")
-        .when(cited & ~F.contains(normalize(F.col("page_text")), normalize(F.col("source_snippet"))), "not verbatim")
+        .when(cited & ~quoted(F.col("page_text"), F.col("source_snippet")), "not verbatim")
         .when(cited & (value_count() != 1), "not one value")
         .when(digits_missing("value_numeric"), "digits not in quote")
         .when(F.col("value_numeric").isNotNull() & digits_missing("value_numeric_max"), "upper digits not in quote")
         .when(outside(value) | outside(upper), "implausible")
     )
     keep = lambda x: F.when(~silent, x)
-    return c.select(
+    return c.withColumn("reason", reason).select(
         *(x for x in claims.columns if x not in ("value_numeric", "value_numeric_max", "unit", "derivation_note", "page_text", "value_text", "value_bool", "value_enum")),
-        reason.isNull().alias("ok"),
-        reason.alias("reason"),
+        F.col("reason").isNull().alias("ok"),
+        "reason",
         keep(value).alias("value_numeric"),
         keep(upper).alias("value_numeric_max"),
         keep(F.when(F.col("_factor").isNotNull(), F.col("target_unit")).otherwise(F.col("unit"))).alias("unit"),
@@ -69,7 +69,7 @@ def admit_claims(claims: DataFrame, attributes: DataFrame) -> DataFrame:
     """
     c = claims.join(attributes.select("spec_key", "data_type"), "spec_key", "left")
     quote = normalize(F.coalesce("source_quote", F.lit("")))
-    verbatim = (quote != "") & F.contains(normalize(F.coalesce("answer_text", F.lit(""))), quote)
+    verbatim = (quote != "") & F.coalesce(quoted(F.col("answer_text"), F.col("source_quote")), F.lit(False))
     typed = (
         F.when(F.col("data_type").isin("numeric", "numeric_range"), F.col("value_numeric").isNotNull())
         .when(F.col("data_type") == "boolean", F.col("value_bool").isNotNull())
@@ -137,16 +137,18 @@ def diff_claims(claims: DataFrame, attributes: DataFrame, truth: DataFrame) -> D
     return out.select("claim_id", verdict.alias("verdict"), F.when(verdict == "likely_confusion", F.col("confused")).alias("confusable_key"))
 
 
-def persist_claims(log: DataFrame, keys: list[str], order: list[str], id_column: str, values: list[str]) -> DataFrame:
+def persist_claims(log: DataFrame, keys: list[str], order: list[str], id_column: str, values: list[str], slices: Column | None = None) -> DataFrame:
     """What becomes of each verified claim in order: ``insert``, ``supersede`` or ``no-op``, and the chain of those kept.
 
-    A claim equal to the one before it in all values changes nothing; unit and confidence play no part.
+    A claim equal to the one before it in all values changes nothing; unit and confidence play no part. ``slices`` spreads
+    busy keys, as in the chain.
     """
-    changes = supersede_chain(log, keys, order, id_column, values)
-    kept = supersede_chain(changes.where("is_change").drop("superseded_by", "is_current", "is_change"), keys, order, id_column)
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    stored = kept.withColumn("action", F.when(number == 1, "insert").otherwise("supersede"))
-    noop = changes.where("not is_change").drop("is_change").withColumn("superseded_by", F.lit(None).cast(log.schema[id_column].dataType)).withColumn("is_current", F.lit(False)).withColumn("action", F.lit("no-op"))
+    marks = ["superseded_by", "is_current", "is_first"]
+    changes = supersede_chain(log, keys, order, id_column, values, slices)
+    kept = supersede_chain(changes.where("is_change").drop(*marks, "is_change"), keys, order, id_column, slices=slices)
+    stored = kept.withColumn("action", F.when(F.col("is_first"), "insert").otherwise("supersede"))
+    same = changes.where("not is_change").drop("is_change")
+    noop = same.withColumns({"superseded_by": F.lit(None).cast(log.schema[id_column].dataType), "is_current": F.lit(False), "is_first": F.lit(False), "action": F.lit("no-op")})
     return stored.unionByName(noop)
 
 

@@ -35,17 +35,33 @@ def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
-def supersede_chain(log: DataFrame, keys: Sequence[str], order: Sequence[str], id_column: str, values: Sequence[str] = ()) -> DataFrame:
-    """Each row with ``superseded_by`` (the next row of its key), ``is_current`` and, given value columns, ``is_change``.
+def supersede_chain(log: DataFrame, keys: Sequence[str], order: Sequence[str], id_column: str, values: Sequence[str] = (), slices: Column | None = None) -> DataFrame:
+    """Each row with ``superseded_by`` (the next row of its key), ``is_current``, ``is_first`` and, given values, ``is_change``.
 
-    One shuffle by key serves both neighbours. A row whose values equal those before it (nulls alike) is no change.
+    A row whose values equal those before it (nulls alike) is no change. ``slices`` is a column that never falls along the
+    order (a day of its time): windows then run within key and slice, and the ends of the slices are joined by their
+    summaries, so a key that holds any share of the rows is spread over its slices.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = log.withColumn("superseded_by", F.lead(id_column).over(w)).withColumn("is_current", F.lead(id_column).over(w).isNull())
+    now = F.struct(*values) if values else F.struct(F.lit(1))
+    sliced = log.withColumn("_slice", F.lit(0) if slices is None else slices)
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    out = sliced.withColumn("_next", F.lead(id_column).over(w)).withColumn("_before", F.lag(F.struct(now.alias("v"))).over(w))
+    if slices is None:
+        out = out.withColumn("_first", F.lit(None).cast(log.schema[id_column].dataType)).withColumn("_last", F.col("_before"))
+    else:
+        ends = sliced.groupBy(*keys, "_slice").agg(F.min_by(id_column, F.struct(*order)).alias("_a"), F.max_by(F.struct(now.alias("v")), F.struct(*order)).alias("_z"))
+        v = Window.partitionBy(*keys).orderBy("_slice")
+        ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_s"), F.lead("_a").over(v).alias("_first"), F.lag("_z").over(v).alias("_last"))
+        same = F.col("_slice").eqNullSafe(F.col("_s"))
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = out.join(ends, same)
+    before = F.coalesce("_before", "_last")
+    following = F.coalesce("_next", "_first")
+    out = out.withColumn("superseded_by", following).withColumn("is_current", following.isNull())
     if values:
-        before, now = F.lag(F.struct(*values)).over(w), F.struct(*values)
-        out = out.withColumn("is_change", before.isNull() | ~before.eqNullSafe(now))
-    return out
+        out = out.withColumn("is_change", before.isNull() | ~before["v"].eqNullSafe(now))
+    return out.select(*log.columns, "superseded_by", "is_current", *(["is_change"] if values else []), before.isNull().alias("is_first"))
 
 
 def orphan_keys(log: DataFrame, keys: Sequence[str], current: Column, order: Sequence[str], id_column: str) -> DataFrame:
@@ -65,8 +81,11 @@ def rates_by(rows: DataFrame, group: str, hit: Column, counted: Column | None =
     """
     counted = F.lit(True) if counted is None else counted
     flags = rows.select(F.coalesce(F.col(group).cast("string"), F.lit("unknown")).alias(group), F.coalesce(hit & counted, F.lit(False)).alias("_hit"), F.coalesce(counted, F.lit(False)).alias("_counted"))
-    sets = flags.groupingSets([[F.col(group)], []], F.col(group)).agg(F.count_if("_hit").alias("hits"), F.count_if("_counted").alias("total"), F.grouping_id().alias("_g"))
-    return sets.select(F.when(F.col("_g") == 0, F.col(group)).otherwise(F.lit(label)).alias(group), "hits", "total", F.round(rate(F.col("hits"), F.col("total")), 6).alias("rate"))
+    # a row that counts for nothing keeps the overall row where there is no other
+    none = rows.sparkSession.range(1).select(F.lit("").alias(group), F.lit(False).alias("_hit"), F.lit(False).alias("_counted"), F.lit(False).alias("_real"))
+    flags = flags.withColumn("_real", F.lit(True)).unionByName(none)
+    sets = flags.groupingSets([[F.col(group)], []], F.col(group)).agg(F.count_if("_hit").alias("hits"), F.count_if("_counted").alias("total"), F.grouping_id().alias("_g"), F.bool_or("_real").alias("_real"))
+    return sets.where("_g <> 0 or _real").select(F.when(F.col("_g") == 0, F.col(group)).otherwise(F.lit(label)).alias(group), "hits", "total", F.round(rate(F.col("hits"), F.col("total")), 6).alias("rate"))
 
 
 def ancestors(tree: DataFrame, max_depth: int = 100) -> DataFrame:
@@ -98,7 +117,7 @@ def reachable(edges: DataFrame, start: DataFrame, max_hops: int) -> DataFrame:
     """
     seen = checkpointed(start.select("node").distinct().withColumn("hop", F.lit(0).cast("bigint")))
     frontier = seen.select("node")
-    steps = edges.select("a", "b").distinct()
+    steps = checkpointed(edges.select("a", "b").distinct())  # read once a round
     for hop in range(1, max_hops + 1):
         new = frontier.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         new = checkpointed(new.withColumn("hop", F.lit(hop).cast("bigint")))
@@ -121,13 +140,39 @@ def applicable(items: DataFrame, rules: DataFrame, code: str, codes: str) -> Dat
     return a.select(*items.columns, *rules.columns).unionByName(b.select(*items.columns, *rules.columns))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: Sequence[str]) -> DataFrame:
+def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, slices: Column | None = None) -> DataFrame:
+    """Rows with the sum of a value over their key's rows so far; with ``slices`` a busy key is spread, as in the chain."""
+    sliced = rows.withColumn("_v", value).withColumn("_slice", F.lit(0) if slices is None else slices)
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = sliced.withColumn("_sum", F.sum("_v").over(w))
+    if slices is None:
+        return out.withColumn(name, F.col("_sum")).select(*rows.columns, name)
+    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_t"))
+    v = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_s"), F.sum("_t").over(v).alias("_before"))
+    same = F.col("_slice").eqNullSafe(F.col("_s"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    total = F.when(F.col("_sum").isNotNull() | F.col("_before").isNotNull(), F.coalesce("_sum", F.lit(0)) + F.coalesce("_before", F.lit(0)))
+    return out.join(totals, same).withColumn(name, total).select(*rows.columns, name)
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: Sequence[str], slices: Column | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time.
 
     One union, one sort by key and time, and a running ``last``: no range join. At equal times the right row comes first.
+    With ``slices`` (a column that never falls along the time) a busy key is spread: what a slice does not hold comes from
+    the last right row of the slices before it.
     """
     a = left.select(*left.columns, *(F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values), F.lit(1).alias("_side"))
     b = right.select(*(F.col(c) if c in (key, at) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), *(F.col(v).alias(f"_{v}") for v in values), F.lit(0).alias("_side"))
-    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("_side") == 0, F.struct(*(F.col(f"_{v}").alias(v) for v in values))), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("_r", seen).where("_side = 1").select(*left.columns, *(F.col(f"_r.{v}").alias(f"right_{v}") for v in values))
+    both = a.unionByName(b).withColumn("_slice", F.lit(0) if slices is None else slices)
+    w = Window.partitionBy(key, "_slice").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    said = F.when(F.col("_side") == 0, F.struct(*(F.col(f"_{v}").alias(v) for v in values)))
+    seen = both.withColumn("_r", F.last(said, ignorenulls=True).over(w))
+    if slices is not None:
+        ends = both.groupBy(key, "_slice").agg(F.max_by(said, F.when(F.col("_side") == 0, F.col(at))).alias("_z"))
+        v = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), F.last("_z", ignorenulls=True).over(v).alias("_e"))
+        seen = seen.join(ends, F.col(key).eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s"))).withColumn("_r", F.coalesce("_r", "_e"))
+    return seen.where("_side = 1").select(*left.columns, *(F.col(f"_r.{v}").alias(f"right_{v}") for v in values))

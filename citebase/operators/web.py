@@ -82,11 +82,12 @@ def links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def value_visible(claims: DataFrame) -> DataFrame:
-    """Claims (claim_id, value_numeric, value_text, value_bool, html) with ``found``: whether the value stands in the visible text.
+    """Claims (value_numeric, value_text, value_bool and visible or html) with ``found``: whether the value stands in the text.
 
-    Numbers must stand as words of their own, with point or comma; texts anywhere; flags cannot be told (null).
+    Numbers must stand as words of their own, with point or comma; texts anywhere; flags cannot be told (null). Give the
+    page's visible text as ``visible`` where many claims share a page, so that it is made once.
     """
-    text = visible_text(F.col("html"))
+    text = F.col("visible") if "visible" in claims.columns else visible_text(F.col("html"))
     quoted = F.array_join(F.transform(text_forms(F.col("value_numeric")), lambda v: F.concat(F.lit(r"\Q"), v, F.lit(r"\E"))), "|")
     edge = r"[^\p{L}\p{N}_]"
     number = F.regexp_like(text, F.concat(F.lit(rf"(?:^|{edge})(?:"), quoted, F.lit(rf")(?:$|{edge})")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citebase.functions.text import preview
@@ -205,9 +205,10 @@ def run_plan(spark, d):
 @query("""select answer_id, sum(coalesce(input_tokens, 3000) + coalesce(output_tokens, 800)) over (partition by run_id order by answer_id)::bigint as tokens_so_far from visibility_answers""")
 def running_usage(spark, d):
     """Tokens used in a run so far, with the estimates where a count is missing."""
-    w = Window.partitionBy("run_id").orderBy("answer_id").rowsBetween(Window.unboundedPreceding, 0)
     used = F.coalesce("input_tokens", F.lit(3000)) + F.coalesce("output_tokens", F.lit(800))
-    return table(spark, d, "visibility_answers").select("answer_id", F.sum(used).over(w).cast("bigint").alias("tokens_so_far"))
+    a = table(spark, d, "visibility_answers").select("answer_id", "run_id", "input_tokens", "output_tokens")
+    out = relational.running_sum(a, ["run_id"], ["answer_id"], used, "tokens_so_far", slices=F.floor(F.col("answer_id") / 10_000))
+    return out.select("answer_id", F.col("tokens_so_far").cast("bigint").alias("tokens_so_far"))
 
 
 @query("""with r as (select intent, prompt_id, count(*) filter (coalesce(contains(lower(response_text), 'noravell'), false)) as m, count(*) as n from visibility_answers join prompts using (prompt_id) group by 1, 2)
@@ -239,7 +240,7 @@ def as_of_purchase(spark, d):
     """Every event with the user's latest purchase at or before it."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
     buys = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
-    return relational.as_of(e.select("event_id", "user_id", "ts"), buys, "user_id", "ts", ["value"]).select("event_id", F.col("right_value").alias("last_value"))
+    return relational.as_of(e.select("event_id", "user_id", "ts"), buys, "user_id", "ts", ["value"], slices=F.date_trunc("day", F.col("ts"))).select("event_id", F.col("right_value").alias("last_value"))
 
 
 @query("select coalesce(l_returnflag, 'all') as l_returnflag, coalesce(l_linestatus, 'all') as l_linestatus, count(*)::bigint as n, cast(sum(cast(l_quantity as decimal(18,2))) as double) as quantity, round(quantile_cont(l_extendedprice, 0.5), 4) as median_price from lineitem group by cube (l_returnflag, l_linestatus)")

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citebase.functions.numbers import digits_within
-from citebase.functions.text import normalize, own_brand, slug
+from citebase.functions.text import own_brand, quoted, slug
 from citebase.operators import facts, relational
 from citebase.plans.registry import NORMAL, SIX, SLUG, TRIGRAMS, query
 from citebase.session import table
 
 
+def day():
+    """Time slices by which the log of a busy key is spread."""
+    return F.date_trunc("day", F.col("ts"))
+
+
 @query(f"select product_id, {SLUG.format("brand_name || ' ' || product_name")} as slug from products")
 def product_slugs(spark, d):
     """Slug of every product."""
@@ -70,7 +75,7 @@ def unique_replicates(spark, d):
 from events window w as (partition by user_id, event_type order by ts, event_id)""")
 def supersede_chain(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
-    return relational.supersede_chain(e, ["user_id", "event_type"], ["ts", "event_id"], "event_id", ["value"]).select("event_id", "superseded_by", "is_current", "is_change")
+    return relational.supersede_chain(e, ["user_id", "event_type"], ["ts", "event_id"], "event_id", ["value"], slices=day()).select("event_id", "superseded_by", "is_current", "is_change")
 
 
 @query("""select user_id, event_type, arg_max(event_id, (ts, event_id)) as promoted from events group by all having not bool_or(value > 60)""")
@@ -85,7 +90,7 @@ select event_id, case when row_number() over w = 1 then 'insert' else 'supersede
 union all select event_id, 'no-op', null from c where not (rn = 1 or value is distinct from before)""")
 def persist_claims(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
-    return facts.persist_claims(e, ["user_id", "event_type"], ["ts", "event_id"], "event_id", ["value"]).select("event_id", "action", "superseded_by")
+    return facts.persist_claims(e, ["user_id", "event_type"], ["ts", "event_id"], "event_id", ["value"], slices=day()).select("event_id", "action", "superseded_by")
 
 
 @query("""with l(code, name) as (values ('nl', 'Dutch'), ('de', 'German'), ('en', 'English'), ('fr', 'French'), (null, 'not given'))
@@ -147,7 +152,7 @@ def _claims_with_text(spark, d, *columns):
 @query(f"""select c.answer_claim_id, coalesce(contains({NORMAL.format("a.response_text")}, {NORMAL.format("c.source_quote")}), false) as verbatim from answer_claims c left join visibility_answers a using (answer_id)""")
 def snippet_verify(spark, d):
     c = _claims_with_text(spark, d)
-    return c.select("answer_claim_id", F.coalesce(F.contains(normalize(F.col("answer_text")), normalize(F.col("source_quote"))), F.lit(False)).alias("verbatim"))
+    return c.select("answer_claim_id", F.coalesce(quoted(F.col("answer_text"), F.col("source_quote")), F.lit(False)).alias("verbatim"))
 
 
 @query(f"""select answer_claim_id, contains(regexp_replace(coalesce(source_quote, ''), '[^0-9]', '', 'g'), regexp_replace({SIX.format("value_numeric")}, '[^0-9]', '', 'g')) as digits from answer_claims where value_numeric is not null""")

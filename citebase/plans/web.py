@@ -51,7 +51,7 @@ select answer_claim_id, case when value_numeric is not null then regexp_matches(
 def page_value_visible(spark, d):
     """Whether each claimed value stands in the visible text of its answer; null for flags."""
     c = table(spark, d, "answer_claims").select("answer_claim_id", "answer_id", "value_numeric", "value_text", "value_bool")
-    a = table(spark, d, "visibility_answers").select("answer_id", F.col("response_text").alias("html"))
+    a = table(spark, d, "visibility_answers").select("answer_id", visible_text(F.col("response_text")).alias("visible"))
     return web.value_visible(c.join(a, "answer_id", "left")).select("answer_claim_id", "found")
 
 

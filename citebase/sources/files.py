@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Elements whose text is no content, elements that hold a line of text, sizes given to headings and text.
 BOILERPLATE = {"script", "style", "nav", "header", "footer", "aside", "noscript", "form", "template"}
@@ -121,20 +123,20 @@ def documents(spark: SparkSession, path: str, parser: Callable[[bytes], Iterable
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     files = files.select("path", F.sha2("content", 256).alias("sha256"), "content")
-    full = f"path string, sha256 string, error string, {schema}"
-    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    full = spark.createDataFrame([], f"path string, sha256 string, error string, {schema}").schema
+    kinds = to_arrow_schema(full)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    def run(batches):
         for b in batches:
             rows = []
-            for at, sha, content in zip(b["path"], b["sha256"], b["content"]):
+            for at, sha, content in zip(*(b.column(k).to_pylist() for k in range(3))):
                 try:
-                    rows += [{"path": at, "sha256": sha, "error": None, **r} for r in parser(bytes(content))]
+                    rows += [{"path": at, "sha256": sha, **r} for r in parser(bytes(content))]
                 except Exception as e:  # one broken file must not end the job
                     rows.append({"path": at, "sha256": sha, "error": str(e)[:500]})
-            yield pd.DataFrame(rows, columns=["path", "sha256", "error", *names])
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return files.mapInPandas(run, full)
+    return files.mapInArrow(run, full)
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -159,7 +161,7 @@ def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], list[list[
 
     Null texts get null and are not sent.
     """
-    schema = rows.schema.add(column, "array<float>")
+    schema = T.StructType([*rows.schema.fields, T.StructField(column, T.ArrayType(T.FloatType()))])
     at = rows.columns.index(text)
 
     def run(batches):
