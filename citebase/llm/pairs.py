@@ -32,7 +32,7 @@ REFUSALS = (
     r"geen antwoord op (?:geven|die)|kan ik (?:u |je )?niet (?:helpen|beantwoorden)|geen advies (?:over )?(?:\w+ )*geven|(?:informatie|gegevens) deel ik niet|zie (?:ik )?af van een aanbeveling|mag ik niet|"
     r"can(?:'t|not) (?:answer|help|assist)|(?:not|un)\s?able to (?:advise|help|answer|assist)|won't help|must decline|outside what i do|won't (?:be )?(?:shar|answer|advis)|"
     r"nicht (?:antworten|beantworten|helfen)|helfe ich nicht|keine (?:auskunft|beratung) geben|teile ich nicht|empfehlung sehe ich|"
-    r"ne peux (?:pas|rien)|n'aiderai pas|préfère ne pas|m'abstiens|ne (?:donne|suis|puis|communique|partage|réponds|fais)\b.*\bpas|je (?:renonce|décline|refuse)|ne relève pas|hors de (?:mon|mes)|sort de (?:mon|mes)"
+    r"ne peux (?:pas|rien)|ne m'est pas permis|ne m'est pas possible|n'est pas autorisée?|n'aiderai pas|préfère ne pas|m'abstiens|ne (?:donne|suis|puis|communique|partage|réponds|fais)\b.*\bpas|je (?:renonce|décline|refuse)|ne relève pas|hors de (?:mon|mes)|sort de (?:mon|mes)"
 )
 #: Courtesies around a refusal.
 COURTESIES = (
@@ -46,7 +46,7 @@ PLACEHOLDERS = (
     "nvt|na|null|none|nil|nan|undefined|tbd|tba|todo|ka|no answer|geen|leeg|empty|so|sources|source|bronnen|bron|quellen|quelle|références|références|answer|answers|antwoord|antwort|réponse|reponse|response|output|result|keine angabe|sans objet"
 )
 #: Words with which a copied question is introduced.
-INTRODUCTIONS = r"^(?:u vraagt|je vraagt|vraag|sie fragen|du fragst|frage|vous demandez|tu demandes|question|demande|you ask(?:ed)?|your question|prompt|uw vraag|q)\s*:?\s*"
+INTRODUCTIONS = r"^(?:u vraagt|je vraagt|vraag|sie fragen|du fragst|frage|vous demandez|tu demandes|question|demande|you ask(?:ed)?|your question|prompt|uw vraag|q)\s*:\s*"
 #: Closing lines without a full stop.
 CLOSINGS = ["succes met het project", "good luck with the project", "viel erfolg beim projekt", "bonne chance pour le projet"]
 
@@ -104,7 +104,7 @@ _PLACEHOLDERS = set(PLACEHOLDERS.split("|"))
 
 
 def plain(text: str) -> str:
-    return " ".join(_TOKEN.findall(_TAG.sub(" ", text).lower()))
+    return " ".join(_TOKEN.findall(_TAG.sub(" ", text).casefold()))
 
 
 class Prompt:
@@ -118,7 +118,7 @@ class Prompt:
 
     def copied_in(self, text: str) -> bool:
         """Nothing but the prompt: every word is the prompt's, and the dictionary explains all but a few bytes."""
-        bare = plain(re.sub(INTRODUCTIONS, "", text.strip().lstrip("*>#\"'“ ").lower()))
+        bare = plain(re.sub(INTRODUCTIONS, "", text.strip().lstrip("*>#\"'“ ").casefold()))
         words = set(bare.split())
         if not words or words - self.words or len(words) < 0.7 * len(self.words):
             return False

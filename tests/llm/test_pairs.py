@@ -26,6 +26,16 @@ def test_defect(text, want):
     assert p.defect_of(text, p.Prompt(ASK, "nl"), set(p.CLOSINGS)) == want
 
 
+@pytest.mark.parametrize("ask,text", [("Qu'exige NV 4618-3 d'un plafond?", "QU'EXIGE NV 4618-3 D'UN PLAFOND?"), ("Welche Decke eignet sich für ein Großraumbüro?", "WELCHE DECKE EIGNET SICH FÜR EIN GROSSRAUMBÜRO?"), ("Quel plafond convient pour une piscine?", 'Vous demandez : "Quel plafond convient pour une piscine?"')])
+def test_copies_in_other_languages(ask, text):
+    assert p.defect_of(text, p.Prompt(ask, None), set()) == "copies_question"
+
+
+def test_french_refusals():
+    for t in ("Une recommandation sur ce sujet ne m'est pas permise. N'hésitez pas à poser une autre question.", "Désolé, je ne peux pas répondre à cela.", "Malheureusement, je n'aiderai pas pour cette demande."):
+        assert p.defect_of(t, p.Prompt("Quel plafond convient pour une piscine?", "fr"), set()) == "refusal"
+
+
 @pytest.mark.parametrize("prompt,locale,want", [(ASK, "nl", "nl"), (ASK, None, "nl"), (ASK + " Antwoord graag in het Engels.", "nl", "en"), ("Which ceiling suits a library? Please reply in French.", "en", "fr"), ("Bitte auf Englisch antworten.", "de", "en"), ("Réponds en anglais, s'il te plaît.", "fr", "en"), ("12", "DE", "de"), ("12", None, None)])
 def test_expected_language(prompt, locale, want):
     assert p.expected_language(prompt, locale) == want
