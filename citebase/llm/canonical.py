@@ -106,6 +106,7 @@ class ProductList:
         for p, of in prefixes.items():
             if len(of) == 1 and p not in kinds:
                 kinds[p] = ("a", *of)
+        self.qualifiers = {form: of[1] for form, of in kinds.items()}
         for g in GENERIC:
             kinds.setdefault(g, ("g", g))
         for b in self.brand_names:
@@ -119,6 +120,10 @@ class ProductList:
             self.automaton.add_word(text, (len(text), *kind))
         self.automaton.make_automaton()
 
+    def _near(self, run: str) -> set[str]:
+        """Series that differ from a run of letters by one edit and share most character pairs with it."""
+        return {s for f in deletion_forms(run) for s in self.forms.get(f, ()) if _one_edit(run, s) and pair_similarity(run, s) >= SIMILAR}
+
     def parse(self, name: str) -> tuple[list[str], str | None, str | None, str | None]:
         """Possible series, qualifier, number and brand of an entered name."""
         t = _COUNTER.sub(" ", _SIZE.sub(" ", fold(name)))
@@ -155,10 +160,17 @@ class ProductList:
             rest = "".join(" " if c else x for c, x in zip(covered, t))
             for run in _LETTERS.findall(rest):
                 if not series and len(run) >= 5:
-                    near = {s for f in deletion_forms(run) for s in self.forms.get(f, ()) if _one_edit(run, s) and pair_similarity(run, s) >= SIMILAR}
+                    near = self._near(run)
                     if near:
                         series = sorted(near)
                         continue
+                    # a qualifier written onto a mistyped series
+                    for n in range(3, min(len(run) - 4, 14)):
+                        for affix, rest_ in ((run[:n], run[n:]), (run[-n:], run[:-n])):
+                            if affix in self.qualifiers and (near := self._near(rest_)):
+                                series, qualifier = sorted(near), qualifier or self.qualifiers[affix]
+                    if series:
+                        continue
                 if qualifier is None and len(run) >= 4:
                     near = {q for q in QUALIFIER_ALIASES if deletion_forms(run) & deletion_forms(q) and _one_edit(run, q)}
                     if len(near) == 1:

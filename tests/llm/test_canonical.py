@@ -17,7 +17,7 @@ def products():
         ("KIMENTOKEM™ ACOUSTIC 40", None, "p5"), ("Daskplon 40 kimentokem acoustic panel", "Daskplon", "p5"), ("40KimentokemAkustik", None, "p5"), ("Kimentokem Acou. nr. 40", None, "p5"), ("Kimentokem/Acoustique", "Daskplon GmbH", "p5"),
         ("Kimentоkem Acoustic 4O", None, "p5"), ("Kimentokm Acoustic 40 tegel 1200x600", None, "p5"), ("KimnetokemAcoustictype 40", None, "p5"), ("Kimentokem Acoustic 45", None, None), ("Kimentokem Aqua 40", None, None),
         ("Gadorgodal Mono 50 ", "Brinplon", "p2"), ("gadorgodal mono 50", "NORAVELL B.V.", "p1"), ("gadorgodal mono 50", None, None), ("Brinplon gadorgodal mono", None, "p2"), ("Gadorgodal Fire", "Noravell", None), ("Sáteltishöl Lame.", None, "p7"),
-        ("het paneel", "Noravell", None), ("", None, None), ("?", None, None), ("Onbekend Mono 50", "Noravell", None), ("x" * 20_000, None, None),
+        ("AcousticKimntokem40", None, "p5"), ("kimentoekmaco.40", None, "p5"), ("het paneel", "Noravell", None), ("", None, None), ("?", None, None), ("Onbekend Mono 50", "Noravell", None), ("x" * 20_000, None, None),
     ],
 )
 def test_products(products, name, brand, want):
