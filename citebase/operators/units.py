@@ -67,7 +67,7 @@ UNITS: list[tuple[str, str, float, float, list[str]]] = [
 
 #: Phrases that tell the language of a quote.
 LANGUAGE_CUES = {
-    "en": r"the|has|of|for|maker|gives|than|enough|width|length|height|thickness|depth|density|weight|sound|noise|reduction|fire|wind|load|pressure|thermal|air|content|energy|emission|humidity|reflectance|temperature|perforation|measured",
+    "en": r"the|has|of|for|maker|gives|than|enough|width|length|height|thickness|depth|density|weight|sound|noise|reduction|fire|wind|load|pressure|thermal|air|content|energy|emission|humidity|reflectance|temperature|perforation|measured|climate|conductivity|resistance|permeability|formaldehyde|absorption",
     "fr": r"le|la|du|une|selon|fabricant|pour|avec|affiche|vaut|suffit|est|épaisseur|largeur|longueur|hauteur|masse|densité|réflexion|humidité|résistance|température|charge|pression|conductivité|énergie|perméabilité|émission|absorption|mesuré",
     "nl": r"de|het|een|heeft|volgens|haalt|voor|geldt|met|ruim|dikte|breedte|lengte|modulebreedte|modulelengte|afhanghoogte|hoogte|voegbreedte|gewicht|dichtheid|geluidreductie|luchtgeluidisolatie|geluidsabsorptie|lichtreflectie|luchtvochtigheid|perforatiegraad|gehalte|brandwerendheid|gebruikstemperatuur|belasting|winddruk|warmtegeleidingscoëfficiënt|warmteweerstand|energie|luchtdoorlatendheid|emissie|gemeten",
 }
