@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from citebase.functions.numbers import to_number, truthy
 from citebase.functions.text import words
 from citebase.functions.vectors import cosine_distance
 
+#: Query vectors of one broadcast block.
+QUERY_BLOCK = 2000
 #: Fixed values of the fusion: rank offset, weight of the trust bonus, sizes of pool, result and grounding.
 RANK_OFFSET, TRUST, POOL, LIMIT, GROUNDING = 60, 0.004, 300, 20, 12
 
@@ -69,6 +73,57 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_column: str = "ch
     return vectors.withColumn("distance", cosine_distance(F.col(vector), q)).where("distance is not null").orderBy("distance", id_column).limit(k)
 
 
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, distance, rank): the k rows nearest to each of a set of query vectors; exact, ties by id.
+
+    Blocks of at most ``block`` queries are broadcast, one scan for each; a task multiplies its Arrow batches with the block
+    and keeps k rows of each query, so k rows a query and task are shuffled. Null and zero vectors and those of another
+    length are left out. The number of blocks follows the queries, the memory does not.
+    """
+    spark = vectors.sparkSession
+    n = queries.count()
+    blocks = -(-n // block) or 1
+    part = queries.select(F.col(id_column).cast("bigint").alias("q"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_column), F.lit(blocks)).alias("b"))
+    out = None
+    for i in range(blocks):
+        rows = [(r.q, r.v) for r in part.where(F.col("b") == i).select("q", "v").collect() if r.v is not None and None not in r.v and any(r.v)]
+        handle = spark.sparkContext.broadcast(rows)
+
+        def run(batches, handle=handle):
+            by_length: dict[int, list] = {}
+            for q, v in handle.value:
+                by_length.setdefault(len(v), []).append((q, v))
+            sides = {}
+            for length, qs in by_length.items():
+                m = np.array([v for _, v in qs], dtype=np.float64)
+                sides[length] = (np.array([q for q, _ in qs]), m / np.linalg.norm(m, axis=1, keepdims=True))
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for b in batches:
+                ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+                lengths = np.array([len(x) if x.is_valid else -1 for x in lists])
+                for length, (qs, m) in sides.items():
+                    at = np.flatnonzero(lengths == length)
+                    if not at.size:
+                        continue
+                    x = np.array([[np.nan if c is None else c for c in v] for v in lists.take(pa.array(at)).to_pylist()], dtype=np.float64)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        d = 1 - m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                    for row, q in enumerate(qs.tolist()):
+                        ok = ~np.isnan(d[row])
+                        dist, who = d[row][ok], ids[at][ok]
+                        if q in best:
+                            dist, who = np.concatenate((best[q][0], dist)), np.concatenate((best[q][1], who))
+                        keep = np.lexsort((who, np.round(dist, 12)))[:k]
+                        best[q] = dist[keep], who[keep]
+            cols = [(q, int(w), float(x)) for q, (dist, who) in best.items() for x, w in zip(dist, who)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[j] for c in cols], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "distance"])
+
+        found = vectors.select(F.col(id_column).cast("bigint"), vector).where(F.col(id_column).isNotNull()).mapInArrow(run, "query_id bigint, id bigint, distance double")
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy("query_id").orderBy(F.round("distance", 12), "id")
+    return out.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
+
 @dataclass
 class TextQuery:
     """A web-style query: all terms, quoted phrases, alternatives with ``or``, exclusions with a minus."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citebase.functions.text import fold
-from citebase.operators.vocabulary import resolve_spec_keys
+from citebase.operators.vocabulary import with_spec_key
 
 #: Unit, quantity, factor and offset to the quantity's base unit, spellings.
 UNITS: list[tuple[str, str, float, float, list[str]]] = [
@@ -130,13 +130,11 @@ def convert_claims(claims: DataFrame, spec_attributes: DataFrame) -> DataFrame:
     """
     spark = claims.sparkSession
     units = unit_table(spark)
-    keys = resolve_spec_keys(claims.select(F.col("spec_key").alias("entered")), spec_attributes)
     specs = spec_attributes.where("data_type in ('numeric', 'numeric_range')").select("spec_key", _unit_key(F.coalesce("unit", F.lit("1"))).alias("alias"))
     target = specs.join(F.broadcast(units), "alias").select("spec_key", F.col("unit_id").alias("to_id"), F.col("quantity").alias("to_quantity"), F.col("factor").alias("to_factor"), F.col("offset").alias("to_offset"))
-    numeric = keys.join(F.broadcast(target), "spec_key").select(F.col("entered").alias("spec_key"), F.col("spec_key").alias("resolved"), "to_id", "to_quantity", "to_factor", "to_offset")
     base = claims.select("answer_claim_id", "product_name", "spec_key", "value_numeric", "value_numeric_max", "value_text", F.col("unit").alias("unit_field"), "source_quote")
     base = base.where("value_numeric is not null or value_numeric_max is not null or value_text is not null")
-    own = base.join(numeric, "spec_key")
+    own = with_spec_key(base, "spec_key", spec_attributes).join(F.broadcast(target.withColumnRenamed("spec_key", "resolved")), "resolved")
     name = F.when(F.length(F.trim("product_name")) > 2, F.trim("product_name"))
     quote = F.coalesce(F.replace("source_quote", name, F.lit(" ¤ ")), "source_quote", F.lit(""))
     # a further measure in brackets at the end is a condition

@@ -64,30 +64,45 @@ def spec_names(spec_attributes: DataFrame) -> DataFrame:
     return forms.groupBy("name").agg(F.min("spec_key").alias("spec_key"), F.max("spec_key").alias("other")).where("spec_key = other").drop("other")
 
 
+def _keyed(rows: DataFrame, entered: str, spec_attributes: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows with ``_bare`` (the compact key without a bracketed unit) and ``_found``, by joins with the fixed list only."""
+    known = spec_attributes.select(F.col("spec_key").alias("_entered"), F.col("spec_key").alias("_k0")).distinct()
+    a = names.select(F.col("name").alias("_whole"), F.col("spec_key").alias("_k1"))
+    b = names.select(F.col("name").alias("_bare"), F.col("spec_key").alias("_k2"))
+    keyed = rows.withColumns({"_entered": F.col(entered), "_whole": compact(F.col(entered)), "_bare": compact(_bare(F.col(entered)))})
+    first = keyed.join(F.broadcast(known), "_entered", "left").join(F.broadcast(a), "_whole", "left").join(F.broadcast(b), "_bare", "left")
+    return first.select(*rows.columns, "_bare", F.coalesce("_k0", "_k1", "_k2").alias("_found"))
+
+
+def _typos(bare: DataFrame, names: DataFrame) -> DataFrame:
+    """(_bare, _typo): compact keys one typing error away from the names of one attribute, blocked by shared deletion forms."""
+    probes = bare.distinct().where(F.length("_bare") >= TYPO_LENGTH).select("_bare", F.explode(deletions(F.col("_bare"))).alias("form"))
+    forms = names.where(F.length("name") >= TYPO_LENGTH).select("name", "spec_key", F.explode(deletions(F.col("name"))).alias("form"))
+    near = probes.join(F.broadcast(forms), "form").where(one_edit(F.col("_bare"), F.col("name")))
+    return near.groupBy("_bare").agg(F.min("spec_key").alias("_typo"), F.max("spec_key").alias("_other")).where("_typo = _other").drop("_other")
+
+
+def with_spec_key(rows: DataFrame, entered: str, spec_attributes: DataFrame, name: str = "resolved") -> DataFrame:
+    """Rows whose entered key means an attribute, with that attribute's key; the others are left out.
+
+    Spelled right, a key is found by joins with the fixed list, so busy keys are not shuffled; only rows with an unknown
+    spelling are joined with the typing errors, whose spellings are distinct before they are looked up.
+    """
+    names = spec_names(spec_attributes)
+    keyed = _keyed(rows, entered, spec_attributes, names)
+    right = keyed.where("_found is not null").select(*rows.columns, F.col("_found").alias(name))
+    left = keyed.where("_found is null").drop("_found")
+    return right.unionByName(left.join(_typos(left.select("_bare"), names), "_bare").select(*rows.columns, F.col("_typo").alias(name)))
+
+
 def resolve_spec_keys(entered: DataFrame, spec_attributes: DataFrame) -> DataFrame:
     """(entered, spec_key) for every distinct entered key; spec_key is null where none is meant.
 
     ``entered`` has one string column ``entered``. Order: the key itself, its compact spelling, the compact spelling
-    without a bracketed unit, then one typing error (blocked by shared deletion forms, an equi-join). Nulls and empty
-    keys resolve to null; a typing error that fits two attributes resolves to null.
+    without a bracketed unit, then one typing error. Nulls give no row, empty keys resolve to null; a typing error that
+    fits two attributes resolves to null.
     """
-    distinct = entered.select("entered").where("entered is not null").distinct()
     names = spec_names(spec_attributes)
-    keyed = distinct.select("entered", compact("entered").alias("whole"), compact(_bare(F.col("entered"))).alias("bare"))
-    a = names.select(F.col("name").alias("whole"), F.col("spec_key").alias("k1"))
-    b = names.select(F.col("name").alias("bare"), F.col("spec_key").alias("k2"))
-    known = spec_attributes.select(F.col("spec_key").alias("entered"), F.col("spec_key").alias("k0"))
-    first = keyed.join(F.broadcast(known), "entered", "left").join(F.broadcast(a), "whole", "left").join(F.broadcast(b), "bare", "left")
-    first = first.select("entered", "bare", F.coalesce("k0", "k1", "k2").alias("found"))
-    left = first.where("found is null").where(F.length("bare") >= TYPO_LENGTH)
-    probes = left.select("entered", "bare", F.explode(deletions(F.col("bare"))).alias("form"))
-    forms = names.where(F.length("name") >= TYPO_LENGTH).select("name", "spec_key", F.explode(deletions(F.col("name"))).alias("form"))
-    typo = (
-        probes.join(F.broadcast(forms), "form")
-        .where(one_edit(F.col("bare"), F.col("name")))
-        .groupBy("entered")
-        .agg(F.min("spec_key").alias("t1"), F.max("spec_key").alias("t2"))
-        .where("t1 = t2")
-        .select("entered", "t1")
-    )
-    return first.join(typo, "entered", "left").select("entered", F.coalesce("found", "t1").alias("spec_key"))
+    first = _keyed(entered.select("entered").where("entered is not null").distinct(), "entered", spec_attributes, names)
+    typo = _typos(first.where("_found is null").select("_bare"), names)
+    return first.join(typo, "_bare", "left").select("entered", F.coalesce("_found", "_typo").alias("spec_key"))

@@ -157,6 +157,24 @@ def test_text_query(spark):
     assert m("x or raster", "raster") and not m("raster -hout", "hout raster") and not m("", "raster")
 
 
+def test_nearest_to_each(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0]), (103, [1.0, None, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    for block in (2000, 3):
+        got = retrieval.nearest_to_each(v, v.where("vec_id % 10 = 0 or vec_id > 99"), 4, block=block).collect()
+        found = {}
+        for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+            found.setdefault(r.query_id, []).append(r.id)
+        assert set(found) == {0, 10, 20, 30, 40, 50, 102}
+        vec = {i: x for i, x in rows if i < 60}
+        norm = lambda x: sum(c * c for c in x) ** 0.5
+        for q, ids in found.items():
+            if q < 60:
+                want = sorted(vec, key=lambda i: (round(1 - sum(a * b for a, b in zip(vec[q], vec[i])) / norm(vec[q]) / norm(vec[i]), 10), i))[:4]
+                assert ids == want
+    assert retrieval.nearest_to_each(v, v.limit(0), 4).count() == 0 and retrieval.nearest_to_each(v.limit(0), v, 4).count() == 0
+
+
 def test_search_pools_before_best(spark):
     chunks = spark.createDataFrame([(1, "p", [1.0, 0.0], "aap noot"), (2, "p", [1.0, 0.1], "aap"), (3, "q", [0.0, 1.0], "noot"), (4, "r", [1.0, 0.0], "mies")], "chunk_id bigint, product_id string, embedding array<float>, content string")
     kept = spark.createDataFrame([("p",), ("q",)], "product_id string")
