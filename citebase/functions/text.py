@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +34,16 @@ def normalize(c: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.translate(c, "‑–— ", "--- "), r"\s+", " ")))
 
 
+def normalize_full(c: Column) -> Column:
+    """``normalize`` with compatibility forms (NFKC) and full case folding, in Arrow batches, where ß must equal ss."""
+    @F.pandas_udf("string")
+    def full(s: pd.Series) -> pd.Series:
+        dashes = str.maketrans("‑–—", "---")
+        return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).translate(dashes).split()).casefold())
+
+    return full(c)
+
+
 def quoted(page: Column, snippet: Column) -> Column:
     """Whether a snippet stands in a page after normalising both; null if either is null.
 

@@ -52,7 +52,7 @@ def resolve(base: Column, href: Column) -> Column:
 
 
 #: Endings of files that are no pages.
-NO_PAGES = r"(?i)\.(?:pdf|jpe?g|png|gif|svg|webp|zip|docx?|xlsx?|pptx?|mp4|mp3|css|js|ico)$"
+NO_PAGES = r"(?i)\.(?:pdf|jpg|jpeg|png|gif|svg|zip|doc|docx|xls|xlsx)$"
 
 
 def first_segment(url: Column, prefix: str) -> Column:

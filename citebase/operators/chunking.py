@@ -6,17 +6,14 @@ map over one document at a time; everything around it is built-in.
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Heading sizes against the page's median, longest heading, chunk size and carried share.
 LEVEL_1, LEVEL_2, HEADING_LENGTH, MAX_TOKENS, CARRIED = 1.4, 1.15, 100, 800, 0.15
-#: Fixed value: units and classes that make a table one of specifications.
-SPEC_PATTERN = r"(?i)\b(?:mm|cm|kg|kg/m[23²³]|db|min|kpa|mpa|w/mk|m2k/w|ei\s?\d+|s\d+|%)(?![\p{L}\d])"
-_SPEC = re.compile(SPEC_PATTERN.replace(r"\p{L}", r"^\W\d_"))
+#: Units and classes that make a table one of specifications, each as a word of its own.
+SPEC_WORDS = ["mm", "dB", "kg", "kg/m2", "kg/m3", "W/mK", "m2K/W", "W/m2K", "°C", "%", r"EI\d+", r"S\d+", "kPa", "EUR"]
 
 SCHEMA = "document_version_id bigint, chunk_index int, page_start int, page_end int, chunk_type string, heading_path array<string>, content string, token_count int"
 
@@ -35,7 +32,7 @@ def markdown(rows: Column) -> Column:
 
 def table_type(rows: Column) -> Column:
     flat = F.array_join(F.flatten(F.transform(rows, lambda r: F.transform(F.coalesce(r, F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit(""))))), " ")
-    return F.when(F.regexp_like(flat, F.lit(SPEC_PATTERN)), "spec_table").otherwise("table")
+    return F.when(F.regexp_like(flat, F.lit(rf"(?iU)\b(?:{'|'.join(SPEC_WORDS)})\b")), "spec_table").otherwise("table")
 
 
 def lines_outside_tables(pages: DataFrame) -> DataFrame:

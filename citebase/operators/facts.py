@@ -13,7 +13,34 @@ from citebase.operators.relational import supersede_chain
 #: Least similarity of a possible duplicate and of a resolved product.
 DUPLICATE, RESOLVED = 0.35, 0.45
 #: From-unit, to-unit and factor of the conversions that admission knows; other pairs keep value and unit.
-CONVERSIONS = [("cm", "mm", 10.0), ("m", "mm", 1000.0), ("mpa", "kpa", 1000.0)]
+CONVERSIONS = [("cm", "mm", 10.0), ("m", "mm", 1000.0), ("mpa", "kpa", 1000.0), ("g/m2", "kg/m2", 0.001), ("g/m3", "kg/m3", 0.001)]
+#: Plausible ranges of specs in their own unit; a misread value lies outside.
+PLAUSIBLE = [
+    ("fire_resistance_ei", 0.0, 240.0),
+    ("thermal_conductivity_lambda", 0.001, 1.0),
+    ("thermal_resistance_rd", 0.01, 20.0),
+    ("rc_value", 0.01, 20.0),
+    ("u_value", 0.1, 10.0),
+    ("airborne_sound_reduction_rw", 10.0, 80.0),
+    ("rw_c", -30.0, 20.0),
+    ("rw_ctr", -30.0, 20.0),
+    ("impact_sound_lnw", 10.0, 90.0),
+    ("sound_absorption_alpha_w", 0.0, 1.0),
+    ("thickness_mm", 0.1, 1000.0),
+    ("width_mm", 1.0, 20000.0),
+    ("height_mm", 1.0, 20000.0),
+    ("length_mm", 1.0, 20000.0),
+    ("max_height_mm", 100.0, 20000.0),
+    ("density", 1.0, 3000.0),
+    ("weight_per_m2", 0.1, 1000.0),
+    ("compressive_strength_cs", 0.1, 10000.0),
+    ("water_vapour_resistance_mu", 0.1, 100000.0),
+    ("service_temp_min", -100.0, 500.0),
+    ("service_temp_max", -100.0, 500.0),
+    ("recycled_content_pct", 0.0, 100.0),
+    ("gwp_a1a3", -1000.0, 100000.0),
+    ("mki_value", 0.0, 100000.0),
+]
 VALUES = ["value_numeric", "value_text", "value_bool", "value_enum"]
 
 

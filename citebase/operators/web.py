@@ -9,7 +9,9 @@ from citebase.functions.numbers import text_forms
 from citebase.functions.web import NO_PAGES, hrefs, resolve, visible_text
 
 #: The crawlers of answer engines that are checked.
-CRAWLERS = ["GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "Claude-User", "Claude-SearchBot", "anthropic-ai", "PerplexityBot", "Perplexity-User", "Google-Extended", "Googlebot", "Bingbot", "CCBot"]
+CRAWLERS = [
+    "GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "Claude-User", "Claude-SearchBot", "PerplexityBot", "Perplexity-User", "Google-Extended", "Applebot-Extended", "CCBot", "meta-externalagent", "Bingbot"
+]
 
 
 def robots_rules(files: DataFrame) -> DataFrame:
@@ -74,11 +76,14 @@ def crawlability(fetches: DataFrame, agents: list[str] | None = None) -> DataFra
     return each.select("file_id", "user_agent", "status_code").join(verdict, ["file_id", "user_agent"], "left").select("file_id", "user_agent", F.when(F.coalesce(known, F.lit(False)), F.col("allowed")).alias("allowed"))
 
 
-def links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(page_id, position, href, url): every anchor resolved against its page; duplicates kept, files and other schemes null."""
+def links(pages: DataFrame, html: str = "html", prefix: Column | None = None) -> DataFrame:
+    """(page_id, position, href, url): every anchor resolved against its page; duplicates kept.
+
+    The url is null for files, other schemes and, given a prefix, for what lies outside it.
+    """
     each = pages.select("page_id", "url", F.posexplode(hrefs(F.col(html))).alias("position", "href"))
     target = resolve(F.col("url"), F.col("href"))
-    return each.select("page_id", F.col("position").cast("bigint").alias("position"), "href", F.when(~target.rlike(NO_PAGES), target).alias("url"))
+    return each.select("page_id", F.col("position").cast("bigint").alias("position"), "href", F.when(~target.rlike(NO_PAGES) & (F.lit(True) if prefix is None else target.startswith(prefix)), target).alias("url"))
 
 
 def value_visible(claims: DataFrame) -> DataFrame:

@@ -172,11 +172,12 @@ def claim_admission(spark, d):
     return facts.admit_claims(c, table(spark, d, "spec_attributes")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-RANGES = [("thickness_mm", 1.0, 60.0), ("nrc", 0.0, 1.0), ("sound_absorption_alpha_w", 0.0, 1.0), ("density", 20.0, 1500.0), ("max_height_mm", 500.0, 6000.0)]
+_RANGES = ", ".join(f"('{k}', {a}::double, {b}::double)" for k, a, b in facts.PLAUSIBLE)
+_FACTORS = ", ".join(f"('{a}', '{b}', {f}::double)" for a, b, f in facts.CONVERSIONS)
 
 
-@query(f"""with r(spec_key, low, high) as (values ('thickness_mm', 1.0::double, 60.0::double), ('nrc', 0.0, 1.0), ('sound_absorption_alpha_w', 0.0, 1.0), ('density', 20.0, 1500.0), ('max_height_mm', 500.0, 6000.0)),
-k(f, t, factor) as (values ('cm', 'mm', 10.0::double), ('m', 'mm', 1000.0), ('mpa', 'kpa', 1000.0)),
+@query(f"""with r(spec_key, low, high) as (values {_RANGES}),
+k(f, t, factor) as (values {_FACTORS}),
 c as (select c.*, a.response_text, s.unit as target, k.factor as known, coalesce(k.factor, 1.0) as factor, r.low, r.high,
 (value_numeric is not null)::int + (value_text is not null)::int + (value_bool is not null)::int + (value_enum is not null)::int as n
 from answer_claims c left join visibility_answers a using (answer_id) left join spec_attributes s using (spec_key) left join r using (spec_key) left join k on k.f = lower(trim(c.unit)) and k.t = lower(trim(s.unit))),
@@ -191,7 +192,7 @@ def verify_claims(spark, d):
     c = _claims_with_text(spark, d, "spec_key", "value_numeric", "value_numeric_max", "value_text", "value_bool", "value_enum", "unit")
     c = c.join(table(spark, d, "spec_attributes").select("spec_key", F.col("unit").alias("target_unit")), "spec_key", "left")
     c = c.withColumnsRenamed({"source_quote": "source_snippet", "answer_text": "page_text"}).withColumns({"page_number": F.lit(1), "derivation_note": F.lit(None).cast("string"), "presence": F.when(facts.value_count() == 0, "not_stated").otherwise("stated")})
-    out = facts.verify_claims(c, spark.createDataFrame(RANGES, "spec_key string, low double, high double"))
+    out = facts.verify_claims(c, spark.createDataFrame(facts.PLAUSIBLE, "spec_key string, low double, high double"))
     return out.select("answer_claim_id", "ok", "reason", F.round("value_numeric", 6).alias("value_numeric"), "unit")
 
 

@@ -35,7 +35,7 @@ def visible_text_length(spark, d):
 
 @query("""with h as (select doc_id as page_id, source, unnest(regexp_extract_all(text, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)) as href from documents), c as (select *, regexp_replace(trim(href), '[?#].*$', '') as clean from h),
 r as (select page_id, href, case when clean = '' then null when regexp_matches(lower(clean), '^https?://') then clean when starts_with(clean, '//') then 'https:' || clean when regexp_matches(clean, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then null when starts_with(clean, '/') then 'https://' || source || clean else 'https://' || source || '/docs/' || clean end as url from c)
-select page_id, href, case when not regexp_matches(url, '(?i)\\.(?:pdf|jpe?g|png|gif|svg|webp|zip|docx?|xlsx?|pptx?|mp4|mp3|css|js|ico)$') then url end as url from r""")
+select page_id, href, case when not regexp_matches(url, '(?i)\\.(?:pdf|jpg|jpeg|png|gif|svg|zip|doc|docx|xls|xlsx)$') then url end as url from r""")
 def link_normalise(spark, d):
     """Every anchor of every page, resolved; duplicates kept."""
     return web.links(pages(spark, d)).select("page_id", "href", "url")
@@ -82,7 +82,7 @@ def robots_eval(spark, d):
     return web.evaluate_robots(files, asked).drop("matched_group")
 
 
-@query("""with f(file_id, allowed) as (values (1, false), (2, true), (3, null), (4, null)), a(user_agent) as (values ('GPTBot'), ('OAI-SearchBot'), ('ChatGPT-User'), ('ClaudeBot'), ('Claude-User'), ('Claude-SearchBot'), ('anthropic-ai'), ('PerplexityBot'), ('Perplexity-User'), ('Google-Extended'), ('Googlebot'), ('Bingbot'), ('CCBot'))
+@query("""with f(file_id, allowed) as (values (1, false), (2, true), (3, null), (4, null)), a(user_agent) as (values ('GPTBot'), ('OAI-SearchBot'), ('ChatGPT-User'), ('ClaudeBot'), ('Claude-User'), ('Claude-SearchBot'), ('PerplexityBot'), ('Perplexity-User'), ('Google-Extended'), ('Applebot-Extended'), ('CCBot'), ('meta-externalagent'), ('Bingbot'))
 select file_id, user_agent, allowed from f, a""")
 def crawlability(spark, d):
     """Fetched files by status: 200, 404, 500 and no answer."""

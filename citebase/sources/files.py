@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Elements whose text is no content, elements that hold a line of text, sizes given to headings and text.
-BOILERPLATE = {"script", "style", "nav", "header", "footer", "aside", "noscript", "form", "template"}
-LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "blockquote", "figcaption", "pre"}
-SIZES = {"h1": 20.0, "h2": 16.0, "h3": 13.0}
-BODY_SIZE = 10.0
+BOILERPLATE = {"script", "style", "nav", "header", "footer", "aside", "noscript", "form", "svg"}
+LEAVES = {"p", "li", "figcaption", "dt", "dd", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"}
+SIZES = {"h1": 24.0, "h2": 18.0, "h3": 17.0}
+BODY_SIZE = 14.0
+#: Pages with less text are not worth an extraction.
+LEAST_TEXT = 200
 #: Embeddings are asked for in batches of this many texts.
 EMBEDDING_BATCH = 96
 
@@ -26,74 +28,78 @@ PAGE_SCHEMA = (
 
 
 class _Page(HTMLParser):
-    """Collects lines and tables in document order; each gets the next position as its top."""
+    """Collects lines and tables in document order; each takes the next position. A leaf's text includes all it contains."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.tables, self.top = [], [], 0.0
-        self.title, self._in_title, self._skip = None, False, 0
-        self._leaf, self._parts, self._rows, self._cell = None, [], None, None
-        self._start, self._depth = 0.0, 0
+        self.title, self.in_title, self.skipped = None, False, 0
+        self.leaf, self.nested, self.parts = None, 0, []
+        self.rows, self.cell, self.depth = None, None, 0
 
     def handle_starttag(self, tag, attrs):
-        if tag == "title":
-            self._in_title = True
+        if tag == "title" and not self.skipped:
+            self.in_title = True
         elif tag in BOILERPLATE:
-            self._skip += 1
-        elif self._skip:
-            return
-        elif tag == "table":
-            self._depth += 1
-            if self._depth == 1:
-                self._rows, self._start = [], self.top
-        elif self._rows is not None and tag == "tr":
-            self._rows.append([])
-        elif self._rows is not None and tag in ("td", "th"):
-            self._cell = []
-        elif self._rows is None and tag in LEAVES:
-            self._close()
-            self._leaf = tag
+            self.skipped += 1
+        elif self.skipped:
+            pass
+        elif self.leaf:
+            self.nested += tag == self.leaf
+        elif self.rows is None and tag == "table":
+            self.rows, self.depth = [], 1
+        elif self.rows is not None:
+            if tag == "table":
+                self.depth += 1
+            elif tag == "tr":
+                self.rows.append([])
+            elif tag in ("td", "th"):
+                self.cell = []
+        elif tag in LEAVES:
+            self.leaf, self.nested, self.parts = tag, 0, []
 
     def handle_endtag(self, tag):
         if tag == "title":
-            self._in_title = False
+            self.in_title = False
         elif tag in BOILERPLATE:
-            self._skip = max(0, self._skip - 1)
-        elif self._skip:
-            return
-        elif tag == "table" and self._depth:
-            self._depth -= 1
-            if self._depth == 0:
-                rows = [r for r in self._rows if r]
-                if rows:
-                    self.top += 1
-                    self.tables.append({"rows": rows, "top": self._start + 0.1, "bottom": self.top - 0.1})
-                    self.top += 3
-                self._rows = None
-        elif self._cell is not None and tag in ("td", "th"):
-            if not self._rows:
-                self._rows.append([])
-            self._rows[-1].append(" ".join("".join(self._cell).split()))
-            self._cell = None
-        elif tag == self._leaf:
-            self._close()
+            self.skipped = max(0, self.skipped - 1)
+        elif self.skipped:
+            pass
+        elif self.leaf:
+            if tag == self.leaf and self.nested:
+                self.nested -= 1
+            elif tag == self.leaf or tag in ("body", "html"):
+                self.close_leaf()
+        elif self.rows is not None and tag == "table":
+            self.depth -= 1
+            if not self.depth:
+                self.close_table()
+        elif self.cell is not None and tag in ("td", "th"):
+            if not self.rows:
+                self.rows.append([])
+            self.rows[-1].append(" ".join(self.cell) or None)
+            self.cell = None
 
     def handle_data(self, data):
-        if self._in_title:
+        if self.in_title:
             self.title = (self.title or "") + data
-        elif self._skip:
             return
-        elif self._cell is not None:
-            self._cell.append(data)
-        elif self._leaf:
-            self._parts.append(data)
+        text = data.strip()
+        if not self.skipped and text:
+            (self.cell if self.cell is not None else self.parts if self.leaf else []).append(text)
+
+    def close_leaf(self):
+        if self.leaf and self.parts:
+            self.lines.append({"text": " ".join(self.parts), "top": self.top, "avg_font_size": SIZES.get(self.leaf, BODY_SIZE)})
+            self.top += 1
+        self.leaf, self.parts = None, []
 
-    def _close(self):
-        text = " ".join("".join(self._parts).split())
-        if self._leaf and text:
-            self.lines.append({"text": text, "top": self.top, "avg_font_size": SIZES.get(self._leaf, BODY_SIZE)})
-            self.top += 4
-        self._leaf, self._parts = None, []
+    def close_table(self):
+        rows = [r for r in self.rows or [] if any(r)]
+        if rows:
+            self.tables.append({"rows": rows, "top": self.top, "bottom": self.top + 1})
+            self.top += 2
+        self.rows = None
 
 
 def parse_page(html: str | None) -> dict:
@@ -101,7 +107,8 @@ def parse_page(html: str | None) -> dict:
     p = _Page()
     p.feed(html or "")
     p.close()
-    p._close()
+    p.close_leaf()
+    p.close_table()
     title = " ".join((p.title or "").split()) or None
     return {"title": title, "text": "\n".join(x["text"] for x in p.lines), "page_lines": p.lines, "page_tables": p.tables, "median_font_size": BODY_SIZE}
 

@@ -20,6 +20,7 @@ def test_similarity(spark):
 
 def test_scalars(spark):
     assert one(spark, text.normalize(F.lit("A  b–C "))) == "a b-c"
+    assert one(spark, text.normalize_full(F.lit("Straße  ﬁn"))) == "strasse fin"
     assert one(spark, text.slug(F.lit("Café  Déjà-vu!"))) == "cafe-deja-vu"
     assert one(spark, text.slug(F.lit("!!!"))) == "product"
     assert one(spark, text.mention_offset(F.lit("wij kiezen ACME of Rival"), ["rival", " acme ", ""])) == 11

@@ -14,11 +14,16 @@ def test_parse_pages(spark):
     df = spark.createDataFrame([(1, HTML), (2, None), (3, ""), (4, "<p>open")], "id int, html string")
     got = {r.id: r.page for r in files.parse_pages(df).collect()}
     assert got[1].title == "Acme plafond" and got[1].text == "Systeemplafonds\nBrandwerendheid\nTekst & meer"
-    assert [x.avg_font_size for x in got[1].page_lines] == [20.0, 16.0, 10.0]
+    assert [x.avg_font_size for x in got[1].page_lines] == [24.0, 18.0, 14.0]
     assert got[1].page_tables[0].rows == [["Spec", "Waarde"], ["Brandklasse", "A2-s1,d0"]]
     assert got[2].text == "" and got[3].title is None and got[4].text == "open"
 
 
+def test_nested_and_empty_elements():
+    p = files.parse_page("<div>los<ul><li>een <b>twee</b><p>drie</p></li><li></li></ul><table><tr><td></td></tr><tr><td> a </td><td></td></tr></table><script>x</script></div>")
+    assert [x["text"] for x in p["page_lines"]] == ["een twee drie"] and p["page_tables"] == [{"rows": [["a", None]], "top": 1.0, "bottom": 2.0}]
+
+
 def test_documents_and_manifest(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"one\ntwo")
     (tmp_path / "b.txt").write_bytes(b"one\ntwo")
