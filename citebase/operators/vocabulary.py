@@ -69,8 +69,11 @@ def _keyed(rows: DataFrame, entered: str, spec_attributes: DataFrame, names: Dat
     known = spec_attributes.select(F.col("spec_key").alias("_entered"), F.col("spec_key").alias("_k0")).distinct()
     a = names.select(F.col("name").alias("_whole"), F.col("spec_key").alias("_k1"))
     b = names.select(F.col("name").alias("_bare"), F.col("spec_key").alias("_k2"))
-    keyed = rows.withColumns({"_entered": F.col(entered), "_whole": compact(F.col(entered)), "_bare": compact(_bare(F.col(entered)))})
-    first = keyed.join(F.broadcast(known), "_entered", "left").join(F.broadcast(a), "_whole", "left").join(F.broadcast(b), "_bare", "left")
+    # only keys that are no entry as they stand are brought to their compact form
+    exact = rows.withColumn("_entered", F.col(entered)).join(F.broadcast(known), "_entered", "left")
+    other = lambda c: F.when(F.col("_k0").isNull(), compact(c))
+    keyed = exact.withColumns({"_whole": other(F.col(entered)), "_bare": other(_bare(F.col(entered)))})
+    first = keyed.join(F.broadcast(a), "_whole", "left").join(F.broadcast(b), "_bare", "left")
     return first.select(*rows.columns, "_bare", F.coalesce("_k0", "_k1", "_k2").alias("_found"))
 
 
