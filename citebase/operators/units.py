@@ -141,9 +141,12 @@ def convert_claims(claims: DataFrame, spec_attributes: DataFrame) -> DataFrame:
     quote = F.regexp_replace(quote, r"\s*\([^()]*\d[^()]*\)[\s.]*$", "")
     quote = F.regexp_replace(quote, r"(?i)A1\s?[-–]\s?A3", "")
     cut = lambda c, i: F.nullif(F.regexp_extract(c, _measure(), i), F.lit(""))
-    own = own.withColumn("q", quote).withColumn("lang", language(F.col("q")))
+    # the language only matters to numbers with one separator before three digits
+    own = own.withColumn("q", quote).withColumn("lang", F.when(F.regexp_like("q", F.lit(r"[1-9]\d{0,2}[.,]\d{3}(?!\d)")), language(F.col("q"))))
     own = own.withColumn("in_text", F.col("value_numeric").isNull() & F.col("value_text").isNotNull())
-    own = own.withColumn("s1", cut(F.col("q"), 1)).withColumn("s2", cut(F.col("q"), 2)).withColumn("u", cut(F.col("q"), 3))
+    # one search of the quote, its parts from what it found
+    own = own.withColumn("found", F.regexp_extract("q", _measure(), 0))
+    own = own.withColumns({"s1": cut(F.col("found"), 1), "s2": cut(F.col("found"), 2), "u": cut(F.col("found"), 3)})
     own = own.withColumn("t1", F.when(F.col("in_text"), cut(F.col("value_text"), 1))).withColumn("tu", F.when(F.col("in_text"), cut(F.col("value_text"), 3)))
     stated1 = F.coalesce(number(F.col("s1"), F.col("lang")), number(F.col("t1"), F.col("lang")))
     own = own.withColumn("stated1", stated1).withColumn("stated2", number(F.col("s2"), F.col("lang")))
