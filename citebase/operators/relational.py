@@ -6,10 +6,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citebase.session import checkpointed
 
 
+#: Rows that a list of rules, requirements or engines may have to be written into a plan.
+LIST_BOUND = 10_000
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.array(*(_literal(v, kind.elementType) for v in value)).cast(kind)
+    if isinstance(kind, T.MapType):
+        return F.create_map(*(x for k, v in value.items() for x in (_literal(k, kind.keyType), _literal(v, kind.valueType)))).cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def with_each(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Every row with each row of a short list, as an exploded literal: a map over the rows, no join.
+
+    The list is checked to have at most ``LIST_BOUND`` rows; it is a vocabulary or what one search asks for.
+    """
+    listed = few.limit(LIST_BOUND + 1).collect()
+    if len(listed) > LIST_BOUND:
+        raise ValueError("the list is too long to be written into a plan")
+    kind = T.ArrayType(few.schema)
+    values = F.array(*(F.struct(*(_literal(r[f.name], f.dataType).alias(f.name) for f in few.schema)) for r in listed)).cast(kind) if listed else F.array().cast(kind)
+    return rows.withColumn("_each", F.explode(values)).select(*rows.columns, *(F.col(f"_each.{c}").alias(c) for c in few.columns))
+
+
 def latest_per_key(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` columns for each key; null keys form a group of their own.
 
@@ -130,14 +158,13 @@ def reachable(edges: DataFrame, start: DataFrame, max_hops: int) -> DataFrame:
 def applicable(items: DataFrame, rules: DataFrame, code: str, codes: str) -> DataFrame:
     """Item-rule pairs whose code is among the rule's codes; a rule without codes holds for every item.
 
-    Two equi-joins instead of an overlap condition: the codes are exploded, universal rules are joined on a constant key
-    (rules are a vocabulary, and the planner broadcasts them by their size).
+    An equi-join on the exploded codes instead of an overlap condition; the universal rules, a part of the vocabulary, are
+    put to every item as an exploded literal.
     """
     listed = rules.where(F.size(F.coalesce(F.col(codes), F.array())) > 0).withColumn("_code", F.explode(F.array_distinct(codes)))
-    universal = rules.where(F.size(F.coalesce(F.col(codes), F.array())) <= 0).withColumn("_all", F.lit(1))
+    universal = rules.where(F.size(F.coalesce(F.col(codes), F.array())) <= 0)
     a = items.join(listed, items[code] == listed["_code"]).drop("_code")
-    b = items.withColumn("_all", F.lit(1)).join(universal, "_all").drop("_all")
-    return a.select(*items.columns, *rules.columns).unionByName(b.select(*items.columns, *rules.columns))
+    return a.select(*items.columns, *rules.columns).unionByName(with_each(items, universal))
 
 
 def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, slices: Column | None = None) -> DataFrame:

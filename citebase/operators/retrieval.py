@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from citebase.functions.numbers import to_number, truthy
 from citebase.functions.text import words
 from citebase.functions.vectors import cosine_distance
+from citebase.operators.relational import with_each
 
 #: Query vectors of one broadcast block.
 QUERY_BLOCK = 2000
@@ -52,8 +53,7 @@ def evaluate_requirements(products: DataFrame, requirements: DataFrame, definiti
     are those of one search and are exploded from a literal array, not cross-joined); unknown keys are unknown.
     """
     asked = requirements.join(definitions, "key", "left").select("key", "op", F.col("value").alias("wanted"), "ordinals", F.col("ordinals").isNotNull().alias("known"))
-    packed = asked.agg(F.collect_list(F.struct("key", "op", "wanted", "ordinals", "known")).alias("asked"))
-    each = products.select("product_id").withColumn("_one", F.lit(1)).join(packed.withColumn("_one", F.lit(1)), "_one").select("product_id", F.explode("asked").alias("r")).select("product_id", "r.*")
+    each = with_each(products.select("product_id"), asked)
     both = each.join(facts, ["product_id", "key"], "left")
     fact = {"number": F.col("value_numeric"), "upper": F.col("value_numeric_max"), "text": F.col("value_text"), "enum": F.col("value_enum"), "flag": F.col("value_bool")}
     stated = F.col("known") & F.col("presence").isNotNull() & (F.col("presence") != "not_stated")

@@ -110,7 +110,7 @@ def coverage_text(spark, d):
 select p.rate as presence, v.rate as share_of_voice, acc.rate as accuracy, (select round(sum(s) / sum(n), 6) from cov) as completeness from p, v, acc where p.intent = 'overall' and v.intent = 'overall' and acc.p_type = 'overall'""")
 def scorecard(spark, d):
     """The four overall figures in one row."""
-    one = lambda rows, key, name: rows.where(F.col(key) == "overall").select(F.col("rate").alias(name), F.lit(1).alias("_one"))
+    one = lambda rows, key, name: rows.where(F.col(key) == "overall").select(F.lit(1).alias("_one"), F.col("rate").alias(name))
     c = covered(spark, d).agg(F.sum(F.size("stated")).alias("s"), F.sum(F.size("missing")).alias("m")).select(F.round(F.coalesce(relational.rate(F.col("s"), F.col("s") + F.col("m")), F.lit(0.0)), 6).alias("completeness"), F.lit(1).alias("_one"))
     out = one(presence_rate(spark, d), "intent", "presence").join(one(share_of_voice(spark, d), "intent", "share_of_voice"), "_one")
     return out.join(one(spec_accuracy(spark, d), "p_type", "accuracy"), "_one").join(c, "_one").drop("_one")
@@ -195,8 +195,7 @@ select p.engine, count(*)::bigint as planned, count(*) filter (not exists (selec
 def run_plan(spark, d):
     """Planned prompts and replicates of each engine, less those answered: an anti-join."""
     a = table(spark, d, "visibility_answers").select("engine", "prompt_id", F.col("replicate_index").cast("int").alias("replicate_index")).distinct()
-    engines = a.groupBy(F.lit(1).alias("_one")).agg(F.collect_set("engine").alias("engines"))
-    plan = table(spark, d, "prompts").where("is_active").select("prompt_id", F.lit(1).alias("_one")).join(engines, "_one").select("prompt_id", F.explode("engines").alias("engine"))
+    plan = relational.with_each(table(spark, d, "prompts").where("is_active").select("prompt_id"), a.select("engine").distinct())
     plan = plan.withColumn("replicate_index", F.explode(F.sequence(F.lit(0), F.lit(2))))
     done = plan.join(a.withColumn("done", F.lit(True)), ["engine", "prompt_id", "replicate_index"], "left")
     return done.groupBy("engine").agg(F.count("*").alias("planned"), F.count_if(F.col("done").isNull()).alias("missing"))
