@@ -138,3 +138,43 @@ def citation_buckets(answers: DataFrame, own_domain: str) -> DataFrame:
     urls = F.coalesce("citations", F.array().cast("array<string>"))
     own = F.exists(urls, lambda u: F.coalesce(F.contains(host(u), F.lit(own_domain)), F.lit(False)))
     return answers.select("answer_id", F.when(F.size(urls) == 0, "no_citation").when(own, "own_site").otherwise("third_party").alias("bucket"))
+
+
+def model_visibility(answers: DataFrame, needles: list[str]) -> DataFrame:
+    """(engine, run_id, prompts, mentions, rate, missed) of the latest run of each engine; missed: prompts that never name the brand.
+
+    answers: engine, run_id, prompt_id, answer_id, created_at, response_text. A run is as late as its latest answer.
+    """
+    runs = answers.groupBy("engine", "run_id").agg(F.max(F.struct("created_at", "answer_id")).alias("at"))
+    last = runs.groupBy("engine").agg(F.max_by("run_id", "at").alias("run_id"))
+    own = mentions(answers.join(last, ["engine", "run_id"], "left_semi"), needles)
+    per = own.groupBy("engine", "run_id", "prompt_id").agg(F.bool_or("mentioned").alias("named"))
+    out = per.groupBy("engine", "run_id").agg(F.count("*").alias("prompts"), F.count_if("named").alias("mentions"), F.array_sort(F.collect_list(F.when(~F.col("named"), F.col("prompt_id")))).alias("missed"))
+    return out.withColumn("rate", F.round(rate(F.col("mentions"), F.col("prompts")), 6))
+
+
+def mention_rate(answers: DataFrame, group: str, needles: list[str]) -> DataFrame:
+    """(group, answers, mentions, mention_rate): 0.0 where a group has no answers, as in the older reports."""
+    m = mentions(answers, needles)
+    n = F.count_if(F.col("answer_id").isNotNull())
+    return m.groupBy(group).agg(n.alias("answers"), F.count_if("mentioned").alias("mentions"), F.round(F.coalesce(rate(F.count_if("mentioned"), n), F.lit(0.0)), 6).alias("mention_rate"))
+
+
+def critical_notes(claims: DataFrame, completeness: DataFrame) -> DataFrame:
+    """(position, note, figure): how far the figures of an audit can be trusted.
+
+    claims: is_competitor, verdict; completeness: one row with completeness. Wrong claims, or that none was proven wrong among
+    those that could be checked; thin documentation; claims that the documentation does not cover. At least one note.
+    """
+    own = claims.where(~F.coalesce("is_competitor", F.lit(False)))
+    wrong, checked = F.col("verdict").isin("incorrect", "likely_confusion"), F.col("verdict").isin(*COMPARED)
+    figures = own.agg(F.count_if(wrong).alias("wrong"), F.count_if(checked).alias("checked"), F.count_if(F.col("verdict").startswith("unverifiable")).alias("open")).withColumn("_one", F.lit(0))
+    both = completeness.select(F.col("completeness").cast("double").alias("share"), F.lit(0).alias("_one")).join(figures, "_one", "right")
+    note = lambda at, c, text, figure: F.when(c, F.struct(F.lit(at).cast("bigint").alias("position"), F.lit(text).alias("note"), figure.cast("double").alias("figure")))
+    notes = F.array(
+        note(0, F.col("wrong") > 0, "wrong claims", F.col("wrong")),
+        note(1, F.col("wrong") == 0, "no claim proven wrong among those checked", F.col("checked")),
+        note(2, F.col("share") < LOW_COMPLETENESS, "documentation covers few attributes", F.col("share")),
+        note(3, F.col("open") > 0, "claims that the documentation cannot check", F.col("open")),
+    )
+    return both.select(F.explode(F.filter(notes, lambda x: x.isNotNull())).alias("n")).select("n.*")

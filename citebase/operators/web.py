@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citebase.functions.numbers import text_forms
-from citebase.functions.web import NO_PAGES, hrefs, resolve, visible_text
+from citebase.functions.web import NO_PAGES, crawl_prefix, first_segment, hrefs, resolve, visible_text
+from citebase.operators.relational import reachable
 
 #: The crawlers of answer engines that are checked.
 CRAWLERS = [
@@ -98,3 +99,27 @@ def value_visible(claims: DataFrame) -> DataFrame:
     number = F.regexp_like(text, F.concat(F.lit(rf"(?:^|{edge})(?:"), quoted, F.lit(rf")(?:$|{edge})")))
     found = F.when(F.col("value_numeric").isNotNull(), number).when(F.col("value_text").isNotNull(), F.contains(F.lower(text), F.lower("value_text")))
     return claims.withColumn("found", found)
+
+
+def crawl(pages: DataFrame, start: str, max_depth: int = 10) -> DataFrame:
+    """(url, hop) of the pages reached from a start page by links below its path; each page once, breadth first.
+
+    pages: page_id, url, html of what can be fetched. A link to a page that is not there leads nowhere.
+    """
+    prefix = crawl_prefix(F.lit(start))
+    bare = pages.withColumn("url", F.regexp_replace("url", r"[?#].*$", ""))
+    edges = links(bare, prefix=prefix).where("url is not null").join(bare.select("page_id", F.col("url").alias("a")), "page_id").select("a", F.col("url").alias("b"))
+    there = bare.select(F.col("url").alias("node")).distinct()
+    found = reachable(edges, there.where(F.col("node") == start), max_depth)
+    return found.join(there, "node", "left_semi").select(F.col("node").alias("url"), "hop")
+
+
+def skip_reasons(pages: DataFrame, prefix: str, sections: list[str], known: DataFrame, least: int = 200) -> DataFrame:
+    """(page_id, skip_reason): why a crawled page is not extracted; null for those that are.
+
+    pages: page_id, url, text, sha256. Outside the product sections, too little text, unchanged (a known sha256), in that order.
+    """
+    there = known.select("sha256").distinct().withColumn("_known", F.lit(True))
+    section = F.coalesce(first_segment(F.col("url"), prefix).isin(*sections), F.lit(False))
+    reason = F.when(~section, "no product page").when(F.length(F.coalesce("text", F.lit(""))) < least, "too little text").when(F.col("_known"), "unchanged")
+    return pages.join(there, "sha256", "left").select("page_id", reason.alias("skip_reason"))

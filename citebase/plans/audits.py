@@ -262,3 +262,38 @@ def sessions(spark, d):
 def top_hosts(spark, d):
     u = table(spark, d, "visibility_answers").select(F.explode("citations").alias("url")).select(host(F.col("url")).alias("host"))
     return u.groupBy("host").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(20)
+
+
+@query("""with r as (select engine, run_id, max((created_at, answer_id)) as latest from visibility_answers group by 1, 2), l as (select engine, arg_max(run_id, latest) as run_id from r group by 1),
+p as (select engine, run_id, prompt_id, bool_or(coalesce(contains(lower(response_text), 'noravell') or contains(lower(response_text), 'noramardo'), false)) as named from visibility_answers join l using (engine, run_id) group by 1, 2, 3)
+select engine, run_id, count(*)::bigint as prompts, count(*) filter (named)::bigint as mentions, coalesce(string_agg(prompt_id, ',' order by prompt_id) filter (not named), '') as missed, round(count(*) filter (named) / count(*), 6) as rate from p group by 1, 2""")
+def model_visibility(spark, d):
+    """Latest run of each engine with its mention rate and the prompts that miss the brand."""
+    a = table(spark, d, "visibility_answers").select("engine", "run_id", "prompt_id", "answer_id", "created_at", "response_text")
+    return audit.model_visibility(a, NEEDLES).withColumn("missed", F.array_join(F.transform("missed", lambda x: x.cast("string")), ","))
+
+
+@query("select engine, count(*)::bigint as answers, count(*) filter (coalesce(contains(lower(response_text), 'noravell'), false))::bigint as mentions, round(count(*) filter (coalesce(contains(lower(response_text), 'noravell'), false)) / count(*), 6) as mention_rate from visibility_answers group by 1")
+def benchmark_mentions(spark, d):
+    return audit.mention_rate(table(spark, d, "visibility_answers"), "engine", ["Noravell"])
+
+
+@query(f"""with {JUDGED}, {COVER}, g as (select count(*) filter (verdict in ('incorrect', 'likely_confusion')) as wrong, count(*) filter (verdict in ('correct', 'incorrect', 'likely_confusion')) as checked, count(*) filter (verdict like 'unverifiable%') as open from j where not is_competitor), c as (select sum(s) / sum(n) as share from cov)
+select 0::bigint as position, 'wrong claims' as note, wrong::double as figure from g where wrong > 0 union all select 1, 'no claim proven wrong among those checked', checked from g where wrong = 0
+union all select 2, 'documentation covers few attributes', round(share, 6) from c where share < 0.25 union all select 3, 'claims that the documentation cannot check', open from g where open > 0""")
+def critical_notes(spark, d):
+    c = covered(spark, d).agg(F.round(relational.rate(F.sum(F.size("stated")), F.sum(F.size("stated") + F.size("missing"))), 6).alias("completeness"))
+    return audit.critical_notes(judged(spark, d), c)
+
+
+@query("select prompt_id, intent from prompts where is_active")
+def active_prompts(spark, d):
+    return table(spark, d, "prompts").where("is_active").select("prompt_id", "intent").orderBy("intent", "prompt_id")
+
+
+@query("""select run_id, coalesce(finished_at is not null, false) as done, case when status = 'running' and finished_at is null then 'stalled' else coalesce(status, 'unknown') end as state, coalesce(claims_inserted, 0)::bigint as inserted from extraction_runs""")
+def run_states(spark, d):
+    """Status by cases, old values kept where there is no new one."""
+    r = table(spark, d, "extraction_runs")
+    state = F.when((F.col("status") == "running") & F.col("finished_at").isNull(), "stalled").otherwise(F.coalesce("status", F.lit("unknown")))
+    return r.select("run_id", F.col("finished_at").isNotNull().alias("done"), state.alias("state"), F.coalesce("claims_inserted", F.lit(0)).cast("bigint").alias("inserted"))

@@ -135,3 +135,22 @@ def stream_latest(spark, d):
     """The latest value of each key by a stream over all files there, run to its end."""
     s = latest.file_stream(spark, d, "events.parquet").select("user_id", "event_type", "event_id", "ts", "value")
     return latest.run_available(latest.latest_values(s, ["user_id", "event_type"], ["ts", "event_id"]), "stream_latest").drop("ts")
+
+
+@query("""with d as (select doc_id, source, text, sha256(text) as sha, 'https://plafond.example/' || coalesce(doc_kind, 'none') || '/' || doc_id as url from documents), k as (select sha, min(doc_id) as first from d group by 1)
+select doc_id as page_id, case when split_part(substr(url, 25), '/', 1) not in ('datasheet', 'brochure', 'webpage') then 'no product page' when length(coalesce(text, '')) < 200 then 'too little text' when doc_id <> k.first then 'unchanged' end as skip_reason from d left join k using (sha)""")
+def page_skip_reasons(spark, d):
+    """Why a page is not extracted; a text seen under an earlier id is unchanged."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text", F.sha2("text", 256).alias("sha256"), F.concat(F.lit("https://plafond.example/"), F.coalesce("doc_kind", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string")).alias("url"))
+    first = docs.groupBy("sha256").agg(F.min("page_id").alias("first"))
+    again = docs.join(first, "sha256").withColumn("sha256", F.when(F.col("page_id") == F.col("first"), F.concat("sha256", F.lit("-first"))).otherwise(F.col("sha256")))
+    return web.skip_reasons(again, "https://plafond.example/", ["datasheet", "brochure", "webpage"], first.select("sha256"))
+
+
+@query()
+def parsed_pages(spark, d):
+    """Lines and tables of all pages by the HTML parser."""
+    from citebase.sources.files import parse_pages
+
+    p = parse_pages(pages(spark, d))
+    return p.select("page_id", "page.title", F.size("page.page_lines").cast("bigint").alias("lines"), F.size("page.page_tables").cast("bigint").alias("tables"), F.length("page.text").cast("bigint").alias("characters"))

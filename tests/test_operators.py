@@ -243,3 +243,30 @@ def test_citations(spark):
     a = spark.createDataFrame([(1, ["https://www.acme.example/a", "https://www.acme.example/a"]), (2, ["https://x.example/b"]), (3, []), (4, None)], "answer_id int, citations array<string>")
     assert {(r.domain, r.citations, r.answers) for r in audit.citation_domains(a).collect()} == {("acme.example", 2, 1), ("x.example", 1, 1)}
     assert {r.answer_id: r.bucket for r in audit.citation_buckets(a, "acme.example").collect()} == {1: "own_site", 2: "third_party", 3: "no_citation", 4: "no_citation"}
+
+
+def test_crawl(spark):
+    page = lambda i, url, *hrefs: (i, url, "".join(f'<a href="{h}">x</a>' for h in hrefs))
+    rows = [page(1, "https://a.example/nl", "nl/x", "/nl/y#p", "/en/z", "/nl/f.pdf"), page(2, "https://a.example/nl/x", "y?q=1", "/nl/gone"), page(3, "https://a.example/nl/y", "https://a.example/nl/x", "/nl/deep/er"), page(4, "https://a.example/nl/deep/er"), page(5, "https://a.example/en/z"), page(6, "https://a.example/nl/alone")]
+    got = {r.url.split("example")[1]: r.hop for r in web.crawl(spark.createDataFrame(rows, "page_id int, url string, html string"), "https://a.example/nl").collect()}
+    assert got == {"/nl": 0, "/nl/x": 1, "/nl/y": 1, "/nl/deep/er": 2}
+
+
+def test_skip_reasons(spark):
+    rows = [(1, "https://a.example/nl/product/1", "t" * 300, "h1"), (2, "https://a.example/nl/product/2", "t", "h2"), (3, "https://a.example/nl/blog/3", "t" * 300, "h3"), (4, "https://a.example/nl/product/4", "t" * 300, "old"), (5, None, None, None)]
+    got = {r.page_id: r.skip_reason for r in web.skip_reasons(spark.createDataFrame(rows, "page_id int, url string, text string, sha256 string"), "https://a.example/nl/", ["product"], spark.createDataFrame([("old",), (None,)], "sha256 string")).collect()}
+    assert got == {1: None, 2: "too little text", 3: "no product page", 4: "unchanged", 5: "no product page"}
+
+
+def test_notes(spark):
+    c = spark.createDataFrame([(False, "correct"), (False, "unverifiable_spec"), (True, "incorrect")], "is_competitor boolean, verdict string")
+    share = spark.createDataFrame([(0.1,)], "completeness double")
+    assert [(r.position, r.figure) for r in audit.critical_notes(c, share).collect()] == [(1, 1.0), (2, 0.1), (3, 1.0)]
+    assert [r.position for r in audit.critical_notes(c.limit(0), share.limit(0)).collect()] == [1]
+
+
+def test_with_each(spark):
+    few = spark.createDataFrame([("a", ["x"], {"k": 1}), ("b", None, None)], "n string, l array<string>, m map<string,int>")
+    got = relational.with_each(spark.range(2), few).collect()
+    assert {(r.id, r.n) for r in got} == {(0, "a"), (0, "b"), (1, "a"), (1, "b")} and [r.m for r in got if r.n == "a"] == [{"k": 1}] * 2
+    assert relational.with_each(spark.range(2), few.limit(0)).count() == 0
