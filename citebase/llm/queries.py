@@ -38,8 +38,9 @@ def p5_found(spark, sf_dir):
 
 
 def p6_containers(spark, sf_dir):
-    """Every text in a container of each capacity."""
-    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
+    """Every text in a container of each capacity. ``spark.citebase.tokenizers`` names another folder of vocabularies."""
+    folder = spark.conf.get("spark.citebase.tokenizers", packing.FOLDER)
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"), folder)
 
 
 def p7_found(spark, sf_dir):

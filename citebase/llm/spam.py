@@ -28,10 +28,11 @@ FUNCTION_WORDS = (
     "der die das den dem des und ist nicht von zu zum zur ein eine einen einem einer hat wird werden wurde auf bei aus im wenn sich als wer wonach obwohl dass doch denn damit warum nach laut bis über unter zwischen nur noch auch kann man wir ihm solche sagen wenig viele sowie sonst lässt alles alle deshalb erst danach steht gibt zeigte erhielt legte hörte mit für diese dieser dieses seit zwei ohne wo länger wirkt wünschte "
     "le la les du une un des est sont pour avec dans que qui sur par au aux et l d qu s n c ce cette ces si bien mais car ou où puis sous plus moins après avant selon comme sans tant depuis entre pourquoi reste disent peu ont été être se son sa ses leur leurs lui il elle nous vous on ne pas y en dont souvent doit sinon même "
 )
-_FUNCTION = frozenset(FUNCTION_WORDS.split()) - {"in", "en", "ook", "a", "on", "de", "of", "y"}
-#: Words that also join keywords and so make no clause.
+#: Function words that also join keywords; alone they make no clause.
 _WEAK = frozenset("in en ook a on de of y et und and pour für voor for".split())
+_FUNCTION = frozenset(FUNCTION_WORDS.split()) - _WEAK
 
+_BINDING = _FUNCTION | _WEAK
 _WORD = re.compile(r"[^\W_]+")
 _HTML_LINK = re.compile(r"<a\b[^>]*>.*?</a>", re.S | re.I)
 _MARKDOWN_LINK = re.compile(r"\[[^\]\n]{0,200}\]\([^)\s]{3,300}\)")
@@ -48,7 +49,7 @@ def is_clause(words: list[str]) -> bool:
     """Function words bind the others together."""
     if len(words) < 4:
         return False
-    bound = [w for w in words if w in _FUNCTION or w in _WEAK]
+    bound = [w for w in words if w in _BINDING]
     if len(bound) < CLAUSE_SHARE * len(words):
         return False
     kinds = set(bound)
