@@ -242,12 +242,12 @@ def as_of_purchase(spark, d):
     return relational.as_of(e.select("event_id", "user_id", "ts"), buys, "user_id", "ts", ["value"], slices=F.date_trunc("day", F.col("ts"))).select("event_id", F.col("right_value").alias("last_value"))
 
 
-@query("select coalesce(l_returnflag, 'all') as l_returnflag, coalesce(l_linestatus, 'all') as l_linestatus, count(*)::bigint as n, cast(sum(cast(l_quantity as decimal(18,2))) as double) as quantity, round(quantile_cont(l_extendedprice, 0.5), 4) as median_price from lineitem group by cube (l_returnflag, l_linestatus)")
+@query("select coalesce(l_returnflag, 'all') as l_returnflag, coalesce(l_linestatus, 'all') as l_linestatus, count(*)::bigint as n, cast(sum(cast(l_quantity as decimal(18,2))) as double) as quantity, min(l_extendedprice) as lowest, max(l_extendedprice) as highest from lineitem group by cube (l_returnflag, l_linestatus)")
 def verdict_cube(spark, d):
-    """Cube with counts, exact sums and a percentile."""
+    """Cube with counts, exact sums and extremes: aggregates of constant size, combined before the shuffle."""
     c = table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus")
-    out = c.agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"), F.round(F.percentile("l_extendedprice", F.lit(0.5)), 4).alias("median_price"))
-    return out.select(F.coalesce("l_returnflag", F.lit("all")).alias("l_returnflag"), F.coalesce("l_linestatus", F.lit("all")).alias("l_linestatus"), "n", "quantity", "median_price")
+    out = c.agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"), F.min("l_extendedprice").alias("lowest"), F.max("l_extendedprice").alias("highest"))
+    return out.select(F.coalesce("l_returnflag", F.lit("all")).alias("l_returnflag"), F.coalesce("l_linestatus", F.lit("all")).alias("l_linestatus"), "n", "quantity", "lowest", "highest")
 
 
 @query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minutes then 0 else 1 end as opens from events), s as (select *, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from g)
