@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -67,12 +68,8 @@ _ASK = re.compile(r"(?i)(?:antwoord|antworte|reply|answer|respond|répon)\w*")
 
 def languages(text: str) -> dict[str, int]:
     """Words of each language."""
-    n = dict.fromkeys(LANGUAGE_WORDS, 0)
-    for w in _WORD.findall(text.lower()):
-        lang = _LANGUAGE.get(w)
-        if lang:
-            n[lang] += 1
-    return n
+    n = Counter(map(_LANGUAGE.get, _WORD.findall(text.lower())))
+    return {lang: n[lang] for lang in LANGUAGE_WORDS}
 
 
 def expected_language(prompt: str, locale: str | None) -> str | None:
