@@ -17,6 +17,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -126,8 +127,7 @@ class Index:
         words = normal_words(text)
         if len(words) < RUN or not self.items:
             return set()
-        get = self.terms.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+        ids = np.fromiter(map(self.terms.get, words, repeat(0)), np.int32, len(words))
         upper = np.concatenate(([0.0], np.cumsum(self.most[ids])))
         starts = np.flatnonzero(upper[RUN:] - upper[:-RUN] >= 1.0)
         found: set[int] = set()
