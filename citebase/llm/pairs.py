@@ -200,7 +200,9 @@ def defect_of(text: str | None, prompt: Prompt | None, closings: set[str]) -> st
 
 def closing_lines(answers: DataFrame) -> set[str]:
     """Unpunctuated last lines that recur in at least ``CLOSING_SHARE`` of all answers: at most 1 / CLOSING_SHARE of them."""
-    tail = F.regexp_extract(F.rtrim("response_text"), r"(?:^|\n|[.!?]\s+)([\p{L}][^\n.!?|:]{3,78}\p{L})\s*$", 1)
+    # the pattern spans 80 characters, so it cannot begin where a longer text was cut
+    end = F.right(F.rtrim("response_text", F.lit(" \t\r\n")), F.lit(100))
+    tail = F.regexp_extract(end, r"(?:^|\n|[.!?]\s+)([\p{L}][^\n.!?|:]{3,78}\p{L})$", 1)
     tails = answers.select(F.lower(F.trim(tail)).alias("tail"))
     n = answers.count()
     rows = tails.where("tail <> ''").groupBy("tail").count().where(F.col("count") >= max(3, n * CLOSING_SHARE)).select("tail").collect()
