@@ -70,3 +70,45 @@ def test_edges(spark, specs):
     row = (7, "Acme 60", "thickness_mm", 3.0, None, None, "cm", "De Acme 60 heeft een dikte van 3 cm. " + "Tekst zonder maat. " * 5000)
     twice = spark.createDataFrame([row, row], CLAIMS).withColumns({c: F.lit(1) for c in ("key", "q", "factor", "lang", "unit_id", "resolved", "entered", "alias")})
     assert [r.value_milli for r in values_to_convert(twice, specs.withColumn("factor", F.lit(3))).collect()] == [30000, 30000]
+
+
+FRAMES = {
+    "nl": ["De {p} heeft een dikte van {v}.", "Volgens de fabrikant haalt de {p} een dikte van {v}.", "{p}: dikte {v}."],
+    "en": ["The {p} has a thickness of {v}.", "At {v} the thickness of the {p} is more than enough.", "{p}: thickness {v}."],
+    "de": ["Mit {v} reicht die Dicke der {p} völlig aus.", "Laut Hersteller ist die Dicke der {p} mit {v} angegeben."],
+    "fr": ["Avec {v}, la épaisseur du {p} suffit largement.", "Selon le fabricant la épaisseur du {p} vaut {v}."],
+}
+
+
+def written(x, lang, grouped):
+    """A number as a language writes it, thousands grouped or not."""
+    whole, _, rest = f"{x:.3f}".rstrip("0").rstrip(".").partition(".")
+    if grouped and len(whole) > 3:
+        whole = whole[:-3] + {"nl": ".", "de": ".", "en": ",", "fr": " "}[lang] + whole[-3:]
+    return whole + ((("." if lang == "en" else ",") + rest) if rest else "")
+
+
+def test_made_claims_come_out_as_made(spark, specs):
+    """Claims written from known values in every language, unit and number form, against their own truth."""
+    import random
+
+    from citebase.operators.units import UNITS
+
+    r, rows, want = random.Random(11), [], {}
+    length = [(u, f, names) for u, q, f, _, names in UNITS if q == "length"]
+    for i in range(600):
+        lang = r.choice(list(FRAMES))
+        unit, factor, names = r.choice(length)
+        x = r.choice([r.randint(1, 900), round(r.uniform(0.05, 99), 2), r.randint(1000, 9999), round(r.uniform(1, 9), 3)])
+        stated = written(x, lang, r.random() < 0.7) + r.choice([" ", "", " "]) + r.choice(names)
+        quote = r.choice(FRAMES[lang]).format(p="Acme Mono 60", v=stated)
+        if r.random() < 0.2:
+            quote = quote[:-1] + " (gemeten bij 334 mm afhanghoogte)."
+        kind = r.choice(["stated", "stated", "converted", "text"])
+        number = {"stated": float(x), "converted": round(x * factor, 6), "text": None}[kind]
+        rows.append(("Acme Mono 60", "thickness_mm", number, None, stated if kind == "text" else None, r.choice([None, "mm", unit]) if kind != "text" else None, quote))
+        if kind == "text" or unit != "mm" and number == float(x):
+            want[i, "value_numeric"] = round(round(x * factor * 1000, 5))
+    got = run(spark, specs, rows)
+    wrong = {k: (rows[k[0]], got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)}
+    assert not wrong, list(wrong.values())[:5]
