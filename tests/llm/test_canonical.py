@@ -51,3 +51,31 @@ def test_slices_give_the_same(spark, sf_dir, monkeypatch):
     whole = sorted(tuple(r) for r in p2_found(spark, sf_dir).collect())
     monkeypatch.setattr(c, "LIST_BOUND", 400)
     assert sorted(tuple(r) for r in p2_found(spark, sf_dir).collect()) == whole
+
+
+def test_made_names_come_out_as_made(spark, sf_dir):
+    """Listed names, decorated and mistyped at random, against the product they were made from."""
+    import random
+
+    r = random.Random(9)
+    listed = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/products.parquet").select("product_id", "brand_name", "product_name").collect()]
+    products = c.ProductList(listed)
+    owners = {}
+    for _, brand, name in listed:
+        owners.setdefault(name, []).append(brand)
+    wrong = []
+    for _ in range(3000):
+        product_id, brand, name = r.choice(listed)
+        series, qualifier, number = name.split()
+        if r.random() < 0.4:
+            i = r.randrange(1, len(series) - 1)
+            series = r.choice([series[:i] + series[i + 1 :], series[:i] + series[i] + series[i:], series[: i - 1] + series[i] + series[i - 1] + series[i + 1 :]])
+        qualifier = r.choice([qualifier, qualifier, qualifier[:4] + ".", *(a.title() for a in c.QUALIFIER_ALIASES[qualifier.lower()])])
+        parts = [series, qualifier, r.choice([number, f"nr. {number}", f"n°{number}", number.replace("0", "O")])]
+        if r.random() < 0.3:
+            parts[1:] = parts[:0:-1]
+        text = r.choice([" ", "  ", "-", "_", "/"]).join(parts)
+        text = r.choice([text, text.upper(), text.lower(), f"{brand} {text}", f"{text} by {brand}", f"paneel {text}", f"{text} tegel 1200x600", f'"{text}"', text.replace(series, series + "™")])
+        if products.resolve(text, r.choice([brand, brand.upper(), f"{brand} GmbH"])) != product_id:
+            wrong.append((text, brand, name))
+    assert len(wrong) <= 15, wrong[:10]  # a slip of the pen can make another listed series
