@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder that holds this package.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def session(name: str = "citebase", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     return (
@@ -24,8 +28,17 @@ def session(name: str = "citebase", cores: str = "*", shuffle_partitions: int =
     )
 
 
+def importable_by_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from its folder, whatever folder the driver was started in."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder. Only Parquet footers are read here; columns and filters are pushed down by the planner."""
+    importable_by_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
