@@ -1,11 +1,13 @@
 """Product listings that describe the same item.
 
 Attributes are parsed out of name and specification text and brought to canonical units. Equal parses are one
-representative, so a product listed any number of times is compared once. Representatives are compared within blocks
-(number and the usual spelling or a one-deletion form of the series, with and without the other attributes; the runs' own warnings as a further
-source), each with the block's most frequent one, so a block costs as many comparisons as it has members. Linkage weights
+representative, so a product listed any number of times is compared once. Every two representatives of one number and
+close series that agree in all attributes both state meet, by way of the most frequent one of a block whose members all
+show the same agreement (``agreeing_pairs``), so a block costs as many comparisons as it has members. Blocks of number and
+series form alone (each with its most frequent member) and the runs' own warnings add pairs that differ. Linkage weights
 are fitted by expectation-maximisation over the counts of the agreement patterns, links above a threshold that contradict
-each other in no attribute are clustered.
+each other in no attribute are clustered. A listing that leaves an attribute open and fits products that differ in it is
+not joined to either.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ EM_ROUNDS = 50
 FIELDS = ["brand", "series", "number", "size", "thickness", "edge", "colour", "ref"]
 #: Attributes in which two listings of one product may not differ.
 STRICT = ["brand", "number", "size", "thickness", "edge", "colour"]
+#: Those of them that a listing with a series may leave open; a set of them is a number with a bit for each.
+OPEN = [c for c in STRICT if c != "number"]
 
 #: Colours in the four languages.
 COLOURS = {
@@ -194,6 +198,56 @@ def usual_series(reps: DataFrame) -> DataFrame:
     return near.groupBy("number", "series").agg(F.max("best").alias("best")).select("number", "series", F.col("best.series").alias("usual"))
 
 
+def close_series(usual: DataFrame) -> DataFrame:
+    """(number, series, other): spellings of a number one edit apart whose usual spellings differ, either way round.
+
+    Few spellings share a one-deletion form, however many listings there are.
+    """
+    forms = usual.where("usual is not null").select("number", "series", "usual").distinct().withColumn("form", F.explode(deletions(F.col("series"))))
+    others = forms.select("number", "form", F.col("series").alias("other"), F.col("usual").alias("other_usual"))
+    near = forms.join(others, ["number", "form"]).where((F.col("usual") != F.col("other_usual")) & one_edit(F.col("series"), F.col("other")))
+    return near.select("number", "series", "other").distinct()
+
+
+def agreeing_pairs(usual: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that connect all representatives of close series that contradict each other in no attribute, and
+    (id, open, unclear) with the attributes a representative leaves open and those of them in which its partners differ.
+
+    A block holds the representatives that leave open one set of attributes and those that leave open another, with equal
+    values in all the rest: each of a side agrees with each of the other side, in the same attributes. So meeting the most
+    frequent one of the other side (of any reference, of none and of the same one, as references may differ) connects
+    whatever all pairs of the block would connect. One that leaves open what its partners differ in meets only those that
+    leave it open too: it would bridge different products.
+    """
+    bits = [F.when(F.col(c).isNull(), 1 << k).otherwise(0) for k, c in enumerate(OPEN)]
+    known = usual.where("usual is not null").withColumn("open", sum(bits[1:], bits[0]))
+    masks = sorted(r["open"] for r in known.select("open").distinct().collect())  # at most 2 ** 5
+    spelled = [F.struct(F.concat_ws("|", "number", F.lit("="), "usual").alias("name"), F.lit("").alias("own"), F.lit("").alias("others"))]
+    alike = known.select("id", "n", "ref", "open", "number", *OPEN, *(s.alias("s") for s in spelled))
+    bond = F.struct(F.concat_ws("|", "number", F.least("series", "other"), F.greatest("series", "other")).alias("name"), F.col("series").alias("own"), F.col("other").alias("others"))
+    near = known.join(close_series(usual), ["number", "series"]).select("id", "n", "ref", "open", "number", *OPEN, bond.alias("s"))
+    rows = alike.union(near).withColumn("facing", F.explode(F.array(*(F.lit(m) for m in masks)))) if masks else alike.union(near).withColumn("facing", F.lit(0))
+    either = F.col("open").bitwiseOR(F.col("facing"))
+    values = [F.when(either.bitwiseAND(1 << k) == 0, F.col(c).cast("string")).otherwise("*") for k, c in enumerate(OPEN)]
+    block = F.concat_ws("|", "s.name", F.least("open", "facing"), F.greatest("open", "facing"), *values)
+    sides = [F.concat_ws("|", "s.own", "open").alias("side"), F.concat_ws("|", "s.others", "facing").alias("across")]
+    members = checkpointed(rows.select("id", "n", "ref", "open", "facing", *OPEN, block.alias("block"), *sides))
+
+    stated = members.groupBy("block", "side").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in OPEN for f in (F.min, F.max)))
+    heard = members.where("open <> 0").select("id", "open", "block", F.col("across").alias("side")).join(stated, ["block", "side"])
+    heard = heard.groupBy("id").agg(F.first("open").alias("open"), *(F.min(f"min_{c}").alias(f"min_{c}") for c in OPEN), *(F.max(f"max_{c}").alias(f"max_{c}") for c in OPEN))
+    differ = [F.when((F.col(f"min_{c}") != F.col(f"max_{c}")) & (F.col("open").bitwiseAND(1 << k) != 0), 1 << k).otherwise(0) for k, c in enumerate(OPEN)]
+    unclear = heard.select("id", sum(differ[1:], differ[0]).alias("unclear")).where("unclear <> 0")
+    judged = checkpointed(known.select("id", "open").join(unclear, "id", "left").select("id", "open", F.coalesce("unclear", F.lit(0)).alias("unclear")))
+
+    met = members.join(judged.select("id", "unclear"), "id").where(F.col("unclear").bitwiseAND(F.bitwise_not("facing")) == 0)
+    ref = F.concat(F.lit("="), F.col("ref"))
+    hubs = met.withColumn("which", F.explode(F.array(F.lit("*"), F.coalesce(ref, F.lit("?"))))).groupBy("block", "side", "which").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("hub"))
+    seeking = met.select("id", "block", F.col("across").alias("side"), F.explode(F.array_distinct(F.array(F.lit("*"), F.lit("?"), F.coalesce(ref, F.lit("?"))))).alias("which"))
+    pairs = seeking.join(hubs, ["block", "side", "which"]).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    return pairs, judged
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) by propagating the least label along edges until none changes; every round cuts its lineage."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -223,10 +277,11 @@ def group_listings(listings: DataFrame, extraction_runs: DataFrame | None = None
     reps = checkpointed(signed.groupBy("signature", *own).agg(F.min("listing_id").alias("id"), F.count("*").alias("n"), F.min("ref").alias("ref")))
     usual = checkpointed(reps.join(usual_series(reps), ["number", "series"], "left"))
     keyed = usual.where("usual is not null").withColumn("form", F.explode(F.array_union(F.array(F.concat(F.lit("="), "usual")), deletions(F.col("series")))))
-    rest = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("size", "thickness", "edge", "colour")))
-    blocks = keyed.select("id", "n", F.explode(F.array(F.concat_ws("|", "number", "form"), F.concat_ws("|", F.col("number"), F.col("form"), rest))).alias("block"))
+    blocks = keyed.select("id", "n", F.concat_ws("|", "number", "form").alias("block"))
     hubs = blocks.groupBy("block").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("hub"), F.count("*").alias("size")).where("size > 1")
     pairs = blocks.join(hubs, "block").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    agreeing, judged = agreeing_pairs(usual)
+    pairs = pairs.union(agreeing)
     if extraction_runs is not None:
         hints = extraction_runs.select("run_id", F.explode("possible_duplicate_products").alias("w")).select("run_id", F.col("w.new_name").alias("product_name"), F.col("w.existing_id").alias("old"))
         new = listings.select("listing_id", "run_id", "product_name").join(hints, ["run_id", "product_name"]).select("listing_id", "old")
@@ -243,14 +298,18 @@ def group_listings(listings: DataFrame, extraction_runs: DataFrame | None = None
     counts = [(tuple(r[c] for c in g), r["count"]) for r in compared.groupBy(*g).count().collect()]  # at most 3 ** 8 patterns
     linked = [p for p, q in fit_weights(counts).items() if q >= LINK and p[FIELDS.index("series")] == 2 and all(p[FIELDS.index(c)] != 0 for c in STRICT)]
     accepted = compared.sparkSession.createDataFrame(linked or [(-1,) * len(g)], ", ".join(f"{c} int" for c in g))
-    links = compared.join(F.broadcast(accepted), g, "left_semi").select("a", "b")
+    likely = compared.join(F.broadcast(accepted), g, "left_semi").select("a", "b")
+    state = lambda x: judged.select(F.col("id").alias(x), F.col("open").alias(f"{x}_open"), F.col("unclear").alias(f"{x}_unclear"))
+    bridges = lambda x, y: F.col(f"{x}_unclear").bitwiseAND(F.bitwise_not(f"{y}_open")) != 0
+    links = likely.join(state("a"), "a").join(state("b"), "b").where(~(bridges("a", "b") | bridges("b", "a"))).select("a", "b")
     found = components(reps.select("id"), links)
-    members = signed.select("listing_id", "signature", "brand").join(reps.select("signature", "id"), "signature").join(found, "id").select("listing_id", "brand", "component")
-    # a listing without a brand may bridge two brands' products of one name: their groups stay apart
-    whose = members.groupBy("component").agg(F.min("brand").alias("only"), F.max("brand").alias("other"))
-    split = members.join(whose, "component").withColumn("brand", F.when(F.col("only") == F.col("other"), F.col("only")).otherwise(F.coalesce("brand", F.lit("?"))))
-    totals = split.groupBy("component", "brand").agg(F.min("listing_id").alias("group_id"), (F.count("*") - 1).alias("links"))
-    return split.join(totals, (split.component == totals.component) & split.brand.eqNullSafe(totals.brand)).select("listing_id", "group_id", "links")
+    members = signed.select("listing_id", "signature", *STRICT).join(reps.select("signature", "id"), "signature").join(found, "id").select("listing_id", "component", *STRICT)
+    # whatever may have bridged two products: listings that state different values stay apart
+    whose = members.groupBy("component").agg(*(F.min(c).alias(f"least_{c}") for c in STRICT), *(F.max(c).alias(f"most_{c}") for c in STRICT))
+    value = lambda c: F.when(F.col(f"least_{c}") == F.col(f"most_{c}"), F.col(f"least_{c}").cast("string")).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("?")))
+    split = members.join(whose, "component").select("listing_id", "component", F.concat_ws("|", *(value(c) for c in STRICT)).alias("product"))
+    totals = split.groupBy("component", "product").agg(F.min("listing_id").alias("group_id"), (F.count("*") - 1).alias("links"))
+    return split.join(totals, ["component", "product"]).select("listing_id", "group_id", "links")
 
 
 def same_product_pairs(groups: DataFrame) -> DataFrame:

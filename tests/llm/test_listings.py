@@ -45,6 +45,59 @@ def test_groups_against_truth(spark):
     assert groups.count() == 300 and groups.where("links = 0").count() == sum(len(v) == 1 for v in truth.values())
 
 
+def pairs_of(spark, rows):
+    df = spark.createDataFrame([(i, "r", "s", brand, name, spec, None) for i, brand, name, spec in rows], SCHEMA)
+    return {tuple(x) for x in g.same_product_pairs(g.group_listings(df)).collect()}
+
+
+def test_two_brands_of_one_series_and_number(spark):
+    spec = "600x600 mm, d=12 mm, kant A15, wit"
+    rows = [(i, "Acme", "Nekelrislum 508", spec) for i in range(1, 6)] + [(6, "Acme", "Nekelrislm 508", spec)]
+    rows += [(7, "Brinplon", "Nekelrislum 508", spec), (8, "Brinplon", "Nekelrisluma 508", spec), (9, "Brinplon", "Nekelrslum 508", spec)]
+    assert pairs_of(spark, rows) == {(a, b) for ids in (range(1, 7), range(7, 10)) for a in ids for b in ids if a < b}
+
+
+def test_open_attribute(spark):
+    hub = [(i, "Acme", "Nekelrislum 508", "600x600 mm, d=12 mm, kant A15, wit") for i in range(1, 6)]
+    rows = [*hub, (6, "Acme", "Nekelrislum 508", "600x1200 mm, d=20 mm, kant A15, zwart"), (7, "Acme", "Nekelrislum 508", "600x1200 mm, d=20 mm, kant A15, mauve")]
+    first = {(a, b) for a in range(1, 6) for b in range(1, 6) if a < b}
+    assert pairs_of(spark, rows) == first | {(6, 7)}
+    # one that fits two products joins neither and does not bridge them
+    assert pairs_of(spark, [*rows, (8, "Acme", "Nekelrislum 508", "600x1200 mm, d=20 mm, kant A15, groen")]) == first
+
+
+def test_agreeing_pairs_connect_what_all_pairs_connect(spark):
+    r = random.Random(3)
+    spell = ["abcdefgh", "abcdefg", "bcdefgh", "abcdefgi", "abcdfgh", "xbcdefgh"]
+    rows = {tuple(r.choice(x) for x in (["p", "q", None], spell, ["50"], ["1x1", "1x2", None], [12], ["a1", None], ["red", "blue", None])) for _ in range(150)}
+    rows = [(i, r.randint(1, 9), r.choice([None, "x-1", "y-2"]), *x) for i, x in enumerate(sorted(rows, key=str))]
+    reps = spark.createDataFrame(rows, "id bigint, n bigint, ref string, brand string, series string, number string, size string, thickness int, edge string, colour string")
+    usual = reps.join(g.usual_series(reps), ["number", "series"], "left")
+    pairs, judged = g.agreeing_pairs(usual)
+    got = {tuple(x) for x in pairs.collect()}
+    spelled, known = {x.id: x.usual for x in usual.collect()}, {x.id: x for x in reps.collect()}
+    bonds = {(x.series, x.other) for x in g.close_series(usual).collect()}
+    fits = lambda a, b: all(a[c] is None or b[c] is None or a[c] == b[c] for c in g.STRICT) and (spelled[a.id] == spelled[b.id] or (a.series, b.series) in bonds)
+    partners = {i: [b for b in known.values() if b.id != i and fits(a, b)] for i, a in known.items()}
+    unclear = {i: {c for c in g.OPEN if a[c] is None and len({b[c] for b in partners[i]} - {None}) > 1} for i, a in known.items()}
+    assert {x.id: {c for k, c in enumerate(g.OPEN) if x.unclear >> k & 1} for x in judged.collect()} == unclear
+    joins = lambda i, b: all(b[c] is None for c in unclear[i])
+    want = {(i, b.id) for i in known for b in partners[i] if i < b.id and joins(i, b) and joins(b.id, known[i])}
+
+    def parts(edges):
+        label = dict.fromkeys(known)
+        for i in known:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if label[x] is None:
+                    label[x] = i
+                    todo += [b for e in edges if x in e for b in e]
+        return label
+
+    assert got <= want and parts(got) == parts(want)
+
+
 def test_edges(spark):
     rows = [(1, None, None, None, None, None, None), (2, "r", None, None, "", "", None), (3, "r", "s", "Acme", "Nekelrislum 508 600x600 mm", "d=12 mm, kant A15, wit", None), (3, "r", "s", "Acme", "Nekelrislum 508 600x600 mm", "d=12 mm, kant A15, wit", None)]
     runs = spark.createDataFrame([("r", [("Nekelrislum 508 600x600 mm", "x", 3, 0.5)]), ("q", None)], "run_id string, possible_duplicate_products array<struct<new_name:string,existing_name:string,existing_id:bigint,similarity:double>>")
