@@ -16,8 +16,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: An unpunctuated closing line counts as complete from this share of all answers, and from three answers, on.
+#: An unpunctuated closing line counts as complete from this share of all different answers on, if it follows at least so
+#: many different words.
 CLOSING_SHARE = 0.001
+CLOSING_CONTEXTS = 3
 
 #: Words of one of the four languages only.
 LANGUAGE_WORDS = {
@@ -199,13 +201,21 @@ def defect_of(text: str | None, prompt: Prompt | None, closings: set[str]) -> st
 
 
 def closing_lines(answers: DataFrame) -> set[str]:
-    """Unpunctuated last lines that recur in at least ``CLOSING_SHARE`` of all answers: at most 1 / CLOSING_SHARE of them."""
+    """Unpunctuated last lines that recur in at least ``CLOSING_SHARE`` of all different answers: at most 1 / CLOSING_SHARE.
+
+    Copies of an answer, case, spacing and punctuation aside, count once, and what stands before the line has to differ
+    near to it, else a broken-off answer that is stored again and again would make its own end a closing line.
+    """
+    letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
     # the pattern spans 80 characters, so it cannot begin where a longer text was cut
-    end = F.right(F.rtrim("response_text", F.lit(" \t\r\n")), F.lit(100))
-    tail = F.regexp_extract(end, r"(?:^|\n|[.!?]\s+)([\p{L}][^\n.!?|:]{3,78}\p{L})$", 1)
-    tails = answers.select(F.lower(F.trim(tail)).alias("tail"))
-    n = answers.count()
-    rows = tails.where("tail <> ''").groupBy("tail").count().where(F.col("count") >= max(3, n * CLOSING_SHARE)).select("tail").collect()
+    text = F.rtrim("response_text", F.lit(" \t\r\n"))
+    tail = F.regexp_extract(F.right(text, F.lit(100)), r"(?:^|\n|[.!?]\s+)([\p{L}][^\n.!?|:]{3,78}\p{L})$", 1)
+    ended = answers.select(text.alias("t"), tail.alias("tail")).where("tail <> ''")
+    before = letters(F.substring("t", F.lit(1), F.length("t") - F.length("tail")))
+    ends = ended.select(F.lower(F.trim("tail")).alias("tail"), before.alias("before")).select("tail", F.xxhash64("before").alias("text"), F.right("before", F.lit(40)).alias("near")).distinct()
+    n = answers.where("response_text is not null").select(F.xxhash64(letters(F.col("response_text"))).alias("text")).distinct().count()
+    counts = ends.groupBy("tail").agg(F.count_distinct("text").alias("texts"), F.count_distinct("near").alias("contexts"))
+    rows = counts.where((F.col("texts") >= n * CLOSING_SHARE) & (F.col("contexts") >= CLOSING_CONTEXTS)).select("tail").collect()
     return {*CLOSINGS, *(r.tail for r in rows)}
 
 

@@ -53,3 +53,18 @@ def test_rows(spark):
 def test_closing_lines_are_learned(spark):
     rows = [(i, f"Antwoord {i} is goed.\n\nTot de volgende keer") for i in range(5)] + [(9, "Een half woo")]
     assert "tot de volgende keer" in p.closing_lines(spark.createDataFrame(rows, "answer_id int, response_text string"))
+
+
+def test_copies_make_no_closing_line(spark):
+    cut = "Er zijn twee goede opties.\n\nEen paneel van alu"
+    rows = [(i, cut) for i in range(5)] + [(i, cut.upper() + "\n") for i in range(5, 8)] + [(8, "Ja, dat kan. Een paneel van alu")]
+    rows += [(i, f"{'Ja' * i}, dat kan. Er zijn twee goede opties voor een groot zwembad. Het blijft de bes") for i in range(10, 15)]  # one context
+    answers = spark.createDataFrame(rows, "answer_id int, response_text string").withColumn("prompt_id", F.lit(None).cast("bigint"))
+    assert p.closing_lines(answers) == set(p.CLOSINGS)
+    prompts = spark.createDataFrame([], "prompt_id bigint, text string, locale string")
+    assert {tuple(r) for r in p.find_defects(answers, prompts).collect()} == {(i, "truncated") for i, _ in rows}
+
+
+def test_closing_share_is_of_different_answers(spark):
+    rows = [(i, f"Antwoord {i} is goed.\n\nTot de volgende keer") for i in range(4)] + [(9, "Hetzelfde antwoord.")] * 6000
+    assert "tot de volgende keer" in p.closing_lines(spark.createDataFrame(rows, "answer_id int, response_text string"))
