@@ -55,7 +55,7 @@ CLOSINGS = ["succes met het project", "good luck with the project", "viel erfolg
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _TOKEN = re.compile(r"\w+")
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"<[^<>]{1,200}>|</?[a-zA-Z!][^<>]*>")
 _CITATION = re.compile(r"\[\^?\d+\]|【[^】]*】")
 _INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -89,17 +89,25 @@ def expected_language(prompt: str, locale: str | None) -> str | None:
 
 
 def is_empty(text: str | None) -> bool:
+    """Nothing but spacing, markup, citation marks, placeholders and labels, however long."""
     if text is None:
         return True
-    t = text.strip()
-    if len(t) > 120:
-        return not _TOKEN.search(_CITATION.sub("", _TAG.sub("", t)))
-    t = _CITATION.sub(" ", _TAG.sub(" ", html.unescape(_INVISIBLE.sub("", t)))).lower()
-    words = re.sub(r"[^\w\s]", "", t.replace("_", " ")).split()
+    t = text if text.isascii() else _INVISIBLE.sub("", text)
+    if "&" in t:
+        t = html.unescape(t)
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    if "[" in t or "【" in t:
+        t = _CITATION.sub(" ", t)
+    if _TOO_LONG.match(t):
+        return False
+    words = re.sub(r"[^\w\s]", "", t.lower().replace("_", " ")).split()
     return not words or " ".join(words) in _PLACEHOLDERS
 
 
 _PLACEHOLDERS = set(PLACEHOLDERS.split("|"))
+#: More letters and digits than any placeholder has.
+_TOO_LONG = re.compile(rf"(?:[\W_]*+[^\W_]){{{max(map(len, _PLACEHOLDERS)) + 1}}}")
 
 
 def plain(text: str) -> str:

@@ -68,3 +68,14 @@ def test_copies_make_no_closing_line(spark):
 def test_closing_share_is_of_different_answers(spark):
     rows = [(i, f"Antwoord {i} is goed.\n\nTot de volgende keer") for i in range(4)] + [(9, "Hetzelfde antwoord.")] * 6000
     assert "tot de volgende keer" in p.closing_lines(spark.createDataFrame(rows, "answer_id int, response_text string"))
+
+
+@pytest.mark.parametrize("text", ["&nbsp;" * 25, "_" * 130, "<div class='answer'><span style='color:black'>" * 4 + "n/a" + "</span></div>" * 4, "Sources:" + "[12]" * 30, "​" * 130 + "**Antwoord:**", f"<p style='{'x' * 400}'></p>", f"<a href='https://x.example/{'y' * 300}'>keine Angabe</a>", " . " * 5000 + "n/a", "【4†source】" * 20 + "Bron:"])
+def test_long_empty_answers(text):
+    assert len(text) > 120 and p.defect_of(text, p.Prompt(ASK, "nl"), set()) == "empty"
+
+
+def test_long_answers_with_little_text():
+    for text in ("<div>" * 40 + "Ja, dat kan." + "</div>" * 40, "&nbsp;" * 40 + "EI 60.", "12" + " " * 200 + "."):
+        assert p.defect_of(text, p.Prompt(ASK, "nl"), set()) != "empty"
+    assert not p.is_empty(f"Als 3 < 5 is {'een goede keuze voor het bad ' * 10} en 7 > 5.")
