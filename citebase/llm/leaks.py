@@ -35,8 +35,8 @@ BLOCK, ITEM_BOUND = 16, 20_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[̀-ͯ­​-‏‪-‮⁠-⁤﻿᠎]")
-_INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|mark|sup|sub|small|font|wbr)\b[^<>]{0,200}>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,300}>")
+_INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|mark|sup|sub|small|font|wbr)\b[^<>]*>", re.I)
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 
 
 def normal_words(text: str) -> list[str]:

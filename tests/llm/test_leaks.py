@@ -17,6 +17,14 @@ def test_disguises():
     assert index.leaked("") == set() and k.Index([]).leaked(PASSAGE) == set() and k.Index([(1, "te kort"), (2, None)]).leaked(PASSAGE) == set()
 
 
+def test_tags_of_any_length():
+    index, words = k.Index([(1, PASSAGE)]), PASSAGE.split()
+    for tag in ("<a href='https://x.example/?" + "utm=a-b&" * 60 + "'>", "<img src='data:image/png;base64," + "iVBOR/w0K+" * 500 + "'>", f"<span style='{'color: red; ' * 40}'>"):
+        assert len(tag) > 300 and index.leaked(" ".join(words[:14]) + f" {tag} " + " ".join(words[14:])) == {1}
+    assert k.normal_words(f"ge<b class='{'x ' * 150}'>bouw</b>") == ["gebouw"]
+    assert len(k.normal_words("<a " * 200_000)) == 200_000
+
+
 def brute(items, docs):
     runs = {}
     for i, p in items:
