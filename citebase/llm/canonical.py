@@ -9,6 +9,7 @@ The list is broadcast in slices of at most ``LIST_BOUND`` entries, so a longer l
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -26,6 +27,8 @@ LIST_BOUND = 200_000
 CACHE = 200_000
 #: Least similarity of a mistyped name.
 SIMILAR = 0.55
+#: Least similarity of what one edit does not explain: a series beside its qualifier, number and brand, and a spec key.
+SIMILAR_SERIES, SIMILAR_SPEC = 0.6, 0.8
 
 #: Other words for the qualifiers of product names.
 QUALIFIER_ALIASES: dict[str, list[str]] = {
@@ -74,11 +77,54 @@ def pair_similarity(a: str, b: str) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
+def _pair_set(text: str) -> set[str]:
+    """Neighbouring characters of the words of a text, whatever the order of the words."""
+    return {w[i : i + 2] for word in text.split() for w in (f" {word} ",) for i in range(len(w) - 1)}
+
+
+class PairIndex:
+    """Names by their character pairs, for the most similar one by Dice coefficient."""
+
+    def __init__(self, names: dict[str, str]):
+        self.sets = {n: _pair_set(n) for n in names}
+        self.values = names
+        self.holding = defaultdict(list)
+        for n, pairs in self.sets.items():
+            for x in pairs:
+                self.holding[x].append(n)
+
+    def nearest(self, text: str, least: float) -> tuple[float, set[str]]:
+        """The highest similarity from ``least`` on and the values of all names that have it.
+
+        A name so similar shares so many pairs that it holds one of the rarest ones (prefix filter).
+        """
+        pairs = _pair_set(text)
+        shared = math.ceil(least * len(pairs) / (2 - least) - 1e-9)
+        rare = sorted(pairs, key=lambda x: (len(self.holding.get(x, ())), x))[: len(pairs) - shared + 1]
+        best, found = least, set()
+        for n in {n for x in rare for n in self.holding.get(x, ())}:
+            score = 2 * len(pairs & self.sets[n]) / (len(pairs) + len(self.sets[n]))
+            if score > best:
+                best, found = score, set()
+            if score >= best:
+                found.add(self.values[n])
+        return (best, found) if found else (0.0, found)
+
+
 def _one_edit(a: str, b: str) -> bool:
     """A shared deletion form is known; what is left to exclude are two different deletions far apart."""
     return abs(len(a) - len(b)) == 1 or len(a) == len(b) and (sum(p != q for p, q in zip(a, b)) <= 1 or sorted(a) == sorted(b))
 
 
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 class ProductList:
     """Products by series, qualifier and number, and the automaton over everything a name is made of."""
 
@@ -115,6 +161,7 @@ class ProductList:
             kinds[s] = ("s", s)
             for f in deletion_forms(s):
                 self.forms[f].add(s)
+        self.similar = PairIndex({s: s for s in series})
         self.automaton = ahocorasick.Automaton()
         for text, kind in kinds.items():
             self.automaton.add_word(text, (len(text), *kind))
@@ -124,12 +171,12 @@ class ProductList:
         """Series that differ from a run of letters by one edit and share most character pairs with it."""
         return {s for f in deletion_forms(run) for s in self.forms.get(f, ()) if _one_edit(run, s) and pair_similarity(run, s) >= SIMILAR}
 
-    def parse(self, name: str) -> tuple[list[str], str | None, str | None, str | None]:
-        """Possible series, qualifier, number and brand of an entered name."""
+    def parse(self, name: str) -> tuple[list[str], str | None, str | None, str | None, float]:
+        """Possible series, qualifier, number and brand of an entered name, and how similar the series are (1: found)."""
         t = _COUNTER.sub(" ", _SIZE.sub(" ", fold(name)))
         number = next((m.group().replace("o", "0") for m in _NUMBER.finditer(t)), None)
         t = _SEPARATORS.sub(" ", _NUMBER.sub(" ", t))
-        series, qualifier, brand, covered, last = [], None, None, bytearray(len(t)), 0
+        series, qualifier, brand, covered, last, score = [], None, None, bytearray(len(t)), 0, 1.0
         hits = [(end + 1 - size, end + 1, size, kind, value) for end, (size, kind, value) in self.automaton.iter_long(t)]
         starts = {h[0] for h in hits if h[3] == "s"}
         for start, end, size, kind, value in hits:
@@ -175,18 +222,22 @@ class ProductList:
                     near = {q for q in QUALIFIER_ALIASES if deletion_forms(run) & deletion_forms(q) and _one_edit(run, q)}
                     if len(near) == 1:
                         qualifier = near.pop()
-        return series, qualifier, number, brand
+            if not series and qualifier is not None and number is not None:
+                runs = [run for run in dict.fromkeys(_LETTERS.findall(rest)) if 4 <= len(run) <= 40]
+                scored = [self.similar.nearest(run, SIMILAR_SERIES) for run in runs]
+                score = max((x for x, _ in scored), default=0.0)
+                series = sorted({s for run, (x, of) in zip(runs, scored) if x == score for s in of if _edits(run, s) <= 2})
+        return series, qualifier, number, brand, score if series else 0.0
+
+    def candidates(self, name: str, brand: str | None) -> tuple[float, bool, list[tuple], str | None, str | None]:
+        """Similarity of the series, whether a number is stated, the products that fit, the brand given and the one named."""
+        series, qualifier, number, named, score = self.parse(name)
+        found = [p for s in dict.fromkeys(series) for p in self.by_key.get((s, qualifier or ""), ()) if number is None or p[0] == number]
+        return score, number is not None, found, self._brand(brand), named
 
     def resolve(self, name: str, brand: str | None) -> str | None:
         """The product meant, or None."""
-        series, qualifier, number, named = self.parse(name)
-        if not series:
-            return None
-        owner = self._brand(brand) or named
-        found = [p for s in dict.fromkeys(series) for p in self.by_key.get((s, qualifier or ""), ()) if number is None or p[0] == number]
-        if len(found) > 1 or number is None and owner:
-            found = [p for p in found if p[1] == owner] if owner else found
-        return found[0][2] if len(found) == 1 else None
+        return resolved([self], name, brand)
 
     def _brand(self, brand: str | None) -> str | None:
         if not brand:
@@ -197,6 +248,25 @@ class ProductList:
         return self.brands[brand]
 
 
+def resolved(lists: list[ProductList], name: str, brand: str | None) -> str | None:
+    """The product meant among the slices of a list, or None: the most similar series of all slices count.
+
+    A series two edits off needs the product's own qualifier, number and brand beside it.
+    """
+    read = [p.candidates(name, brand) for p in lists]
+    best = max((r[0] for r in read), default=0.0)
+    if not best:
+        return None
+    read_best = [r for r in read if r[0] == best]
+    found = [p for r in read_best for p in r[2]]
+    owner = next((r[k] for k in (3, 4) for r in read if r[k]), None)
+    if best < 1:  # similarity alone cannot tell a mistyped series from one that the list lacks
+        found = [p for p in found if p[1] == owner]
+    elif len(found) > 1 or owner and not all(r[1] for r in read_best):
+        found = [p for p in found if p[1] == owner] if owner else found
+    return found[0][2] if len(found) == 1 else None
+
+
 class SpecList:
     """Spec attributes by every compact name."""
 
@@ -209,6 +279,12 @@ class SpecList:
                     if form:
                         names[form].add(key)
         self.names = {n: k.copy().pop() for n, k in names.items() if len(k) == 1}
+        words = defaultdict(set)
+        for key, nl, en in specs:
+            for name in (key, nl, en, *SPEC_ALIASES.get(key, ())):
+                for form in (self.words(name or ""), self.words(re.sub(r"\s*\([^()]*\)\s*$", "", name or ""))):
+                    words[form].add(key)
+        self.similar = PairIndex({w: k.copy().pop() for w, k in words.items() if w and len(k) == 1})
         self.forms = defaultdict(set)
         self.automaton = ahocorasick.Automaton()
         for n in self.names:
@@ -225,6 +301,10 @@ class SpecList:
         t = unicodedata.normalize("NFKD", text.casefold().replace("µ", "μ"))
         return "".join(c for c in t.translate(_CYRILLIC) if c.isalnum())
 
+    @classmethod
+    def words(cls, text: str) -> str:
+        return " ".join(w for x in _SEPARATORS.split(text) if (w := cls.compact(x)))
+
     def resolve(self, entered: str) -> str | None:
         whole, bare = self.compact(entered), self.compact(re.sub(r"\s*\([^()]*\)\s*:?\s*$", "", entered))
         for name in (whole, bare):
@@ -236,7 +316,12 @@ class SpecList:
         if len(near) == 1:
             return near.pop()
         best = max((n for _, n in self.automaton.iter_long(bare)), key=len, default="") if self.names else ""
-        return self.names[best] if len(best) >= 5 and len(best) >= 0.8 * len(bare) else None
+        if len(best) >= 5 and len(best) >= 0.8 * len(bare):
+            return self.names[best]
+        if len(bare) > 100:
+            return None
+        _, alike = self.similar.nearest(self.words(re.sub(r"\s*\([^()]*\)\s*:?\s*$", "", entered)), SIMILAR_SPEC)
+        return alike.pop() if len(alike) == 1 else None
 
 
 _CYRILLIC = str.maketrans("аеорсухіјѕ", "aeopcyxijs")
@@ -277,8 +362,7 @@ def map_claims(claims: DataFrame, products: DataFrame, spec_attributes: DataFram
             if key not in seen:
                 if len(seen) >= CACHE:
                     seen.clear()
-                found = [x for p in lists if (x := p.resolve(name, brand))]
-                seen[key] = found[0] if len(found) == 1 else "unmatched"
+                seen[key] = resolved(lists, name, brand) or "unmatched"
             return seen[key]
 
         def spec(entered):

@@ -79,3 +79,26 @@ def test_made_names_come_out_as_made(spark, sf_dir):
         if products.resolve(text, r.choice([brand, brand.upper(), f"{brand} GmbH"])) != product_id:
             wrong.append((text, brand, name))
     assert len(wrong) <= 15, wrong[:10]  # a slip of the pen can make another listed series
+
+
+@pytest.mark.parametrize("name,brand,want", [("Kimantokam Acoustic 40", "Daskplon", "p5"), ("Daskplon Kimantokam Acoustic 40", None, "p5"), ("Kimantokam Acoustic 40", None, None), ("Kimantokam Acoustic 40", "Brinplon", None), ("Satteltishhol Lamella 20", "Heskvell", "p7"), ("Gadorgodaall Mono 50", "Brinplon", "p2"), ("Gadorgodaall Mono 50", None, None), ("Kimantokam Acoustic 45", None, None), ("Kimantokam 40", None, None), ("Karelistum Acoustic 40", None, None)])
+def test_products_two_edits_off(products, name, brand, want):
+    assert products.resolve(name, brand) == want
+
+
+@pytest.mark.parametrize("entered,want", [("absorption sound αw", "sound_absorption_alpha_w"), ("Reduction Noise Coefficient", "nrc"), ("reduktion coefficient noise", "nrc"), ("sound insulation", None), ("thickness tolerance class", None)])
+def test_specs_by_their_words(entered, want):
+    assert c.SpecList(SPECS).resolve(entered) == want
+
+
+def test_nearest_against_all_pairs():
+    import random
+
+    r = random.Random(2)
+    names = {"".join(r.choice("abcd") for _ in range(r.randint(4, 9))): str(i) for i in range(80)}
+    index = c.PairIndex(names)
+    for _ in range(300):
+        text, least = "".join(r.choice("abcd") for _ in range(r.randint(4, 9))), r.choice([0.5, 0.6, 0.8])
+        scores = {n: c.pair_similarity(text, n) for n in names}
+        best = max(scores.values())
+        assert index.nearest(text, least) == ((best, {names[n] for n in names if scores[n] == best}) if best >= least else (0.0, set()))
