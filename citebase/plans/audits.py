@@ -250,6 +250,25 @@ def verdict_cube(spark, d):
     return out.select(F.coalesce("l_returnflag", F.lit("all")).alias("l_returnflag"), F.coalesce("l_linestatus", F.lit("all")).alias("l_linestatus"), "n", "quantity", "lowest", "highest")
 
 
+@query("select coalesce(l_returnflag, 'all') as l_returnflag, coalesce(l_linestatus, 'all') as l_linestatus, count(*)::bigint as n, cast(sum(cast(l_quantity as decimal(18,2))) as double) as quantity, round(quantile_cont(l_extendedprice, 0.5), 4) as median_price from lineitem group by cube (l_returnflag, l_linestatus)")
+def verdict_cube_median(spark, d):
+    """Cube with counts, exact sums and an exact percentile, which is read off running sums of the counts of values."""
+    keys = ["l_returnflag", "l_linestatus"]
+    counted = table(spark, d, "lineitem").groupBy(*keys, F.col("l_extendedprice").alias("price")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity"))
+    sets = F.array(*(F.struct(F.lit(i).alias("set"), *((F.col(k) if i >> j & 1 else F.lit(None).cast("string")).alias(k) for j, k in enumerate(keys))) for i in range(4)))
+    values = counted.withColumn("group", F.explode(sets)).groupBy("group", "price").agg(F.sum("n").alias("n"), F.sum("quantity").alias("quantity"))
+    stated = F.when(F.col("price").isNotNull(), F.col("n"))
+    totals = values.groupBy("group").agg(F.sum("n").alias("n"), F.sum("quantity").cast("double").alias("quantity"), F.sum(stated).alias("stated"))
+    summed = relational.running_sum(values.where("price is not null").select("group", "price", F.col("n").alias("times")), ["group"], ["price"], F.col("times"), "so_far", slices=F.floor(F.col("price") / 1000))
+    # the middle lies at (stated - 1) / 2, counted from 0: on a value or between two
+    middle = summed.join(totals, "group").groupBy("group").agg(
+        F.first("n").alias("n"), F.first("quantity").alias("quantity"), *(F.min(F.when(F.col("so_far") > at, F.col("price"))).alias(side) for side, at in (("low", F.floor((F.col("stated") - 1) / 2)), ("high", F.ceil((F.col("stated") - 1) / 2))))
+    )
+    empty = totals.where("stated is null").select("group", "n", "quantity", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    out = middle.unionByName(empty)
+    return out.select(*(F.coalesce(f"group.{k}", F.lit("all")).alias(k) for k in keys), "n", "quantity", F.round((F.col("low") + F.col("high")) / 2, 4).alias("median_price"))
+
+
 @query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minutes then 0 else 1 end as opens from events), s as (select *, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from g)
 select user_id, count(distinct s)::bigint as sessions, max(n)::bigint as longest from (select user_id, s, count(*) as n from s group by 1, 2) group by 1""")
 def sessions(spark, d):

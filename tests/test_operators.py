@@ -270,3 +270,21 @@ def test_with_each(spark):
     got = relational.with_each(spark.range(2), few).collect()
     assert {(r.id, r.n) for r in got} == {(0, "a"), (0, "b"), (1, "a"), (1, "b")} and [r.m for r in got if r.n == "a"] == [{"k": 1}] * 2
     assert relational.with_each(spark.range(2), few.limit(0)).count() == 0
+
+
+def test_median_of_a_cube(spark, tmp_path):
+    import random
+    from statistics import median
+
+    from citebase.plans import catalogue
+
+    r = random.Random(6)
+    rows = [(r.choice("AB"), r.choice(["F", "O", None]), 1.5, r.choice([None, 900.0, 1000.25, 1000.75, 2500.5])) for _ in range(60)] + [("C", "F", 1.0, None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(x) for x in catalogue.QUERIES["verdict_cube_median"](spark, str(tmp_path)).select("l_returnflag", "l_linestatus", "n", F.coalesce("median_price", F.lit(-1.0))).collect())
+    groups = {}
+    for a, b, _, x in rows:
+        for key in ((3, a, b), (1, a, None), (2, None, b), (0, None, None)):
+            groups.setdefault(key, []).append(x)
+    want = sorted((a or "all", b or "all", len(v), round(median(w), 4) if (w := [x for x in v if x is not None]) else -1.0) for (_, a, b), v in groups.items())
+    assert got == want
