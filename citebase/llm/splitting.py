@@ -70,7 +70,8 @@ def split_tokens(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
     """(first token, end token, first character, end character) of each piece of a text; one piece if it fits.
 
     A piece holds at most ``limit`` tokens and, but for the first, begins with the last ``overlap`` tokens of the one
-    before. Where a window has no natural boundary the piece is filled to the limit.
+    before. It ends at the deepest valley of the whole window but its first eighth beyond the overlap, so that pieces advance;
+    valleys there count only where there is no other. Where a window has no natural boundary the piece is filled to the limit.
     """
     tokens = text.split()
     n = len(tokens)
@@ -98,7 +99,8 @@ def split_tokens(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
     pieces, start, done = [], 0, 0
     while n - start > limit:
         top = start + limit
-        window = [g for g in range(max(done + 1, (done + top) // 2), top + 1) if g in score] or [g for g in range(done + 1, top + 1) if g in score and g > start + overlap]
+        least = start + overlap + (limit - overlap) // 8
+        window = [g for g in range(max(done + 1, least), top + 1) if g in score] or [g for g in range(done + 1, top + 1) if g in score and g > start + overlap]
         end = max(window, key=lambda g: (score[g], g)) if window else top
         pieces.append((start, end))
         start, done = max(end - overlap, start + 1), end
@@ -120,8 +122,10 @@ def long_items(chunks: DataFrame, pages: DataFrame, limit: int = LIMIT) -> DataF
     text begins with it.
     """
     path = F.col("heading_path")
-    head = F.regexp_replace(F.lower(F.substring("content", 1, 2000)), r"[^\p{L}\p{N}]+", "")
-    known = F.when((F.size(path) > 0) & F.startswith(head, F.regexp_replace(F.lower(F.array_join(path, "")), r"[^\p{L}\p{N}]+", "")), path)
+    letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    joined = letters(F.array_join(path, ""))
+    # a longer path is compared with the whole text, as any number of other characters may stand between
+    known = F.when((F.size(path) > 0) & (F.startswith(letters(F.substring("content", 1, 2000)), joined) | (F.length(joined) > 200) & F.startswith(letters(F.col("content")), joined)), path)
     a = chunks.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.lit(0).alias("item_index"), known.alias("heading_path"), F.col("content").alias("text"))
     tables = pages.select("page_id", F.posexplode("page_tables").alias("item_index", "t"))
     b = tables.select(F.lit("table").alias("item_kind"), F.col("page_id").alias("item_id"), "item_index", F.lit(None).cast("array<string>").alias("heading_path"), table_text(F.col("t.rows")).alias("text"))

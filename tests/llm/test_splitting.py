@@ -101,3 +101,17 @@ def test_whole_tables_against_direct_count(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/document_pages.parquet").collect():
         want |= {("table", r.page_id, k) for k, t in enumerate(r.page_tables or []) if t and sum(len((c or "").split()) for row in t.rows or [] for c in row or []) > 800}
     assert got == want
+
+
+def test_deepest_valley_of_the_whole_window():
+    r = random.Random(1)
+    # a new topic after 260 words, with sentences of one topic to the end
+    words = [f"{'a' if i < 260 else 'b'}{r.randint(0, 9)}" + ("." if i % 10 == 9 else "") for i in range(900)]
+    assert s.split_tokens(" ".join(words))[0][:2] == (0, 260)
+
+
+def test_long_heading_path(spark):
+    path = [f"Kop {i} " + "woord " * 60 for i in range(8)]
+    chunks = spark.createDataFrame([(1, path, " > ".join(path) + "\n\n" + text(900), None), (2, [*path, "anders"], " > ".join(path) + "\n\n" + text(900), None)], CHUNKS)
+    got = {r.item_id: r.heading_path for r in s.long_items(chunks, spark.createDataFrame([], PAGES)).collect()}
+    assert len("".join(path)) > 2000 and got == {1: path, 2: None}
