@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from citebase.functions.text import fold
 from citebase.operators.vocabulary import with_spec_key
+from citebase.session import small
 
 #: Unit, quantity, factor and offset to the quantity's base unit, spellings.
 UNITS: list[tuple[str, str, float, float, list[str]]] = [
@@ -123,18 +124,18 @@ def convert_claims(claims: DataFrame, spec_attributes: DataFrame) -> DataFrame:
     """Every stated numeric value of a numeric spec, with its unit and its value in the spec's unit.
 
     Columns: answer_claim_id, spec_key (resolved), field_name (value_numeric or value_numeric_max), stated, stated_unit,
-    common_value, status: ``convert`` (still to be converted), ``common`` (already in the common unit), ``converted``
+    common_value, status: ``convert`` (still to be converted), ``common`` (already in the common unit, however spelled and wherever it stands), ``converted``
     (the field holds another number than the one stated), ``unknown`` (no number or a unit of another quantity).
     Claims without a numeric spec give no row; null and empty quotes fall back on value_text and the unit field.
-    Repeated rows are kept. All tables that are broadcast are the fixed vocabulary and the fixed unit table.
+    Repeated rows are kept. What is broadcast is the fixed unit table and, behind a check of its length, the vocabulary.
     """
     spark = claims.sparkSession
     units = unit_table(spark)
     specs = spec_attributes.where("data_type in ('numeric', 'numeric_range')").select("spec_key", _unit_key(F.coalesce("unit", F.lit("1"))).alias("alias"))
-    target = specs.join(F.broadcast(units), "alias").select("spec_key", F.col("unit_id").alias("to_id"), F.col("quantity").alias("to_quantity"), F.col("factor").alias("to_factor"), F.col("offset").alias("to_offset"))
+    target = small(specs.join(F.broadcast(units), "alias").select(F.col("spec_key").alias("resolved"), F.col("unit_id").alias("to_id"), F.col("quantity").alias("to_quantity"), F.col("factor").alias("to_factor"), F.col("offset").alias("to_offset")))
     base = claims.select("answer_claim_id", "product_name", "spec_key", "value_numeric", "value_numeric_max", "value_text", F.col("unit").alias("unit_field"), "source_quote")
     base = base.where("value_numeric is not null or value_numeric_max is not null or value_text is not null")
-    own = with_spec_key(base, "spec_key", spec_attributes).join(F.broadcast(target.withColumnRenamed("spec_key", "resolved")), "resolved")
+    own = with_spec_key(base, "spec_key", spec_attributes).join(target, "resolved")
     name = F.when(F.length(F.trim("product_name")) > 2, F.trim("product_name"))
     quote = F.coalesce(F.replace("source_quote", name, F.lit(" ¤ ")), "source_quote", F.lit(""))
     # a further measure in brackets at the end is a condition
@@ -164,7 +165,7 @@ def convert_claims(claims: DataFrame, spec_attributes: DataFrame) -> DataFrame:
     def status(field: str, stated: Column) -> Column:
         same = F.col("unit_id") == F.col("to_id")
         number_given = F.when(F.lit(field == "value_numeric") & F.col("in_text"), F.lit(True)).otherwise(near(F.col(field), stated))
-        return F.when(stated.isNull() | ~F.coalesce(fits, F.lit(False)), "unknown").when(F.lit(field == "value_numeric") & F.col("in_text"), "convert").when(~number_given, "converted").when(same, "common").otherwise("convert")
+        return F.when(stated.isNull() | ~F.coalesce(fits, F.lit(False)), "unknown").when(~number_given, "converted").when(same, "common").otherwise("convert")
 
     one = F.struct(F.lit("value_numeric").alias("field_name"), F.col("stated1").alias("stated"), convert(F.col("stated1")).alias("common_value"), status("value_numeric", F.col("stated1")).alias("status"), (F.col("value_numeric").isNotNull() | F.col("in_text")).alias("given"))
     two = F.struct(F.lit("value_numeric_max").alias("field_name"), F.col("stated2").alias("stated"), convert(F.col("stated2")).alias("common_value"), status("value_numeric_max", F.col("stated2")).alias("status"), F.col("value_numeric_max").isNotNull().alias("given"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citebase.functions.text import compact, deletions, one_edit
+from citebase.session import small
 
 #: Other names under which sources give a spec.
 SPEC_ALIASES: dict[str, list[str]] = {
@@ -54,26 +55,30 @@ def _bare(c):
 def spec_names(spec_attributes: DataFrame) -> DataFrame:
     """(name, spec_key): every compact name under which an attribute is known; a name of two attributes is left out.
 
-    The vocabulary is a controlled list (its size is that of the list, not of the data).
+    Made once; the vocabulary is a controlled list, and a broadcast only behind a check of its length.
     """
     spark = spec_attributes.sparkSession
     alias = spark.createDataFrame([(k, a) for k, names in SPEC_ALIASES.items() for a in names], "spec_key string, alias string")
     own = spec_attributes.select("spec_key", F.explode(F.array("spec_key", "name_nl", "name_en")).alias("alias"))
     named = own.unionByName(alias.join(spec_attributes.select("spec_key"), "spec_key", "left_semi"))
     forms = named.select("spec_key", F.explode(F.array(compact("alias"), compact(_bare(F.col("alias"))))).alias("name")).where(F.length("name") > 0)
-    return forms.groupBy("name").agg(F.min("spec_key").alias("spec_key"), F.max("spec_key").alias("other")).where("spec_key = other").drop("other")
+    return small(forms.groupBy("name").agg(F.min("spec_key").alias("spec_key"), F.max("spec_key").alias("other")).where("spec_key = other").drop("other"))
 
 
-def _keyed(rows: DataFrame, entered: str, spec_attributes: DataFrame, names: DataFrame) -> DataFrame:
+def spec_keys(spec_attributes: DataFrame) -> DataFrame:
+    """(_entered, _k0): the keys as they stand, made once."""
+    return small(spec_attributes.select(F.col("spec_key").alias("_entered"), F.col("spec_key").alias("_k0")).distinct())
+
+
+def _keyed(rows: DataFrame, entered: str, known: DataFrame, names: DataFrame) -> DataFrame:
     """Rows with ``_bare`` (the compact key without a bracketed unit) and ``_found``, by joins with the fixed list only."""
-    known = spec_attributes.select(F.col("spec_key").alias("_entered"), F.col("spec_key").alias("_k0")).distinct()
     a = names.select(F.col("name").alias("_whole"), F.col("spec_key").alias("_k1"))
     b = names.select(F.col("name").alias("_bare"), F.col("spec_key").alias("_k2"))
     # only keys that are no entry as they stand are brought to their compact form
-    exact = rows.withColumn("_entered", F.col(entered)).join(F.broadcast(known), "_entered", "left")
+    exact = rows.withColumn("_entered", F.col(entered)).join(known, "_entered", "left")
     other = lambda c: F.when(F.col("_k0").isNull(), compact(c))
     keyed = exact.withColumns({"_whole": other(F.col(entered)), "_bare": other(_bare(F.col(entered)))})
-    first = keyed.join(F.broadcast(a), "_whole", "left").join(F.broadcast(b), "_bare", "left")
+    first = keyed.join(a, "_whole", "left").join(b, "_bare", "left")
     return first.select(*rows.columns, "_bare", F.coalesce("_k0", "_k1", "_k2").alias("_found"))
 
 
@@ -81,21 +86,21 @@ def _typos(bare: DataFrame, names: DataFrame) -> DataFrame:
     """(_bare, _typo): compact keys one typing error away from the names of one attribute, blocked by shared deletion forms."""
     probes = bare.distinct().where(F.length("_bare") >= TYPO_LENGTH).select("_bare", F.explode(deletions(F.col("_bare"))).alias("form"))
     forms = names.where(F.length("name") >= TYPO_LENGTH).select("name", "spec_key", F.explode(deletions(F.col("name"))).alias("form"))
-    near = probes.join(F.broadcast(forms), "form").where(one_edit(F.col("_bare"), F.col("name")))
+    near = probes.join(forms, "form").where(one_edit(F.col("_bare"), F.col("name")))
     return near.groupBy("_bare").agg(F.min("spec_key").alias("_typo"), F.max("spec_key").alias("_other")).where("_typo = _other").drop("_other")
 
 
 def with_spec_key(rows: DataFrame, entered: str, spec_attributes: DataFrame, name: str = "resolved") -> DataFrame:
     """Rows whose entered key means an attribute, with that attribute's key; the others are left out.
 
-    Spelled right, a key is found by joins with the fixed list, so busy keys are not shuffled; only rows with an unknown
-    spelling are joined with the typing errors, whose spellings are distinct before they are looked up.
+    Spelled right, a key is found by joins with the fixed list, so busy keys are not shuffled. Typing errors are looked up
+    over the distinct unknown spellings, a scan of the key alone; those that mean an attribute are a short list.
     """
-    names = spec_names(spec_attributes)
-    keyed = _keyed(rows, entered, spec_attributes, names)
-    right = keyed.where("_found is not null").select(*rows.columns, F.col("_found").alias(name))
-    left = keyed.where("_found is null").drop("_found")
-    return right.unionByName(left.join(_typos(left.select("_bare"), names), "_bare").select(*rows.columns, F.col("_typo").alias(name)))
+    known, names = spec_keys(spec_attributes), spec_names(spec_attributes)
+    unknown = _keyed(rows.select(entered).distinct(), entered, known, names).where("_found is null").select("_bare")
+    typos = small(_typos(unknown, names))
+    keyed = _keyed(rows, entered, known, names).withColumn("_bare", F.when(F.col("_found").isNull(), F.col("_bare")))
+    return keyed.join(typos, "_bare", "left").withColumn(name, F.coalesce("_found", "_typo")).where(F.col(name).isNotNull()).select(*rows.columns, name)
 
 
 def resolve_spec_keys(entered: DataFrame, spec_attributes: DataFrame) -> DataFrame:
@@ -105,7 +110,7 @@ def resolve_spec_keys(entered: DataFrame, spec_attributes: DataFrame) -> DataFra
     without a bracketed unit, then one typing error. Nulls give no row, empty keys resolve to null; a typing error that
     fits two attributes resolves to null.
     """
-    names = spec_names(spec_attributes)
-    first = _keyed(entered.select("entered").where("entered is not null").distinct(), "entered", spec_attributes, names)
+    known, names = spec_keys(spec_attributes), spec_names(spec_attributes)
+    first = _keyed(entered.select("entered").where("entered is not null").distinct(), "entered", known, names)
     typo = _typos(first.where("_found is null").select("_bare"), names)
     return first.join(typo, "_bare", "left").select("entered", F.coalesce("_found", "_typo").alias("spec_key"))

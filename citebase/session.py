@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: The folder that holds this package.
@@ -45,10 +46,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests, local runs).
+    A folder of our own is set only where the session names none and runs on one machine (tests); on a cluster a folder
+    of one machine would lose data with it, so a missing setting is an error there.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citebase-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="citebase-"))
     return df.checkpoint(eager=True)
 
+
+#: Rows up to which a small table is taken to the driver and broadcast; a longer one is joined as the planner sees fit.
+SMALL = 20_000
+
+
+def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
+    """A table made once, to be joined several times: broadcast if it is checked to have at most ``bound`` rows.
+
+    A longer one is checkpointed and joined without a hint, with the same rows.
+    """
+    rows = df.limit(bound + 1).collect()
+    if len(rows) > bound:
+        return checkpointed(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
