@@ -24,7 +24,8 @@ _PUNCTUATION = ".,;:!?()[]{}\"'“”„’‘«»*_#|-–—/"
 def cohesion_depths(words: list[str], gaps: list[int], block: int = BLOCK) -> list[float]:
     """Depth of the similarity valley at each gap (a position between words): how far similarity rises on both sides.
 
-    Two sliding blocks: moving a gap by a word changes three counts, so the cost grows with the words only.
+    Two sliding blocks: moving a gap by a word changes three counts; the rises come from one pass each way. So the cost
+    grows with the words only, whatever the text.
     """
     numbers: dict[str, int] = {}
     ids = [numbers.setdefault(w, len(numbers)) for w in words]
@@ -53,17 +54,18 @@ def cohesion_depths(words: list[str], gaps: list[int], block: int = BLOCK) -> li
             right[w] += 1
         if g in wanted:
             similar.append(dot / math.sqrt(left2 * right2))
-    depths = []
-    for k, s in enumerate(similar):
-        before = after = s
-        i = k - 1
-        while i >= 0 and similar[i] >= before:
-            before, i = similar[i], i - 1
-        i = k + 1
-        while i < len(similar) and similar[i] >= after:
-            after, i = similar[i], i + 1
-        depths.append(before - s + after - s)
-    return depths
+    return [b + a - 2 * s for b, s, a in zip(_peaks(similar), similar, reversed(_peaks(similar[::-1])))]
+
+
+def _peaks(values: list[float]) -> list[float]:
+    """For each value the one reached by walking back from it as long as the values do not fall.
+
+    Where the value before is not lower, the walk goes on to where that one's own walk ended.
+    """
+    peaks: list[float] = []
+    for k, v in enumerate(values):
+        peaks.append(peaks[-1] if k and values[k - 1] >= v else v)
+    return peaks
 
 
 def split_tokens(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -124,8 +126,9 @@ def long_items(chunks: DataFrame, pages: DataFrame, limit: int = LIMIT) -> DataF
     path = F.col("heading_path")
     letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
     joined = letters(F.array_join(path, ""))
-    # a longer path is compared with the whole text, as any number of other characters may stand between
-    known = F.when((F.size(path) > 0) & (F.startswith(letters(F.substring("content", 1, 2000)), joined) | (F.length(joined) > 200) & F.startswith(letters(F.col("content")), joined)), path)
+    # the start of the text settles most rows; else the whole one counts, as any number of other characters may stand between
+    begins = F.when(F.startswith(letters(F.substring("content", 1, 2000)), joined), True).otherwise(F.startswith(letters(F.col("content")), joined))
+    known = F.when((F.size(path) > 0) & begins, path)
     a = chunks.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.lit(0).alias("item_index"), known.alias("heading_path"), F.col("content").alias("text"))
     tables = pages.select("page_id", F.posexplode("page_tables").alias("item_index", "t"))
     b = tables.select(F.lit("table").alias("item_kind"), F.col("page_id").alias("item_id"), "item_index", F.lit(None).cast("array<string>").alias("heading_path"), table_text(F.col("t.rows")).alias("text"))

@@ -115,3 +115,35 @@ def test_long_heading_path(spark):
     chunks = spark.createDataFrame([(1, path, " > ".join(path) + "\n\n" + text(900), None), (2, [*path, "anders"], " > ".join(path) + "\n\n" + text(900), None)], CHUNKS)
     got = {r.item_id: r.heading_path for r in s.long_items(chunks, spark.createDataFrame([], PAGES)).collect()}
     assert len("".join(path)) > 2000 and got == {1: path, 2: None}
+
+
+def walked_peaks(values):
+    out = []
+    for k, v in enumerate(values):
+        i = k - 1
+        while i >= 0 and values[i] >= v:
+            v, i = values[i], i - 1
+        out.append(v)
+    return out
+
+
+def test_peaks_equal_those_walked_to():
+    import random
+
+    from citebase.llm.splitting import _peaks
+
+    r = random.Random(3)
+    for _ in range(300):
+        values = [r.choice([0.1, 0.2, 0.2, 0.5, 0.9]) for _ in range(r.randint(0, 40))]
+        assert _peaks(values) == walked_peaks(values)
+
+
+def test_equal_lines_take_linear_time():
+    import time
+
+    from citebase.llm.splitting import split_tokens
+
+    at = time.perf_counter()
+    pieces = split_tokens("GET /index 200 ok\n" * 200_000)
+    assert time.perf_counter() - at < 30 and pieces[-1][1] == 800_000
+    assert all(b - a <= 800 for a, b, _, _ in pieces)
