@@ -13,6 +13,7 @@ import base64
 import re
 from bisect import bisect_right
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ from citebase.session import checkpointed
 TOKENIZER, FOLDER = "byte_bpe_multi_50k.tiktoken", "/opt/tokenizers"
 #: Different blank-separated pieces whose token counts a worker remembers.
 CACHE = 500_000
-#: Capacity that a plan may have, and number of container kinds: they bound the broadcast plan.
-CAPACITY_BOUND, KINDS_BOUND = 1 << 20, 100
+#: Kinds of containers planned at once, which with their capacities bound a broadcast plan; more are planned in turn.
+KINDS_BOUND = 100
 #: Parts into which the texts of one length are spread.
 SALTS = 256
 #: Fixed value: the pattern that parts a text before the merges of the rank files.
@@ -82,26 +83,31 @@ def token_sizes(documents: DataFrame, folder: str = FOLDER, name: str = TOKENIZE
 def fullest(capacity: int, sizes: list[int], left: dict[int, int]) -> dict[int, int]:
     """The fullest combination of the lengths left that fits: subset sums as bits of one integer, size by size.
 
-    ``sizes`` descend. Stops as soon as the capacity is met.
+    ``sizes`` descend. Stops as soon as the capacity is met. Of each sum only the step that first reached it is kept, so
+    memory is the capacity's, however many lengths there are.
     """
     reach, steps, full = 1, [], 1 << capacity
-    mask = (full << 1) - 1
+    mask, width = (full << 1) - 1, capacity // 8 + 1
+    first = np.zeros(8 * width, np.int32)
     for s in sizes:
         if s > capacity:
             continue
         n, unit = min(left[s], capacity // s), 1
         while n > 0:  # binary parts of the multiplicity
             k = min(unit, n)
-            steps.append((reach, s, k))
-            reach |= (reach << (s * k)) & mask
+            new = (reach << (s * k)) & mask & ~reach
+            if new:
+                steps.append((s, k))
+                first[np.unpackbits(np.frombuffer(new.to_bytes(width, "little"), np.uint8), bitorder="little").view(bool)] = len(steps)
+                reach |= new
             n, unit = n - k, unit * 2
         if reach & full:
             break
     total, taken = reach.bit_length() - 1, defaultdict(int)
-    for before, s, k in reversed(steps):
-        if not (before >> total) & 1:
-            taken[s] += k
-            total -= s * k
+    while total:  # what a step added to was reached by an earlier one
+        s, k = steps[first[total] - 1]
+        taken[s] += k
+        total -= s * k
     return dict(taken)
 
 
@@ -131,14 +137,18 @@ def pack(documents: DataFrame, container_sizes: DataFrame, folder: str = FOLDER,
     """(container_kind, container_id, doc_id, piece_index, tokens): every text in a container of each kind.
 
     Only a text longer than the capacity is cut, into full containers and a rest. Texts without tokens go to container 0.
-    Kinds with a null capacity or one below 1 are left out. Repeated rows are placed each. Container ids run from 0.
+    Kinds with a null capacity or one below 1 are left out; of a kind with several capacities the largest counts. Repeated rows
+    are placed each. Container ids run from 0.
     """
-    spark = documents.sparkSession
-    kinds = [tuple(r) for r in container_sizes.where("capacity_tokens > 0 and container_kind is not null").distinct().limit(KINDS_BOUND + 1).collect()]
-    if len(kinds) > KINDS_BOUND or any(c > CAPACITY_BOUND for _, c in kinds):
-        raise ValueError("more kinds or capacity than the plan is made for")
-    schema = "container_kind string, capacity bigint"
+    kinds = [tuple(r) for r in container_sizes.where("capacity_tokens > 0 and container_kind is not null").groupBy("container_kind").agg(F.max("capacity_tokens")).collect()]
     sizes = checkpointed(token_sizes(documents, folder, name))
+    parts = [_pack(sizes, sorted(kinds)[k : k + KINDS_BOUND]) for k in range(0, len(kinds) or 1, KINDS_BOUND)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pack(sizes: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
+    spark = sizes.sparkSession
+    schema = "container_kind string, capacity bigint"
     each = F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in kinds)) if kinds else F.array().cast(f"array<struct<{schema}>>")
     wide = sizes.select("doc_id", "tokens", F.explode(each).alias("c")).select("doc_id", "tokens", "c.*")
     last = F.greatest(F.ceil(F.col("tokens") / F.col("capacity")) - 1, F.lit(0)).cast("int")
@@ -156,7 +166,8 @@ def pack(documents: DataFrame, container_sizes: DataFrame, folder: str = FOLDER,
 
     made = histogram.groupBy("container_kind").applyInPandas(plan, "container_kind string, size bigint, start bigint, per bigint, container bigint, times bigint")
     lookup = defaultdict(list)
-    for k, s, start, per, container, _ in made.orderBy("container_kind", "size", "start").collect():  # bounded by the capacities
+    # bounded by the capacities; sorted here, as a sort by the cluster would sample and so make the plan twice
+    for k, s, start, per, container, _ in sorted(map(tuple, made.collect())):
         lookup[k, s].append((start, per, container))
     handle = spark.sparkContext.broadcast({key: tuple(np.array(c) for c in zip(*rows)) for key, rows in lookup.items()})
     before = Window.partitionBy("container_kind", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

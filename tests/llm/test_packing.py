@@ -61,3 +61,13 @@ def test_repeated_rows_are_placed_each(spark):
     sizes = spark.createDataFrame([("k", 120)], "container_kind string, capacity_tokens int")
     got = p.pack(docs, sizes).toPandas()
     assert len(got) == 40 and got.groupby("container_id").tokens.sum().max() <= 120
+
+
+def test_more_kinds_than_are_planned_at_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "woord " * (i % 40)) for i in range(200)], "doc_id bigint, text string")
+    sizes = spark.createDataFrame([("a", 64), ("b", 128), ("b", 100), ("c", 1 << 21)], "container_kind string, capacity_tokens int")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(p.pack(docs, sizes))
+    monkeypatch.setattr(p, "KINDS_BOUND", 1)
+    assert rows(p.pack(docs, sizes)) == whole
+    assert len(whole) == 3 * 200 and {r[1] for r in whole if r[0] == "c"} == {0}
