@@ -4,7 +4,9 @@ A multi-pattern automaton over the names and aliases of the list finds the menti
 longest non-overlapping match wins. What is left over goes to token-set similarity (of character pairs), looked up by
 shared one-deletion forms. Values that mean no entry are reported as ``unmatched``.
 
-The list is broadcast in slices of at most ``LIST_BOUND`` entries, so a longer list costs more passes, never more memory.
+The list is broadcast in slices of at most ``LIST_BOUND`` entries, one at a time: a longer list is passed over the distinct
+entered values slice by slice, what each slice finds is stored and its broadcast removed before the next, so it costs more
+passes, never more memory.
 """
 
 from __future__ import annotations
@@ -13,16 +15,19 @@ import math
 import re
 import unicodedata
 from collections import defaultdict
+from functools import reduce
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citebase.operators.vocabulary import SPEC_ALIASES
+from citebase.session import checkpointed
 
 #: Entries of the list that one broadcast may hold.
-LIST_BOUND = 200_000
+LIST_BOUND = 50_000
 #: Values resolved once that a worker remembers.
 CACHE = 200_000
 #: Least similarity of a mistyped name.
@@ -153,6 +158,10 @@ class ProductList:
             if len(of) == 1 and p not in kinds:
                 kinds[p] = ("a", *of)
         self.qualifiers = {form: of[1] for form, of in kinds.items()}
+        self.qualifier_forms = defaultdict(set)
+        for q in qualifiers - {""}:
+            for f in deletion_forms(q):
+                self.qualifier_forms[f].add(q)
         for g in GENERIC:
             kinds.setdefault(g, ("g", g))
         for b in self.brand_names:
@@ -219,7 +228,7 @@ class ProductList:
                     if series:
                         continue
                 if qualifier is None and len(run) >= 4:
-                    near = {q for q in QUALIFIER_ALIASES if deletion_forms(run) & deletion_forms(q) and _one_edit(run, q)}
+                    near = {q for f in deletion_forms(run) for q in self.qualifier_forms.get(f, ()) if _one_edit(run, q)}
                     if len(near) == 1:
                         qualifier = near.pop()
             if not series and qualifier is not None and number is not None:
@@ -249,11 +258,14 @@ class ProductList:
 
 
 def resolved(lists: list[ProductList], name: str, brand: str | None) -> str | None:
-    """The product meant among the slices of a list, or None: the most similar series of all slices count.
+    return chosen([p.candidates(name, brand) for p in lists])
+
+
+def chosen(read: list[tuple[float, bool, list[tuple], str | None, str | None]]) -> str | None:
+    """The product meant among what the slices of a list give, or None: the most similar series of all slices count.
 
     A series two edits off needs the product's own qualifier, number and brand beside it.
     """
-    read = [p.candidates(name, brand) for p in lists]
     best = max((r[0] for r in read), default=0.0)
     if not best:
         return None
@@ -306,79 +318,120 @@ class SpecList:
         return " ".join(w for x in _SEPARATORS.split(text) if (w := cls.compact(x)))
 
     def resolve(self, entered: str) -> str | None:
-        whole, bare = self.compact(entered), self.compact(re.sub(r"\s*\([^()]*\)\s*:?\s*$", "", entered))
-        for name in (whole, bare):
+        """The attribute meant, or None."""
+        return chosen([self.candidate(entered)])
+
+    def candidate(self, entered: str) -> tuple[float, bool, list[tuple], None, None]:
+        """How near the nearest names are (the very name first, then one edit, a mention that fills the value, similarity) and their attributes."""
+        score, keys = self._nearest(entered)
+        return score + 1 if keys else 0.0, True, [("", "", k) for k in sorted(keys)], None, None
+
+    def _nearest(self, entered: str) -> tuple[float, set[str]]:
+        bracketless = re.sub(r"\s*\([^()]*\)\s*:?\s*$", "", entered)
+        whole, bare = self.compact(entered), self.compact(bracketless)
+        for score, name in ((4.0, whole), (3.0, bare)):
             if name in self.names:
-                return self.names[name]
+                return score, {self.names[name]}
         if len(bare) < 5:
-            return None
+            return 0.0, set()
         near = {self.names[n] for f in deletion_forms(bare) for n in self.forms.get(f, ()) if _one_edit(bare, n)}
         if len(near) == 1:
-            return near.pop()
+            return 2.0, near
         best = max((n for _, n in self.automaton.iter_long(bare)), key=len, default="") if self.names else ""
         if len(best) >= 5 and len(best) >= 0.8 * len(bare):
-            return self.names[best]
-        if len(bare) > 100:
-            return None
-        _, alike = self.similar.nearest(self.words(re.sub(r"\s*\([^()]*\)\s*:?\s*$", "", entered)), SIMILAR_SPEC)
-        return alike.pop() if len(alike) == 1 else None
+            return 1.0 + len(best) / 1e6, {self.names[best]}
+        return self.similar.nearest(self.words(bracketless), SIMILAR_SPEC)
 
 
 _CYRILLIC = str.maketrans("аеорсухіјѕ", "aeopcyxijs")
 
 
-def _slices(df: DataFrame, columns: list[str], group: str) -> list[list[tuple]]:
-    """The list in slices that fit a broadcast; entries of one group stay together."""
-    n = df.count()
-    k = -(-n // LIST_BOUND) or 1
-    part = df.select(*columns, F.pmod(F.xxhash64(F.lower(F.regexp_extract(group, r"^\S+", 0))), F.lit(k)).alias("slice"))
-    return [[tuple(r)[:-1] for r in part.where(F.col("slice") == i).collect()] for i in range(k)]
-
-
 def map_claims(claims: DataFrame, products: DataFrame, spec_attributes: DataFrame) -> DataFrame:
     """(answer_claim_id, field_name, ref_key) of every entered product name and spec key that is no entry of its list.
 
     Null values give no row, an empty text is ``unmatched``. A name that fits several products is ``unmatched`` unless
-    the brand decides. Repeated claims each give their row. The pass is one narrow map: no shuffle, so a product or
-    brand that holds any share of the rows costs nothing more.
+    the brand decides. Repeated claims each give their row. Lists that fit one broadcast take one narrow map: no shuffle,
+    so a product or brand that holds any share of the rows costs nothing more. A longer list is passed over the distinct
+    entered values in slices, with the same result.
     """
-    spark = claims.sparkSession
-    specs = [tuple(r) for r in spec_attributes.select("spec_key", "name_nl", "name_en").limit(LIST_BOUND + 1).collect()]
-    if len(specs) > LIST_BOUND:
-        raise ValueError("the controlled vocabulary of spec keys exceeds LIST_BOUND")
-    slices = _slices(products, ["product_id", "brand_name", "product_name"], "product_name")
-    handles = [spark.sparkContext.broadcast(s) for s in slices]
-    spec_handle = spark.sparkContext.broadcast(specs)
-    rows = claims.select("answer_claim_id", "product_name", "brand_name", "spec_key")
+    specs = _taken(spec_attributes.select("spec_key", "name_nl", "name_en"))
+    listed = _taken(products.select("product_id", "brand_name", "product_name"))
+    if specs is None or listed is None:
+        return _sliced(claims, products, "product_name").unionByName(_sliced(claims, spec_attributes, "spec_key"))
+    handle, spec_handle = (claims.sparkSession.sparkContext.broadcast(x) for x in (listed, specs))
 
     def run(batches):
-        lists, spec_list = [ProductList(h.value) for h in handles], SpecList(spec_handle.value)
-        exact = set().union(*(p.exact for p in lists))
-        seen: dict = {}
-        seen_specs: dict = {}
-
-        def product(name, brand):
-            key = name, brand
-            if key not in seen:
-                if len(seen) >= CACHE:
-                    seen.clear()
-                seen[key] = resolved(lists, name, brand) or "unmatched"
-            return seen[key]
-
-        def spec(entered):
-            if entered not in seen_specs:
-                if len(seen_specs) >= CACHE:
-                    seen_specs.clear()
-                seen_specs[entered] = spec_list.resolve(entered) or "unmatched"
-            return seen_specs[entered]
-
+        products_, specs_ = ProductList(handle.value), SpecList(spec_handle.value)
+        product = remembered(lambda key: resolved([products_], *key))
+        spec = remembered(specs_.resolve)
         for b in batches:
             ids, fields, keys = [], [], []
             for i, name, brand, entered in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if name is not None and name not in exact:
-                    ids.append(i), fields.append("product_name"), keys.append(product(name, brand))
-                if entered is not None and entered not in spec_list.exact:
+                if name is not None and name not in products_.exact:
+                    ids.append(i), fields.append("product_name"), keys.append(product((name, brand)))
+                if entered is not None and entered not in specs_.exact:
                     ids.append(i), fields.append("spec_key"), keys.append(spec(entered))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(keys, pa.string())], ["answer_claim_id", "field_name", "ref_key"])
 
-    return rows.mapInArrow(run, "answer_claim_id bigint, field_name string, ref_key string")
+    return claims.select("answer_claim_id", "product_name", "brand_name", "spec_key").mapInArrow(run, "answer_claim_id bigint, field_name string, ref_key string")
+
+
+def _taken(df: DataFrame) -> list[tuple] | None:
+    """The rows of a list that fits a broadcast, else None."""
+    rows = df.limit(LIST_BOUND + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= LIST_BOUND else None
+
+
+def remembered(resolve):
+    """A resolution that keeps what it found, up to ``CACHE`` values."""
+    seen: dict = {}
+
+    def look(key):
+        if key not in seen:
+            if len(seen) >= CACHE:
+                seen.clear()
+            seen[key] = resolve(key) or "unmatched"
+        return seen[key]
+
+    return look
+
+
+def _sliced(claims: DataFrame, entries: DataFrame, field: str) -> DataFrame:
+    """The rows of one field by a list of any length: distinct entered values against one slice of the list after the other.
+
+    Entries of one series (of one spec) stay in one slice.
+    """
+    of_products = field == "product_name"
+    columns = ["product_id", "brand_name", "product_name"] if of_products else ["spec_key", "name_nl", "name_en"]
+    entered = ["product_name", "brand_name"] if of_products else ["spec_key"]
+    values = checkpointed(claims.select(*entered).distinct().where(F.col(field).isNotNull()).join(entries.select(field).distinct(), field, "left_anti").select(*entered))
+    k = -(-entries.count() // LIST_BOUND) or 1
+    part = entries.select(*columns, F.pmod(F.xxhash64(F.lower(F.regexp_extract(field, r"^\S+", 0))), F.lit(k)).alias("slice"))
+    read = "score double, numbered boolean, found array<struct<number:string,brand:string,id:string>>, given string, named string"
+    kinds = [pa.float64(), pa.bool_(), pa.list_(pa.struct([("number", pa.string()), ("brand", pa.string()), ("id", pa.string())])), pa.string(), pa.string()]
+    parts = []
+    for i in range(k):
+        handle = claims.sparkSession.sparkContext.broadcast([tuple(r)[:-1] for r in part.where(F.col("slice") == i).collect()])
+
+        def run(batches, handle=handle):
+            listed = ProductList(handle.value) if of_products else SpecList(handle.value)
+            for b in batches:
+                rows = zip(*(c.to_pylist() for c in b.columns))
+                got = [listed.candidates(*r) if of_products else listed.candidate(*r) for r in rows]
+                cols = list(zip(*got)) or [()] * 5
+                cols[2] = [[dict(zip(("number", "brand", "id"), p)) for p in found] for found in cols[2]]
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, kinds))], [*b.schema.names, "score", "numbered", "found", "given", "named"])
+
+        schema = ", ".join([*(f"{c} string" for c in entered), read])
+        parts.append(checkpointed(values.mapInArrow(run, schema).withColumn("slice", F.lit(i))))
+        handle.destroy()
+    answer = F.struct("slice", "score", "numbered", "found", "given", "named")
+    gathered = reduce(DataFrame.unionByName, parts).groupBy(*entered).agg(F.array_sort(F.collect_list(answer)).alias("read"))  # one a slice
+
+    @F.pandas_udf("string")
+    def choose(read: pd.Series) -> pd.Series:
+        return read.map(lambda rs: chosen([(r["score"], r["numbered"], [(p["number"], p["brand"], p["id"]) for p in r["found"]], r["given"], r["named"]) for r in rs]) or "unmatched")
+
+    found = gathered.select(*(F.col(c).alias(f"_{c}") for c in entered), choose("read").alias("ref_key"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in entered))
+    return claims.select("answer_claim_id", *entered).join(found, same).select("answer_claim_id", F.lit(field).alias("field_name"), "ref_key")
