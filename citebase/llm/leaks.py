@@ -5,9 +5,10 @@ every document is a query against it, answered by block-max WAND: only items who
 looked at. Its first test, whether the largest weights of a passage's terms reach the threshold together, is made for all
 runs of 16 words of a document at once; neighbouring runs that pass are one query. Each item's weights are divided by the least score that any 16 consecutive words of it
 have among themselves, so 1 is the threshold for all, and no window that holds such a run can fall below it. What is
-retrieved is then verified word by word.
+retrieved is then verified word by word, and the item's answer key is looked for in the words that follow.
 
-The index is broadcast in slices of at most ``ITEM_BOUND`` items; more items mean more passes over the corpus.
+The index is broadcast in slices of at most ``ITEM_BOUND`` items, one at a time: more items mean more passes over the
+corpus, and what a slice finds is stored before its broadcast makes room for the next.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citebase.session import checkpointed
+
 #: Consecutive words that make a leak.
 RUN = 16
+#: Words after a leaked run among which the item's answer is looked for.
+ANSWER = 16
 #: Runs in a query at most; each query holds its runs whole.
 RUNS = 32
 #: Parameters of BM25.
@@ -140,6 +145,16 @@ class Index:
                 found |= self._query(words[start : min(start + RUNS - 1, last) + RUN], found)
         return found
 
+    def words_after(self, text: str, found: list[int]) -> dict[int, str]:
+        """The ``ANSWER`` words that follow the last run of each of the items found, parted by blanks."""
+        words, slot = normal_words(text), {self.items[s]: s for s in range(len(self.items))}
+        out = {}
+        for i in found:
+            runs = self.runs[slot[i]]
+            end = next(k for k in range(len(words), RUN - 1, -1) if tuple(words[k - RUN : k]) in runs)
+            out[i] = f" {' '.join(words[end : end + ANSWER])} "
+        return out
+
     def _query(self, part: list[str], known: set[int]) -> set[int]:
         terms = {k for w in part if (k := self.terms.get(w, 0))}
         slots = [s for s in self.retrieve(list(terms)) if self.items[s] not in known]
@@ -150,27 +165,35 @@ class Index:
 
 
 def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of every document and item such that the text holds ``RUN`` consecutive words of the passage.
+    """(doc_id, item_id, answer_found) of every document and item such that the text holds ``RUN`` consecutive words of the
+    passage. ``answer_found`` tells whether the item's answer key stands, word for word, among the ``ANSWER`` words after the
+    last such run; null for an item without a key.
 
-    Null and short texts and passages give no row; repeated documents each give their rows. One narrow map for each slice
-    of items over whole texts: no shuffle.
+    Null and short texts and passages give no row; repeated documents each give their rows, an item stored twice one. One
+    narrow map for each slice of items over whole texts: no shuffle.
     """
-    n = eval_items.count()
-    slices = -(-n // ITEM_BOUND) or 1
-    part = eval_items.select("item_id", "passage", F.pmod(F.xxhash64("item_id"), F.lit(slices)).alias("slice"))
-    out = None
+    spark = documents.sparkSession
+    slices = -(-eval_items.count() // ITEM_BOUND) or 1
+    part = eval_items.select("item_id", "passage", "answer_key", F.pmod(F.xxhash64("item_id"), F.lit(slices)).alias("slice"))
+    schema, out = "doc_id bigint, item_id bigint, answer_found boolean", None
     for k in range(slices):
-        handle = documents.sparkSession.sparkContext.broadcast([(r.item_id, r.passage) for r in part.where(F.col("slice") == k).collect()])
+        handle = spark.sparkContext.broadcast([(r.item_id, r.passage, r.answer_key) for r in part.where(F.col("slice") == k).collect()])
 
         def run(batches, handle=handle):
-            index = Index(handle.value)
+            index = Index([(i, p) for i, p, _ in handle.value])
+            answers = {i: f" {' '.join(w)} " if a and (w := normal_words(a)) else None for i, _, a in handle.value}
             for b in batches:
-                docs, items = [], []
+                docs, items, held = [], [], []
                 for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for i in sorted(index.leaked(t)) if t else ():
-                        docs.append(d), items.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], ["doc_id", "item_id"])
-
-        found = documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint")
+                    found = sorted(index.leaked(t)) if t else ()
+                    after = index.words_after(t, found) if found else {}
+                    for i in found:
+                        docs.append(d), items.append(i), held.append(None if answers[i] is None else answers[i] in after[i])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(held, pa.bool_())], ["doc_id", "item_id", "answer_found"])
+
+        found = documents.select("doc_id", "text").mapInArrow(run, schema)
+        if slices > 1:
+            found = checkpointed(found)
+            handle.destroy()
         out = found if out is None else out.unionByName(found)
     return out
