@@ -1,9 +1,10 @@
 """Keyword-stuffed and link-list pages.
 
-A page is cut into sentences and lines. Those with clause structure (function words of the four languages among the
-others) are prose. Of the rest, links with their anchors, tags and priced names count at once; the other words go into
-the page's suffix automaton, and those covered by repeated maximal substrings, or standing in enumerations without any
-clause, count as keywords. A page is spam if more than half of all its words count.
+A page is cut into sentences and lines. Those with clause structure are prose: function words of the four languages among
+the others, or in any language many different short words between the longer ones. Of the rest, links with their anchors,
+tags and priced names count at once; the other words go into the page's suffix automaton. A line counts as keywords whole
+where its share covered by repeated maximal substrings and its missing structure together reach ``KEYWORDS``, else with the
+words covered. A page is spam if more than half of all its words count.
 
 The automaton is built over word numbers instead of characters, and coverage is measured in words, because the result is
 a share of words. Pages whose prose alone holds half of the words cannot be spam, so no automaton is built for them.
@@ -20,6 +21,14 @@ from pyspark.sql import DataFrame
 SHARE = 0.5
 #: Least share of function words of a clause, and least number of different ones.
 CLAUSE_SHARE, CLAUSE_WORDS = 0.18, 2
+#: In any language: letters of a short word, least share of short words of a clause, least number of different ones, of words.
+SHORT, SHORT_SHARE, SHORT_KINDS, SHORT_CLAUSE = 3, 0.22, 3, 6
+#: Coverage plus missing structure from which a line counts whole; the structure that an enumeration of at least so many
+#: items and a line of at least so many words without a clause lack.
+KEYWORDS, ITEMS, LONG = 0.5, 5, 12
+LIST_LACKS, LINE_LACKS = 0.5, 0.25
+#: Words of a phrase: short words bind a line to prose only if less than ``KEYWORDS`` of it are phrases that recur.
+PHRASE = 3
 
 #: Function words by language.
 FUNCTION_WORDS = (
@@ -32,17 +41,21 @@ FUNCTION_WORDS = (
 _WEAK = frozenset("in en ook a on de of y et und and pour für voor for".split())
 _FUNCTION = frozenset(FUNCTION_WORDS.split()) - _WEAK
 
+#: Short words that are units.
+_UNITS = frozenset("mm cm dm m km in ft kg g t db hz khz pa kpa mpa kn n w kw kwh mk m2 m3 l s min h eur usd gbp pct px".split())
+
 _BINDING = _FUNCTION | _WEAK
 _WORD = re.compile(r"[^\W_]+")
-_HTML_LINK = re.compile(r"<a\b[^>]*>.*?</a>", re.S | re.I)
-_MARKDOWN_LINK = re.compile(r"\[[^\]\n]{0,200}\]\([^)\s]{3,300}\)")
+_HTML_LINK = re.compile(r"<a\b[^<>]*>(?:(?!<a\b).)*?</a>", re.S | re.I)
+_MARKDOWN_LINK = re.compile(r"\[[^\[\]\n]*\]\([^()\s]{3,}\)")
+_SHORT = re.compile(rf"(?<![\w'’-])[^\W\d_]{{1,{SHORT}}}(?![\w-])(?!\s*\d)")
 _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"<[^<>]+>")
 _HASH = re.compile(r"#[^\W\d][\w-]*")
 _PRICE = re.compile(r"(?:[€$£]\s?\d|\d\s?(?:€|eur\b|euro\b))", re.I)
 _VALUE = re.compile(r"^[-*•]?\s*[^\d:][^:]{0,60}:\s*[<>≤≥~±]?\s*[\d.,/]+(?:\s*[-–]\s*[\d.,/]+)?\s*\S{0,14}(?:\s\S{1,10})?$")
 _SPLIT = re.compile(r"\n+|(?<=[.!?])\s+")
-_LABEL = re.compile(r"^\s*(?:tags?|keywords?|trefwoorden|zoekwoorden|schlagwörter|schlagworte|suchbegriffe|mots[- ]clés|étiquettes|labels?)\s*:", re.I)
+_LABEL = re.compile(r"^\s*(?:tags?|keywords?|trefwoorden|zoekwoorden|schlagwörter|schlagworte|suchbegriffe|mots[- ]clés|étiquettes|labels?|etiquetas|palabras clave|etichette|parole chiave|palavras-chave)\s*:", re.I)
 
 
 def is_clause(words: list[str]) -> bool:
@@ -57,8 +70,16 @@ def is_clause(words: list[str]) -> bool:
     return strong >= CLAUSE_WORDS or strong >= 1 and len(kinds) > CLAUSE_WORDS
 
 
-def repeated_cover(words: list[int]) -> bytearray:
-    """For each position whether a repeated maximal substring of the sequence covers it.
+def is_bound(sentence: str, n: int) -> bool:
+    """Short words of many kinds stand among the others, as in the prose of any language; codes and units are none."""
+    if n < SHORT_CLAUSE:
+        return False
+    short = [w for w in _SHORT.findall(sentence) if w.islower() and w not in _UNITS]
+    return len(short) >= SHORT_SHARE * n and len(set(short)) >= SHORT_KINDS
+
+
+def repeated_cover(words: list[int], least: int = 1) -> bytearray:
+    """For each position whether a repeated maximal substring of the sequence, of ``least`` words or more, covers it.
 
     A suffix automaton with occurrence counts; every state that occurs twice or more marks the positions at which its
     longest substring ends, and marks spread back over its length.
@@ -90,6 +111,7 @@ def repeated_cover(words: list[int]) -> bytearray:
     longest = [0] * len(nxt)  # of the longest repeated suffix
     for s in sorted(range(1, len(nxt)), key=length.__getitem__):
         longest[s] = length[s] if count[s] >= 2 else longest[link[s]]
+    longest = [n if n >= least else 0 for n in longest]
     covered, reach = bytearray(len(words)), len(words)
     for i in range(len(words) - 1, -1, -1):
         reach = min(reach, i + 1 - longest[state_at[i]])
@@ -113,7 +135,7 @@ def keyword_share(text: str) -> float:
         rest = _MARKDOWN_LINK.sub(linked, rest)
     if "://" in rest or "www." in rest:
         rest = _URL.sub(linked, rest)
-    prose, certain, loose, neutral, listed = 0, links, [], 0, []
+    prose, certain, loose, neutral, listed, bound = 0, links, [], 0, [], 0
     for s in _SPLIT.split(rest):
         words = _WORD.findall(s.lower())
         if not words:
@@ -129,17 +151,25 @@ def keyword_share(text: str) -> float:
             neutral += n
         else:
             items = s.count(",") + s.count(";") + s.count(" | ")
-            listed.append((len(loose), n, items))
+            held = is_bound(s, n)
+            listed.append((len(loose), n, items, held))
             loose += words
+            bound += n if held else 0
     total = prose + certain + neutral + len(loose)
     if not total:
         return 0.0
     if prose + neutral >= (1 - SHARE) * total:
         return certain / total
     numbers: dict[str, int] = {}
-    covered = repeated_cover([numbers.setdefault(w, len(numbers)) for w in loose])
-    for start, n, items in listed:
-        certain += n if items >= 5 or n >= 12 else sum(covered[start : start + n])
+    ids = [numbers.setdefault(w, len(numbers)) for w in loose]
+    covered = repeated_cover(ids)
+    phrases = repeated_cover(ids, PHRASE) if bound else covered
+    for start, n, items, held in listed:
+        if held and sum(phrases[start : start + n]) < KEYWORDS * n:
+            continue  # prose, as its words recur but its phrases do not
+        cover = sum(covered[start : start + n])
+        lacks = LIST_LACKS if items >= ITEMS else LINE_LACKS if n >= LONG else 0.0
+        certain += n if lacks and cover / n + lacks >= KEYWORDS else cover
     return certain / total
 
 
