@@ -5,9 +5,9 @@ representative, so a product listed any number of times is compared once. Every
 close series that agree in all attributes both state meet, by way of the most frequent one of a block whose members all
 show the same agreement (``agreeing_pairs``), so a block costs as many comparisons as it has members. Blocks of number and
 series form alone (each with its most frequent member) and the runs' own warnings add pairs that differ. Linkage weights
-are fitted by expectation-maximisation over the counts of the agreement patterns, links above a threshold that contradict
-each other in no attribute are clustered. A listing that leaves an attribute open and fits products that differ in it is
-not joined to either.
+are fitted by expectation-maximisation over the counts of the agreement patterns, from the prior that a stated attribute is
+hardly ever wrong, and decide which pairs are links; links are clustered. A listing that leaves an attribute open and fits
+products that differ in it is not joined to either.
 """
 
 from __future__ import annotations
@@ -26,6 +26,15 @@ from citebase.session import checkpointed
 #: Posterior probability from which two representatives are linked.
 LINK = 0.5
 EM_ROUNDS = 50
+#: Levels of agreement: different, not stated on a side, equal, and (series) one edit apart though usually spelled differently.
+DIFFERENT, UNSTATED, EQUAL, CLOSE = 0, 1, 2, 3
+#: What is held of pairs of one product before any pair is seen, and for how many pairs that counts: a stated attribute never
+#: differs (this is not fitted), one series in 30 is mistyped, references are often the seller's own.
+NEVER, MISTYPED, OWN_REF, PRIOR_PAIRS = 1e-9, 0.03, 0.3, 10.0
+#: What is held of pairs of two products of a block: equal series, one edit apart, equal references; equal numbers, as a
+#: block is made by them. How often other attributes agree by chance is counted over all listings, from a share held before.
+CHANCE_SERIES, CHANCE_CLOSE, CHANCE_REF, CHANCE_NUMBER = 0.9, 0.05, 0.05, 0.999
+CHANCE, PRIOR_LISTINGS = 0.2, 50
 FIELDS = ["brand", "series", "number", "size", "thickness", "edge", "colour", "ref"]
 #: Attributes in which two listings of one product may not differ.
 STRICT = ["brand", "number", "size", "thickness", "edge", "colour"]
@@ -144,48 +153,66 @@ def parse_listings(listings: DataFrame) -> DataFrame:
 
 
 def _name_brands(parsed: DataFrame) -> DataFrame:
-    """The brand of a listing without one, where its text names a brand that other listings have."""
-    brands = parsed.where("brand is not null").groupBy("brand").count().select("brand")
-    words = parsed.where("brand is null").select("listing_id", F.explode(F.array_distinct(F.split("rest", r"[^a-z0-9]+"))).alias("brand")).where("brand <> ''")
-    named = words.join(brands, "brand").groupBy("listing_id").agg(F.min("brand").alias("named"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return parsed.join(named, "listing_id", "left").withColumn("brand", F.coalesce("brand", "named")).drop("named", "rest")
+    """The brand of a listing without one, where its text names a brand that other listings have; only such are joined."""
+    brands = parsed.where("brand is not null").select("brand").distinct()
+    bare = parsed.where("brand is null")
+    words = bare.select("listing_id", F.explode(F.array_distinct(F.split("rest", r"[^a-z0-9]+"))).alias("brand")).where("brand <> ''")
+    named = words.join(brands, "brand").groupBy("listing_id").agg(F.min("brand").alias("named"), F.max("brand").alias("other")).where("named = other").select("listing_id", "named")
+    found = bare.join(named, "listing_id", "left").withColumn("brand", F.col("named")).drop("named")
+    return parsed.where("brand is not null").unionByName(found).drop("rest")
 
 
 def _agreement(a: str, b: str) -> Column:
-    """2 equal, 1 not stated on a side, 0 different."""
-    return F.when(F.col(a).isNull() | F.col(b).isNull(), 1).when(F.col(a) == F.col(b), 2).otherwise(0)
+    return F.when(F.col(a).isNull() | F.col(b).isNull(), UNSTATED).when(F.col(a) == F.col(b), EQUAL).otherwise(DIFFERENT)
 
 
-def fit_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS) -> dict[tuple[int, ...], float]:
+def fit_weights(patterns: list[tuple[tuple[int, ...], int]], chance: dict[str, float], fields: list[str] = FIELDS, rounds: int = EM_ROUNDS) -> dict[tuple[int, ...], float]:
     """Posterior match probability of every agreement pattern: a two-class model of independent fields, fitted by EM.
 
-    Fields that are not stated on a side carry no weight. Works on the counts of patterns, of which there are at most
-    3 ** fields however many pairs they stand for.
+    ``chance`` holds how often two listings agree in an attribute by chance. EM fits the share of matches, how series are
+    spelled and how references agree in both classes. Fields that are not stated on a side carry no weight. Works on the
+    counts of patterns, of which there are at most 4 ** fields however many pairs they stand for.
     """
-    if not patterns:
-        return {}
-    k = len(patterns[0][0])
-    m, u, p = [0.9] * k, [0.3] * k, 0.5
+    total, p = sum(n for _, n in patterns), 0.5
+    same, other = [], []
+    for f in fields:
+        c = {"number": CHANCE_NUMBER, "ref": CHANCE_REF, "series": CHANCE_SERIES}.get(f, min(0.99, max(1e-4, chance.get(f, CHANCE))))
+        close = CHANCE_CLOSE if f == "series" else 0.0
+        other.append({DIFFERENT: 1 - c - close, EQUAL: c, CLOSE: close})
+        typos, differ = (MISTYPED if f == "series" else 0.0), (OWN_REF if f == "ref" else NEVER)
+        same.append({DIFFERENT: differ, EQUAL: 1 - differ - typos, CLOSE: typos})
+    before = [dict(x) for x in same], [dict(x) for x in other]
 
     def posterior(g: tuple[int, ...]) -> float:
-        odds = math.log(p / (1 - p))
-        for i, level in enumerate(g):
-            if level != 1:
-                odds += math.log(m[i] / u[i]) if level == 2 else math.log((1 - m[i]) / (1 - u[i]))
+        odds = math.log(p / (1 - p)) + sum(math.log(same[i][x] / other[i][x]) for i, x in enumerate(g) if x != UNSTATED)
         return 1 / (1 + math.exp(-max(-500, min(500, odds))))
 
-    for _ in range(rounds):
+    def refit(model: dict[int, float], held: dict[int, float], seen: dict[int, float], levels: tuple[int, ...]) -> None:
+        """Shares of the fitted levels among the pairs seen and those held before; the other levels keep theirs."""
+        free, whole = sum(held[x] for x in levels), sum(seen[x] + PRIOR_PAIRS * held[x] for x in levels)
+        model.update({x: free * (seen[x] + PRIOR_PAIRS * held[x]) / whole for x in levels})
+
+    for _ in range(rounds if patterns else 0):
         post = [posterior(g) for g, _ in patterns]
-        total = sum(n for _, n in patterns)
         p = min(0.999, max(0.001, sum(q * n for q, (_, n) in zip(post, patterns)) / total))
-        for i in range(k):
-            stated = [(q, n, g[i] == 2) for q, (g, n) in zip(post, patterns) if g[i] != 1]
-            a, b = sum(q * n for q, n, _ in stated), sum((1 - q) * n for q, n, _ in stated)
-            m[i] = min(0.999, max(0.5, (sum(q * n for q, n, s in stated if s) + 1) / (a + 2)))
-            u[i] = min(0.95, max(0.001, (sum((1 - q) * n for q, n, s in stated if s) + 1) / (b + 2)))
+        for model, held, weights in ((same, before[0], post), (other, before[1], [1 - q for q in post])):
+            for i, f in enumerate(fields):
+                if f in ("series", "ref"):
+                    seen = {x: sum(q * n for q, (g, n) in zip(weights, patterns) if g[i] == x) for x in (DIFFERENT, EQUAL, CLOSE)}
+                    refit(model[i], held[i], seen, (EQUAL, CLOSE) if f == "series" else (DIFFERENT, EQUAL))
     return {g: posterior(g) for g, _ in patterns}
 
 
+def chance_agreement(reps: DataFrame) -> dict[str, float]:
+    """How often two listings agree by chance in each attribute both state: the sum of the squared shares of its values,
+    together with ``PRIOR_LISTINGS`` that agree in a share of ``CHANCE``."""
+    names = [c for c in STRICT if c != "number"]
+    values = reps.select("n", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in names))).alias("v"))
+    counted = values.where("v.value is not null").groupBy("v.field", "v.value").agg(F.sum("n").cast("double").alias("n"))
+    shares = counted.groupBy("field").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("alike")).collect()
+    return {r.field: (r.alike + PRIOR_LISTINGS * CHANCE) / (r.n + PRIOR_LISTINGS) for r in shares}
+
+
 def usual_series(reps: DataFrame) -> DataFrame:
     """(number, series, usual): the most listed spelling one edit away from a series of the same number, itself included.
 
@@ -249,9 +276,13 @@ def agreeing_pairs(usual: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) by propagating the least label along edges until none changes; every round cuts its lineage."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = nodes.select("id", F.col("id").alias("component"))
+    """(id, component) by propagating the least label along edges until none changes; every round cuts its lineage.
+
+    Only nodes with an edge take part in the rounds; the others are components of their own.
+    """
+    both = checkpointed(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
+    linked = both.select(F.col("a").alias("id")).distinct()
+    labels = checkpointed(linked.withColumn("component", F.col("id")))
     while True:
         heard = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("component").alias("heard"))
         step = labels.join(heard, F.col("id") == F.col("b"), "left").select("id", F.least("component", F.coalesce("heard", "component")).alias("next"), "component")
@@ -261,7 +292,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         changed = step.where("next <> component").limit(1).count()
         labels = step.select("id", F.col("next").alias("component"))
         if not changed:
-            return labels
+            break
+    alone = nodes.select("id").join(linked, "id", "left_anti").withColumn("component", F.col("id"))
+    return labels.unionByName(alone)
 
 
 def group_listings(listings: DataFrame, extraction_runs: DataFrame | None = None) -> DataFrame:
@@ -270,7 +303,7 @@ def group_listings(listings: DataFrame, extraction_runs: DataFrame | None = None
     A listing without series and number stands alone. Null texts parse to nothing; repeated listings share a group.
     Listings of one parse are one representative, so a hot product is compared as often as it is spelled differently.
     """
-    parsed = checkpointed(_name_brands(parse_listings(listings)))
+    parsed = checkpointed(_name_brands(checkpointed(parse_listings(listings))))
     own = ["brand", "series", "number", "size", "thickness", "edge", "colour"]
     signature = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in own))
     signed = parsed.withColumn("signature", F.when(F.col("series").isNull(), F.concat(F.lit("#"), F.col("listing_id").cast("string"))).otherwise(signature))
@@ -291,25 +324,22 @@ def group_listings(listings: DataFrame, extraction_runs: DataFrame | None = None
     pairs = pairs.distinct()
     side = lambda s: usual.select(F.col("id").alias(s), F.col("usual").alias(f"{s}_usual"), *(F.col(c).alias(f"{s}_{c}") for c in FIELDS))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    close = F.when((F.col("a_series") == F.col("b_series")) | (F.col("a_usual") == F.col("b_usual")) | one_edit(F.col("a_series"), F.col("b_series")), 2).otherwise(0)
+    alike = (F.col("a_series") == F.col("b_series")) | (F.col("a_usual") == F.col("b_usual"))
+    close = F.when(alike, EQUAL).when(one_edit(F.col("a_series"), F.col("b_series")), CLOSE).otherwise(DIFFERENT)
     levels = [close.alias("g_series") if c == "series" else _agreement(f"a_{c}", f"b_{c}").alias(f"g_{c}") for c in FIELDS]
     compared = checkpointed(both.select("a", "b", *levels))
     g = [f"g_{c}" for c in FIELDS]
-    counts = [(tuple(r[c] for c in g), r["count"]) for r in compared.groupBy(*g).count().collect()]  # at most 3 ** 8 patterns
-    linked = [p for p, q in fit_weights(counts).items() if q >= LINK and p[FIELDS.index("series")] == 2 and all(p[FIELDS.index(c)] != 0 for c in STRICT)]
+    counts = [(tuple(r[c] for c in g), r["count"]) for r in compared.groupBy(*g).count().collect()]  # at most 4 * 3 ** 7 patterns
+    linked = [p for p, q in fit_weights(counts, chance_agreement(reps)).items() if q >= LINK]
     accepted = compared.sparkSession.createDataFrame(linked or [(-1,) * len(g)], ", ".join(f"{c} int" for c in g))
     likely = compared.join(F.broadcast(accepted), g, "left_semi").select("a", "b")
     state = lambda x: judged.select(F.col("id").alias(x), F.col("open").alias(f"{x}_open"), F.col("unclear").alias(f"{x}_unclear"))
     bridges = lambda x, y: F.col(f"{x}_unclear").bitwiseAND(F.bitwise_not(f"{y}_open")) != 0
     links = likely.join(state("a"), "a").join(state("b"), "b").where(~(bridges("a", "b") | bridges("b", "a"))).select("a", "b")
     found = components(reps.select("id"), links)
-    members = signed.select("listing_id", "signature", *STRICT).join(reps.select("signature", "id"), "signature").join(found, "id").select("listing_id", "component", *STRICT)
-    # whatever may have bridged two products: listings that state different values stay apart
-    whose = members.groupBy("component").agg(*(F.min(c).alias(f"least_{c}") for c in STRICT), *(F.max(c).alias(f"most_{c}") for c in STRICT))
-    value = lambda c: F.when(F.col(f"least_{c}") == F.col(f"most_{c}"), F.col(f"least_{c}").cast("string")).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("?")))
-    split = members.join(whose, "component").select("listing_id", "component", F.concat_ws("|", *(value(c) for c in STRICT)).alias("product"))
-    totals = split.groupBy("component", "product").agg(F.min("listing_id").alias("group_id"), (F.count("*") - 1).alias("links"))
-    return split.join(totals, ["component", "product"]).select("listing_id", "group_id", "links")
+    grouped = reps.select("id", "signature", "n").join(found, "id")
+    totals = grouped.groupBy("component").agg(F.min("id").alias("group_id"), (F.sum("n") - 1).alias("links"))
+    return signed.select("listing_id", "signature").join(grouped.join(totals, "component").select("signature", "group_id", "links"), "signature").select("listing_id", "group_id", "links")
 
 
 def same_product_pairs(groups: DataFrame) -> DataFrame:

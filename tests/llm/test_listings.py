@@ -17,9 +17,32 @@ def test_parse():
 
 
 def test_em_separates():
-    patterns = [((2, 2, 2), 100), ((2, 2, 1), 40), ((0, 0, 2), 80), ((0, 2, 0), 60), ((0, 0, 0), 90)]
-    w = g.fit_weights(patterns)
-    assert w[2, 2, 2] > 0.9 and w[2, 2, 1] > 0.5 and w[0, 0, 0] < 0.1 and g.fit_weights([]) == {}
+    n, full = g.FIELDS, (2,) * 8
+    at = lambda **k: tuple(k.get(f, 2) for f in n)
+    patterns = [(full, 100), (at(brand=1), 40), (at(size=0), 300), (at(colour=0, ref=1), 300), (at(series=3, ref=1), 5), (at(size=0, edge=0, colour=0), 90)]
+    w = g.fit_weights(patterns, {c: 0.2 for c in g.STRICT})
+    assert w[full] > 0.99 and w[at(brand=1)] > 0.9 and w[at(series=3, ref=1)] > 0.5 and max(w[at(size=0)], w[at(colour=0, ref=1)], w[at(size=0, edge=0, colour=0)]) < 0.01
+    assert g.fit_weights([], {}) == {}
+
+
+def test_chance_agreement(spark):
+    reps = spark.createDataFrame([(3, "a", "50", "1x1", 12, None, None), (1, "b", "50", "1x1", 20, None, "red")], "n bigint, brand string, number string, size string, thickness int, edge string, colour string")
+    assert g.chance_agreement(reps) == {"brand": 12.5 / 54, "size": 14 / 54, "thickness": 12.5 / 54, "colour": 11 / 51}
+
+
+def test_the_threshold_decides(spark, monkeypatch):
+    """Two usual spellings one edit apart: alike in all else they are linked, but not by a threshold near 1."""
+    spec = "600x600 mm, d=12 mm, kant A15, wit"
+    rows = [(i, "Acme", "Nekelrislum 508", spec) for i in range(1, 4)] + [(i, "Acme", "Nekelrislam 508", spec) for i in range(4, 6)] + [(6, "Acme", "Nekelrisla 508", spec)]
+    found = pairs_of(spark, rows)
+    assert found == {(a, b) for a in range(1, 7) for b in range(1, 7) if a < b}
+    monkeypatch.setattr(g, "LINK", 1 - 1e-12)
+    assert pairs_of(spark, rows) == {(1, 2), (1, 3), (2, 3), (4, 5)}
+    apart = [(1, "Acme", "Nekelrislum 508", spec), (2, "Acme", "Nekelrislum 508", spec.replace("12", "15")), (3, "Acme", "Nekelrislum 508", spec.replace("wit", "zwart"))]
+    monkeypatch.setattr(g, "LINK", 0.5)
+    assert pairs_of(spark, apart) == set()
+    monkeypatch.setattr(g, "LINK", 0.0)
+    assert len(pairs_of(spark, apart)) >= 2
 
 
 def listing(i, brand, series, number, size, thick, edge, colour, r):
