@@ -9,6 +9,7 @@ from citebase.functions.numbers import digits_within, six_digits
 from citebase.functions.similarity import jaccard, trigrams
 from citebase.functions.text import normalize, quoted, slug
 from citebase.operators.relational import supersede_chain
+from citebase.session import SMALL
 
 #: Least similarity of a possible duplicate and of a resolved product.
 DUPLICATE, RESOLVED = 0.35, 0.45
@@ -41,6 +42,8 @@ PLAUSIBLE = [
     ("gwp_a1a3", -1000.0, 100000.0),
     ("mki_value", 0.0, 100000.0),
 ]
+#: Parts into which the rows of a frequent trigram are spread.
+SALTS = 16
 VALUES = ["value_numeric", "value_text", "value_bool", "value_enum"]
 
 
@@ -200,8 +203,10 @@ def similar_pairs(names: DataFrame, block: list[str], threshold: float = DUPLICA
     n = names.select(*block, id_column, name).where(F.col(name).isNotNull())
     n = n.groupBy(*block, name).agg(F.min(id_column).alias("id")).withColumn("grams", trigrams(F.col(name))).where(F.size("grams") > 0)
     each = n.select(*block, "id", F.explode("grams").alias("gram"))
-    frequency = each.groupBy("gram").count()
-    ranked = each.join(frequency, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("order"))
+    # a frequent trigram is one key of many rows: its count goes to each of its salts
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    frequency = each.groupBy("gram").count().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ranked = each.withColumn("salt", salt).join(frequency, ["gram", "salt"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("order"))
     full = n.join(ranked, "id").select(*block, "id", F.col(name).alias("name"), "grams", F.explode(F.transform(_prefix(F.col("grams"), threshold, F.col("order")), lambda s: s["gram"])).alias("gram"))
     a, b = full.alias("a"), full.alias("b")
     same = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id"))
@@ -216,19 +221,23 @@ def similar_pairs(names: DataFrame, block: list[str], threshold: float = DUPLICA
 def best_match(entered: DataFrame, names: DataFrame) -> DataFrame:
     """(entered, name, score) of the most similar name for each distinct entered text, null where no trigram is shared.
 
-    Candidates share a trigram: an equi-join on exploded trigrams, counted to the shared part, instead of comparing all.
+    Names are the short canonical list: each distinct one holds its trigrams, and entered texts are joined with it on their
+    trigrams, so what is shuffled grows with the entered texts and the names that share a trigram with them. The list's
+    trigrams are broadcast if they are checked to be few; else a trigram's names are spread over salts.
     """
     e = entered.select("entered").where("entered is not null").distinct().withColumn("ge", trigrams(F.col("entered")))
     n = names.select("name").where("name is not null").distinct().withColumn("gn", trigrams(F.col("name")))
-    shared = (
-        e.select("entered", F.size("ge").alias("ne"), F.explode("ge").alias("gram"))
-        .join(n.select("name", F.size("gn").alias("nn"), F.explode("gn").alias("gram")), "gram")
-        .groupBy("entered", "name", "ne", "nn")
-        .agg(F.count("*").alias("both"))
-    )
-    scored = shared.withColumn("score", F.col("both") / (F.col("ne") + F.col("nn") - F.col("both")))
-    best = scored.groupBy("entered").agg(F.max("score").alias("score")).join(scored.select("entered", "name", F.col("score").alias("s")), "entered").where("s = score")
-    return e.select("entered").join(best.groupBy("entered").agg(F.min("name").alias("name"), F.first("score").alias("score")), "entered", "left")
+    listed = n.select("name", F.size("gn").alias("nn"), F.explode("gn").alias("gram"))
+    asked = e.select("entered", F.size("ge").alias("ne"), F.explode("ge").alias("gram"))
+    salted = listed.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int"))
+    if listed.limit(SMALL + 1).count() <= SMALL:
+        pairs = asked.join(F.broadcast(listed), "gram")
+    else:
+        pairs = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(salted, ["gram", "salt"])
+    shared = pairs.groupBy("entered", "name", "ne", "nn").agg(F.count("*").alias("both"))
+    score = F.col("both") / (F.col("ne") + F.col("nn") - F.col("both"))
+    best = shared.groupBy("entered").agg(F.max(F.struct(score.alias("score"))).alias("b"), F.min_by("name", F.struct(-score, F.col("name"))).alias("name"))
+    return e.select("entered").join(best.select("entered", "name", F.col("b.score").alias("score")), "entered", "left")
 
 
 #: Checks of stored claims: name and condition of a violation.

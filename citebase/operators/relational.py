@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 from citebase.session import checkpointed
 
 
-#: Rows that a list of rules, requirements or engines may have to be written into a plan.
+#: Rows of a list of rules, requirements or engines that are written into a plan at once.
 LIST_BOUND = 10_000
 
 
@@ -26,16 +28,16 @@ def _literal(value, kind: T.DataType) -> Column:
 
 
 def with_each(rows: DataFrame, few: DataFrame) -> DataFrame:
-    """Every row with each row of a short list, as an exploded literal: a map over the rows, no join.
+    """Every row with each row of a list, as an exploded literal: a map over the rows, no join.
 
-    The list is checked to have at most ``LIST_BOUND`` rows; it is a vocabulary or what one search asks for.
+    The list is a vocabulary or what one search asks for; one of more than ``LIST_BOUND`` rows is put to the rows in parts.
     """
-    listed = few.limit(LIST_BOUND + 1).collect()
-    if len(listed) > LIST_BOUND:
-        raise ValueError("the list is too long to be written into a plan")
-    kind = T.ArrayType(few.schema)
-    values = F.array(*(F.struct(*(_literal(r[f.name], f.dataType).alias(f.name) for f in few.schema)) for r in listed)).cast(kind) if listed else F.array().cast(kind)
-    return rows.withColumn("_each", F.explode(values)).select(*rows.columns, *(F.col(f"_each.{c}").alias(c) for c in few.columns))
+    kind, listed, parts = T.ArrayType(few.schema), few.collect(), []
+    for k in range(0, len(listed) or 1, LIST_BOUND):
+        some = listed[k : k + LIST_BOUND]
+        values = F.array(*(F.struct(*(_literal(r[f.name], f.dataType).alias(f.name) for f in few.schema)) for r in some)).cast(kind) if some else F.array().cast(kind)
+        parts.append(rows.withColumn("_each", F.explode(values)).select(*rows.columns, *(F.col(f"_each.{c}").alias(c) for c in few.columns)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def latest_per_key(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -116,42 +118,45 @@ def rates_by(rows: DataFrame, group: str, hit: Column, counted: Column | None =
     return sets.where("_g <> 0 or _real").select(F.when(F.col("_g") == 0, F.col(group)).otherwise(F.lit(label)).alias(group), "hits", "total", F.round(rate(F.col("hits"), F.col("total")), 6).alias("rate"))
 
 
-def ancestors(tree: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(id, path): each node's codes from itself to the root, closest first.
+def ancestors(tree: DataFrame) -> DataFrame:
+    """(id, path, is_cycle): each node's codes from itself to the root, closest first.
 
-    ``tree`` has id, parent_id, code. Walks all nodes up one level a round, so rounds are the tree's depth; a cycle ends at
-    ``max_depth``. Nodes whose parent is missing end there.
+    ``tree`` has id, parent_id, code. Walks all nodes up one level a round, so rounds are the tree's depth. A node whose
+    parent is missing ends there; one whose walk comes back to a node of its own path ends there too, with ``is_cycle``.
     """
     up = tree.select(F.col("id").alias("at"), F.col("parent_id").alias("above"), F.col("code").alias("code_at"))
-    walk = tree.select("id", F.col("parent_id").alias("next"), F.array("code").alias("path"))
-    done = walk.where("next is null").select("id", "path")
-    open_ = walk.where("next is not null")
-    for _ in range(max_depth):
-        if open_.isEmpty():
-            break
-        step = open_.join(up, F.col("next") == F.col("at"), "left")
-        lost = step.where("at is null").select("id", "path")
-        step = checkpointed(step.where("at is not null").select("id", F.col("above").alias("next"), F.concat("path", F.array("code_at")).alias("path")))
-        done = done.unionByName(lost).unionByName(step.where("next is null").select("id", "path"))
-        open_ = step.where("next is not null")
-    return done
-
-
-def reachable(edges: DataFrame, start: DataFrame, max_hops: int) -> DataFrame:
-    """(node, hop): nodes reachable from the start nodes and their distance, breadth first.
-
-    ``edges`` has a, b (directed), ``start`` has node. The visited set is anti-joined each round and the frontier holds each
-    node once; lineage is cut every round.
+    walk = tree.select("id", F.col("parent_id").alias("next"), F.array("code").alias("path"), F.array("id").alias("seen"))
+    ended = lambda df, cycle: df.select("id", "path", F.lit(cycle).alias("is_cycle"))
+    done, open_ = [ended(walk.where("next is null"), False)], walk.where("next is not null")
+    while not open_.isEmpty():
+        step = open_.join(up, F.col("next") == F.col("at"), "left").withColumn("back", F.array_contains("seen", F.col("next")))
+        step = checkpointed(step.select("id", "at", "back", "path", "code_at", "above", "seen"))
+        done += [ended(step.where("back"), True), ended(step.where("not back and at is null"), False)]
+        walk = step.where("not back and at is not null").select("id", F.col("above").alias("next"), F.concat("path", F.array("code_at")).alias("path"), F.concat("seen", F.array("at")).alias("seen"))
+        done.append(ended(walk.where("next is null"), False))
+        open_ = walk.where("next is not null")
+    return reduce(DataFrame.unionByName, done)
+
+
+def reachable(edges: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(node, hop): nodes reachable from the start nodes and their distance, breadth first, up to the fixed point.
+
+    ``edges`` has a, b (directed, repeated ones count once), ``start`` has node. Edges are parted by their start once and
+    kept so; each round shuffles only the frontier, which holds each node once, and lineage is cut every round.
     """
     seen = checkpointed(start.select("node").distinct().withColumn("hop", F.lit(0).cast("bigint")))
-    frontier = seen.select("node")
-    steps = checkpointed(edges.select("a", "b").distinct())  # read once a round
-    for hop in range(1, max_hops + 1):
+    frontier, hop = seen.select("node"), 0
+    steps = checkpointed(edges.select("a", "b").distinct()).repartition("a").persist(StorageLevel.MEMORY_AND_DISK)
+    while max_hops is None or hop < max_hops:
+        hop += 1
         new = frontier.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         new = checkpointed(new.withColumn("hop", F.lit(hop).cast("bigint")))
         if new.isEmpty():
             break
         seen, frontier = seen.unionByName(new), new.select("node")
+        if hop % 10 == 0:
+            seen = checkpointed(seen)
+    steps.unpersist()
     return seen
 
 
@@ -203,3 +208,48 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: Sequence
         ends = ends.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), F.last("_z", ignorenulls=True).over(v).alias("_e"))
         seen = seen.join(ends, F.col(key).eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s"))).withColumn("_r", F.coalesce("_r", "_e"))
     return seen.where("_side = 1").select(*left.columns, *(F.col(f"_r.{v}").alias(f"right_{v}") for v in values))
+
+
+def within_ceiling(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cost: Column, ceiling: float, name: str = "so_far", slices: Column | None = None) -> DataFrame:
+    """Rows of each key in order as long as their costs together stay within a ceiling, with the sum so far.
+
+    Costs are not negative, so the rows kept are the first ones; a null cost counts as nothing.
+    """
+    return running_sum(rows, keys, order, F.coalesce(cost, F.lit(0)), name, slices).where(F.col(name) <= ceiling)
+
+
+def with_id(rows: DataFrame, keys: Sequence[str], name: str = "id") -> DataFrame:
+    """Rows with an id made of their key columns: what an insert gives back. Equal keys have equal ids, nulls included."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("?")) for k in keys]
+    return rows.withColumn(name, F.sha2(F.to_json(F.array(*parts)), 256))
+
+
+def status_update(rows: DataFrame, updates: DataFrame, key: str, at: Column, stamps: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """Rows with the status of their update; columns named in ``keep`` take the update's value where it has one.
+
+    ``stamps`` maps a timestamp column to the status that sets it: the time of the update where it has that status, else
+    what it was. Rows without an update stay as they are; of several updates of a key the greatest counts.
+    """
+    new = ["status", *keep]
+    one = updates.groupBy(key).agg(F.max(F.struct(*new)).alias("_u"))
+    out = rows.join(one, key, "left")
+    given = F.col("_u").isNotNull()
+    values = {"status": F.when(given, F.col("_u.status")).otherwise(F.col("status"))}
+    values |= {c: F.coalesce(f"_u.{c}", F.col(c)) for c in keep}
+    values |= {c: F.when(F.col("_u.status") == status, at).otherwise(F.col(c)) for c, status in stamps.items()}
+    return out.select(*(values.get(c, F.col(c)).alias(c) for c in rows.columns))
+
+
+def sessions(events: DataFrame, key: str, at: str, gap: str, slices: Column) -> DataFrame:
+    """(key, start, end, n) of runs of events with at most ``gap`` between neighbours.
+
+    Sessions are first made within key and slice of time (``slices`` never falls along the time), so a busy key is spread;
+    then those that touch across the slices' borders are joined, over the far fewer sessions. Rows with a null time are
+    in no session.
+    """
+    wait = F.expr(f"interval {gap}")
+    near = events.where(F.col(at).isNotNull()).groupBy(key, slices.alias("_slice"), F.session_window(at, gap)).agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n"))
+    w = Window.partitionBy(key).orderBy("start")
+    opens = F.coalesce(F.col("start") > F.lag("end").over(w) + wait, F.lit(True))
+    numbered = near.withColumn("_s", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "_s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_s")

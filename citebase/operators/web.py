@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,17 +105,19 @@ def value_visible(claims: DataFrame) -> DataFrame:
     return claims.withColumn("found", found)
 
 
-def crawl(pages: DataFrame, start: str, max_depth: int = 10) -> DataFrame:
+def crawl(pages: DataFrame, start: str, max_pages: int | None = None) -> DataFrame:
     """(url, hop) of the pages reached from a start page by links below its path; each page once, breadth first.
 
-    pages: page_id, url, html of what can be fetched. A link to a page that is not there leads nowhere.
+    pages: page_id, url, html of what can be fetched. A link to a page that is not there leads nowhere. The crawl goes on
+    until nothing new is found; ``max_pages``, where given, keeps the nearest ones, ties by URL.
     """
     prefix = crawl_prefix(F.lit(start))
     bare = pages.withColumn("url", F.regexp_replace("url", r"[?#].*$", ""))
     edges = links(bare, prefix=prefix).where("url is not null").join(bare.select("page_id", F.col("url").alias("a")), "page_id").select("a", F.col("url").alias("b"))
     there = bare.select(F.col("url").alias("node")).distinct()
-    found = reachable(edges, there.where(F.col("node") == start), max_depth)
-    return found.join(there, "node", "left_semi").select(F.col("node").alias("url"), "hop")
+    edges = edges.join(there.withColumnRenamed("node", "b"), "b", "left_semi")
+    found = reachable(edges, there.where(F.col("node") == start)).select(F.col("node").alias("url"), "hop")
+    return found if max_pages is None else found.orderBy("hop", "url").limit(max_pages)
 
 
 def skip_reasons(pages: DataFrame, prefix: str, sections: list[str], known: DataFrame, least: int = 200) -> DataFrame:
@@ -123,3 +129,56 @@ def skip_reasons(pages: DataFrame, prefix: str, sections: list[str], known: Data
     section = F.coalesce(first_segment(F.col("url"), prefix).isin(*sections), F.lit(False))
     reason = F.when(~section, "no product page").when(F.length(F.coalesce("text", F.lit(""))) < least, "too little text").when(F.col("_known"), "unchanged")
     return pages.join(there, "sha256", "left").select("page_id", reason.alias("skip_reason"))
+
+
+def has_product(node) -> bool:
+    """Whether a JSON-LD value holds an object of type Product, at any depth."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            kind = x.get("@type")
+            if kind == "Product" or isinstance(kind, list) and "Product" in kind:
+                return True
+            todo.extend(x.values())
+        elif isinstance(x, list):
+            todo.extend(x)
+    return False
+
+
+_LINKED_DATA = re.compile(r"""<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script""", re.S | re.I)
+
+
+def structured_product(html: Column) -> Column:
+    """Whether a page marks up a product as structured data: JSON-LD of that type, or an itemtype of schema.org.
+
+    Only pages with a linked-data script reach Python, in Arrow batches; scripts that are no JSON are passed over. Null is
+    false.
+    """
+
+    @F.pandas_udf("boolean")
+    def linked(pages: pd.Series) -> pd.Series:
+        def one(text: str | None) -> bool:
+            for body in _LINKED_DATA.findall(text or ""):
+                try:
+                    if has_product(json.loads(body)):
+                        return True
+                except ValueError:
+                    continue
+            return False
+
+        return pages.map(one).astype(bool)
+
+    item = F.coalesce(F.regexp_like(html, F.lit(r"""(?i)<[^>]*\sitemtype\s*=\s*["']?[^"'>\s]*schema\.org/Product\b""")), F.lit(False))
+    # all others go to Python as null
+    marked = F.when(F.contains(html, F.lit("ld+json")), html)
+    return item | F.coalesce(linked(marked), F.lit(False))
+
+
+def page_visibility(claims: DataFrame) -> DataFrame:
+    """(page_id, found, missing, unchecked, structured) of each page's claims: how many stand in its visible text.
+
+    claims: page_id, presence, values and visible or html, and structured. Claims that the page does not state play no part.
+    """
+    seen = value_visible(claims.where(F.coalesce(F.col("presence") != "not_stated", F.lit(True))))
+    return seen.groupBy("page_id").agg(F.count_if("found").alias("found"), F.count_if(~F.col("found")).alias("missing"), F.count_if(F.col("found").isNull()).alias("unchecked"), F.bool_or("structured").alias("structured"))

@@ -269,11 +269,11 @@ def verdict_cube_median(spark, d):
     return out.select(*(F.coalesce(f"group.{k}", F.lit("all")).alias(k) for k in keys), "n", "quantity", F.round((F.col("low") + F.col("high")) / 2, 4).alias("median_price"))
 
 
-@query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minutes then 0 else 1 end as opens from events), s as (select *, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from g)
+@query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 30 minutes then 0 else 1 end as opens from events), s as (select *, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from g)
 select user_id, count(distinct s)::bigint as sessions, max(n)::bigint as longest from (select user_id, s, count(*) as n from s group by 1, 2) group by 1""")
 def sessions(spark, d):
-    """Sessions of half an hour of silence, by session windows."""
-    e = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
+    """Sessions parted by half an hour of silence; a busy user is spread over days."""
+    e = relational.sessions(table(spark, d, "events").select("user_id", "ts"), "user_id", "ts", "30 minutes", F.date_trunc("day", "ts"))
     return e.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 

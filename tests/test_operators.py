@@ -34,7 +34,7 @@ def test_scalars(spark):
     assert one(spark, text.own_brand(F.lit("Acme Architectural"), "Acme")) and not one(spark, text.own_brand(F.lit(None), "Acme"))
 
 
-@pytest.mark.parametrize("href,url", [("/a?x=1#y", "https://h.example/a"), ("b", "https://h.example/p/b"), ("https://o.example/c#d", "https://o.example/c"), ("mailto:x@y", None), ("#top", None), ("//cdn.example/z", "https://cdn.example/z")])
+@pytest.mark.parametrize("href,url", [("/a?x=1#y", "https://h.example/a"), ("b", "https://h.example/p/b"), ("https://o.example/c#d", "https://o.example/c"), ("mailto:x@y", None), ("#top", None), ("//cdn.example/z", "https://cdn.example/z"), ("../x", "https://h.example/x"), ("./r", "https://h.example/p/r"), ("../../../y", "https://h.example/y"), ("s/./t/../u/", "https://h.example/p/s/u/"), ("..", "https://h.example/"), (".", "https://h.example/p/"), ("/a//b/../c", "https://h.example/a/c"), ("?q=1", "https://h.example/p/q"), ("", None), ("https://o.example/a/../b", "https://o.example/a/../b")])
 def test_resolve(spark, href, url):
     assert one(spark, urls.resolve(F.lit("https://h.example/p/q"), F.lit(href))) == url
 
@@ -80,8 +80,10 @@ def test_latest_insert_upsert_orphans(spark):
 
 def test_tree_and_graph(spark):
     tree = spark.createDataFrame([("a", "b", "A"), ("b", "c", "B"), ("c", None, "C"), ("x", "y", "X"), ("l", "l", "L")], "id string, parent_id string, code string")
-    got = {r.id: r.path for r in relational.ancestors(tree, max_depth=5).collect()}
-    assert got == {"a": ["A", "B", "C"], "b": ["B", "C"], "c": ["C"], "x": ["X"]}
+    got = {r.id: (r.path, r.is_cycle) for r in relational.ancestors(tree).collect()}
+    assert got == {"a": (["A", "B", "C"], False), "b": (["B", "C"], False), "c": (["C"], False), "x": (["X"], False), "l": (["L"], True)}
+    ring = spark.createDataFrame([("p", "q", "P"), ("q", "r", "Q"), ("r", "p", "R"), ("s", "p", "S")], "id string, parent_id string, code string")
+    assert {r.id: ("".join(r.path), r.is_cycle) for r in relational.ancestors(ring).collect()} == {"p": ("PQR", True), "q": ("QRP", True), "r": ("RPQ", True), "s": ("SPQR", True)}
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 9)], "a int, b int")
     assert {(r.node, r.hop) for r in relational.reachable(e, spark.createDataFrame([(1,)], "node int"), 9).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
 
@@ -250,6 +252,12 @@ def test_crawl(spark):
     rows = [page(1, "https://a.example/nl", "nl/x", "/nl/y#p", "/en/z", "/nl/f.pdf"), page(2, "https://a.example/nl/x", "y?q=1", "/nl/gone"), page(3, "https://a.example/nl/y", "https://a.example/nl/x", "/nl/deep/er"), page(4, "https://a.example/nl/deep/er"), page(5, "https://a.example/en/z"), page(6, "https://a.example/nl/alone")]
     got = {r.url.split("example")[1]: r.hop for r in web.crawl(spark.createDataFrame(rows, "page_id int, url string, html string"), "https://a.example/nl").collect()}
     assert got == {"/nl": 0, "/nl/x": 1, "/nl/y": 1, "/nl/deep/er": 2}
+    chain = [page(i, f"https://a.example/s/{i}/p", f"../{i + 1}/./p?x#y") for i in range(14)]  # deeper than ten links
+    df = spark.createDataFrame(chain, "page_id int, url string, html string")
+    assert sorted(r.hop for r in web.crawl(df, "https://a.example/s/0/p").collect()) == [0]  # the path of the start page bounds the crawl
+    root = df.union(spark.createDataFrame([page(99, "https://a.example/s", "s/0/p")], df.schema))
+    assert sorted(r.hop for r in web.crawl(root, "https://a.example/s").collect()) == list(range(15))
+    assert [r.hop for r in web.crawl(root, "https://a.example/s", max_pages=3).collect()] == [0, 1, 2]
 
 
 def test_skip_reasons(spark):
@@ -272,6 +280,60 @@ def test_with_each(spark):
     assert relational.with_each(spark.range(2), few.limit(0)).count() == 0
 
 
+def test_a_long_list_is_put_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(relational, "LIST_BOUND", 3)
+    assert {(r.a, r.b) for r in relational.with_each(spark.range(4).toDF("a"), spark.range(8).toDF("b")).collect()} == {(a, b) for a in range(4) for b in range(8)}
+
+
+def test_best_match_of_a_long_list(spark, monkeypatch):
+    e, n = spark.createDataFrame([("acme gmbh",), ("zzz",)], "entered string"), spark.createDataFrame([("Acme",), ("Acne",), ("acmé",)], "name string")
+    few = sorted(map(tuple, facts.best_match(e, n).collect()))
+    monkeypatch.setattr(facts, "SMALL", 0)
+    assert sorted(map(tuple, facts.best_match(e, n).collect())) == few
+
+
+def test_sessions_across_slices(spark):
+    import datetime as dt
+
+    at = [dt.datetime(2024, 1, 1, 23, 40), dt.datetime(2024, 1, 1, 23, 59), dt.datetime(2024, 1, 2, 0, 29), dt.datetime(2024, 1, 2, 1, 0), dt.datetime(2024, 1, 3), None]
+    rows = spark.createDataFrame([("u", t) for t in at] + [("v", None)], "k string, at timestamp")
+    got = relational.sessions(rows, "k", "at", "30 minutes", F.to_date("at")).collect()
+    assert sorted((r.n, r.start.day, r.end.hour) for r in got) == [(1, 2, 1), (1, 3, 0), (3, 1, 0)]
+
+
+def test_within_ceiling_ids_and_status(spark):
+    rows = spark.createDataFrame([("r", 1, 4), ("r", 2, None), ("r", 3, 5), ("r", 4, 3), ("s", 1, 20)], "run string, i int, cost int")
+    assert {(r.run, r.i, r.so_far) for r in relational.within_ceiling(rows, ["run"], ["i"], F.col("cost"), 10).collect()} == {("r", 1, 4), ("r", 2, 4), ("r", 3, 9)}
+    ids = [r.id for r in relational.with_id(spark.createDataFrame([("a", None), ("a", None), ("a", "?"), (None, "a")], "x string, y string"), ["x", "y"]).collect()]
+    assert ids[0] == ids[1] and len(set(ids)) == 3
+    docs = spark.createDataFrame([(1, "new", None, 3, None), (2, "new", "old", None, None), (3, "new", None, None, None)], "id int, status string, error string, pages int, parsed_at timestamp")
+    ups = spark.createDataFrame([(1, "parsed", None, None), (2, "failed", None, 7), (2, "aborted", None, 1)], "id int, status string, error string, pages int")
+    got = {r.id: (r.status, r.error, r.pages, r.parsed_at is not None) for r in relational.status_update(docs, ups, "id", F.current_timestamp(), {"parsed_at": "parsed"}, ["error", "pages"]).collect()}
+    assert got == {1: ("parsed", None, 3, True), 2: ("failed", "old", 7, False), 3: ("new", None, None, False)}
+
+
+PRODUCT = '{"@context": "x", "@graph": [{"@type": "Page"}, {"offers": {"@type": ["Thing", "Product"]}}]}'
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (f'<script type="application/ld+json">{PRODUCT}</script>', True), ("<SCRIPT id=a TYPE='application/ld+json'>{\"@type\": \"Product\"}</SCRIPT>", True), ('<script type="application/ld+json">{broken "Product"</script>', False),
+        ('<script type="application/ld+json">{"@type": "Organization", "name": "Product"}</script>', False), ('<script>{"@type": "Product"}</script>', False), ('<div itemscope itemtype="https://schema.org/Product">x</div>', True), ('<div itemtype="https://schema.org/ProductGroup">x</div>', False),
+        (f'<script type="application/ld+json">[1</script><script type="application/ld+json">[{PRODUCT}]</script>', True), (None, False), ("", False),
+    ],
+)
+def test_structured_product(spark, html, want):
+    df = spark.createDataFrame([(html,), (None,)], "html string")
+    assert [r.s for r in df.select(web.structured_product(F.col("html")).alias("s")).collect()] == [want, False]
+
+
+def test_page_visibility(spark):
+    rows = [(1, "stated", 0.85, None, None, "waarde 0,85 dB", True), (1, "stated", 7.0, None, None, "70", True), (1, "not_stated", 0.85, None, None, "x", True), (1, "stated", None, None, True, "x", True), (2, None, None, "glas", None, "Glaswol", False)]
+    got = web.page_visibility(spark.createDataFrame(rows, "page_id int, presence string, value_numeric double, value_text string, value_bool boolean, visible string, structured boolean"))
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 1, 1, True), (2, 1, 0, 0, False)}
+
+
 def test_median_of_a_cube(spark, tmp_path):
     import random
     from statistics import median

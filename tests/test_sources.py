@@ -73,3 +73,16 @@ def test_streams(spark, tmp_path, sf_dir):
         q = src.writeStream.foreachBatch(sink).trigger(availableNow=True).start()
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+
+
+def test_sink_does_not_hide_errors(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (None, "b"), (1, "a")], "k int, v string")
+    write = latest.idempotent_sink(str(tmp_path / "s"), ["k"])
+    write(rows, 0), write(rows, 0), write(rows.limit(0), 1)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "_bucket=1").mkdir()
+    (tmp_path / "bad" / "_bucket=1" / "x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        for i in range(200):
+            latest.idempotent_sink(str(tmp_path / "bad"), ["k"], buckets=2)(spark.createDataFrame([(i, "a")], "k int, v string"), 0)
