@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citebase.functions.text import mention_offset, own_brand
 from citebase.functions.web import host
-from citebase.operators.relational import applicable, latest_per_key, rate, rates_by
+from citebase.operators.relational import ancestors, applicable, latest_per_key, rate, rates_by
 
 #: Fixed value: share of stated attributes below which documentation counts as thin.
 LOW_COMPLETENESS = 0.25
@@ -41,12 +41,17 @@ def spec_accuracy(claims: DataFrame, group: str) -> DataFrame:
     return rates_by(claims.where(~F.coalesce("is_competitor", F.lit(False))), group, F.col("verdict") == "correct", F.col("verdict").isin(*COMPARED))
 
 
-def coverage(products: DataFrame, attributes: DataFrame, facts: DataFrame, code: str = "category_code", codes: str = "category_codes") -> DataFrame:
+def coverage(products: DataFrame, attributes: DataFrame, facts: DataFrame, code: str = "category_code", codes: str = "category_codes", tree: DataFrame | None = None) -> DataFrame:
     """(product_id, stated, missing, completeness): attributes that apply to a product and whether a current fact states them.
 
-    facts: product_id, spec_key, presence. A product to which nothing applies has completeness 0.0.
+    facts: product_id, spec_key, presence. With a tree of categories (id, parent_id, code) an attribute also applies to the
+    categories below its own. A product to which nothing applies has completeness 0.0.
     """
-    pairs = applicable(products, attributes, code, codes).select("product_id", "spec_key").distinct()
+    coded = products
+    if tree is not None:  # each product under its category and all above it
+        above = ancestors(tree).select(F.col("path")[0].alias("_own"), F.explode("path").alias("_above"))
+        coded = products.join(above.distinct(), products[code] == F.col("_own"), "left").withColumn(code, F.coalesce("_above", code)).drop("_own", "_above")
+    pairs = applicable(coded, attributes, code, codes).select("product_id", "spec_key").distinct()
     said = facts.where(F.col("presence").isin("stated", "derived", "manual")).select("product_id", "spec_key").distinct().withColumn("_said", F.lit(True))
     both = pairs.join(said, ["product_id", "spec_key"], "left")
     listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("spec_key"))))
@@ -80,10 +85,14 @@ def competitive_picture(claims: DataFrame, group: str, audited: str) -> DataFram
     return per.orderBy(group, F.desc("mentions"), "brand_key")
 
 
-def worst_findings(claims: DataFrame, k: int = 10) -> DataFrame:
-    """The k wrong claims of the own brand: plainly incorrect before confusions, oldest first."""
+def worst_findings(claims: DataFrame, k: int = 10, truth: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+    """The k wrong claims of the own brand: plainly incorrect before confusions, oldest first.
+
+    ``truth``, one row for a key ``on``, adds where the right value is cited, where that is known; joined after the cut.
+    """
     wrong = claims.where(F.col("verdict").isin("incorrect", "likely_confusion"))
-    return wrong.orderBy((F.col("verdict") == "incorrect").desc(), "created_at", "claim_id").limit(k)
+    top = wrong.orderBy((F.col("verdict") == "incorrect").desc(), "created_at", "claim_id").limit(k)
+    return top if truth is None else top.join(truth, on, "left")
 
 
 def documentation_gaps(claims: DataFrame, *by: str) -> DataFrame:

@@ -1,23 +1,21 @@
 """Pages to chunks: headings by font size, tables whole, prose flushed at a size with a carried tail.
 
-The fold over a document's events is stateful (the tail is carried across headings and tables), so it runs as a grouped
-map over one document at a time; everything around it is built-in.
+Everything is built of windows, aggregates and array functions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citebase.functions.text import token_count
+from citebase.session import checkpointed
+
 #: Heading sizes against the page's median, longest heading, chunk size and carried share.
 LEVEL_1, LEVEL_2, HEADING_LENGTH, MAX_TOKENS, CARRIED = 1.4, 1.15, 100, 800, 0.15
 #: Units and classes that make a table one of specifications, each as a word of its own.
 SPEC_WORDS = ["mm", "dB", "kg", "kg/m2", "kg/m3", "W/mK", "m2K/W", "W/m2K", "°C", "%", r"EI\d+", r"S\d+", "kPa", "EUR"]
 
-SCHEMA = "document_version_id bigint, chunk_index int, page_start int, page_end int, chunk_type string, heading_path array<string>, content string, token_count int"
-
-
 def markdown(rows: Column) -> Column:
     """A table as markdown: cells trimmed, pipes replaced, rows cut or filled to the header's width; empty for no rows."""
     cells = lambda r: F.transform(F.coalesce(r, F.array().cast("array<string>")), lambda c: F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit("|"), F.lit("/")))
@@ -67,51 +65,66 @@ def page_events(pages: DataFrame) -> DataFrame:
     return tables.unionByName(lines)
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["page_number", "page_id", "top", "side", "i"], kind="stable")
-    version, out = int(rows["document_version_id"].iloc[0]), []
-    path, words, first, last, fresh = [], [], None, None, False
-    carried = int(MAX_TOKENS * CARRIED)
-
-    def emit(kind: str, body: str, start: int, end: int) -> None:
-        content = " > ".join(path) + "\n\n" + body if path else body
-        out.append((version, len(out), start, end, kind, list(path), content, max(1, len(content.split()))))
-
-    def flush() -> None:
-        nonlocal words, first, last
-        if not words:
-            first = last = None
-            return
-        emit("prose", " ".join(words), first or last or 1, last or first or 1)
-        words, first = words[-carried:], last
-
-    for page, kind, text in zip(rows["page_number"], rows["kind"], rows["text"]):
-        page = int(page)
-        if kind == "text":
-            if first is None:
-                first = page
-            last = page
-            words += text.split()
-            if len(words) >= MAX_TOKENS:
-                flush()
-            continue
-        flush()
-        if kind == "h1":
-            path = [text]
-        elif kind == "h2":
-            path = [*path[:1], text]
-        else:
-            emit(kind, text, page, page)
-    flush()
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-
 def chunk_documents(pages: DataFrame) -> DataFrame:
-    """Chunks of every document version. The carried tail survives headings and tables, as in the pipeline this serves.
+    """Chunks of every document version; pages without a version are documents of their own, under ``page_id``.
 
-    Groups are single documents; pages without lines and tables give no chunk.
+    All words of a document's texts are one sequence. A chunk of prose ends before each heading and table that follows any
+    text, and after the text with which the words since the last such end, and the repeated ones, reach ``MAX_TOKENS``; it
+    begins ``CARRIED`` of them before the end of the one before, also across headings and tables. Tables are chunks of their
+    own. Heading paths are running last values; nothing but the choice of ends within one run of texts is sequential, and
+    that folds over the run's word counts. Pages without lines and tables give no chunk.
     """
-    return page_events(pages).where("document_version_id is not null").groupBy("document_version_id").applyInPandas(_fold, SCHEMA)
+    carried = int(MAX_TOKENS * CARRIED)
+    key = F.when(F.col("document_version_id").isNull(), F.col("page_id"))
+    events = page_events(pages).select(F.col("document_version_id").alias("v"), key.alias("p"), "page_number", "page_id", "top", "side", "i", "kind", "text")
+    order = Window.partitionBy("v", "p").orderBy("page_number", "page_id", "top", "side", "i")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    is_text = F.col("kind") == "text"
+    words = F.when(is_text, F.filter(F.split("text", r"\s+"), lambda w: w != "")).otherwise(F.array().cast("array<string>"))
+    events = events.withColumn("words", words).withColumns({"at": F.row_number().over(order), "total": F.sum(F.size("words")).over(so_far), "barrier": (~is_text).cast("int")})
+    events = events.withColumn("run", F.coalesce(F.sum("barrier").over(before), F.lit(0)))
+    heading = F.struct(F.col("at").alias("at"), F.col("text").alias("text"))
+    last = lambda c, w: F.last(F.when(c, heading), ignorenulls=True).over(w)
+    # the path's head is the last heading of level 1, or before any the first one of level 2
+    for name, w in (("path", so_far), ("path_before", before)):
+        head = F.coalesce(last(F.col("kind") == "h1", w), F.first(F.when(F.col("kind") == "h2", heading), ignorenulls=True).over(w))
+        leaf = last(F.col("kind") == "h2", w)
+        events = events.withColumn(name, F.transform(F.filter(F.array(head, F.when(leaf["at"] > head["at"], leaf)), lambda h: h.isNotNull()), lambda h: h["text"]))
+    events = events.withColumn("page", F.last(F.when(is_text, F.col("page_number")), ignorenulls=True).over(so_far)).withColumn("first_page", F.first(F.when(is_text, F.col("page_number")), ignorenulls=True).over(so_far))
+    events = checkpointed(events.drop("i", "top", "side"))  # read four times
+
+    # a run is the texts up to a heading or table, which ends it; its ends of prose in order
+    stop = F.struct("at", "total", "page", "barrier", F.when(is_text, F.col("path")).otherwise(F.col("path_before")).alias("path"))
+    runs = events.groupBy("v", "p", "run").agg(F.array_sort(F.collect_list(stop)).alias("stops"), F.min(F.col("total") - F.size("words")).alias("begun"), F.first("first_page", ignorenulls=True).alias("first_page"))
+    kind = "struct<at:int,total:bigint,page:int,barrier:int,path:array<string>>"
+    start = F.struct(F.col("begun").cast("bigint").alias("end"), (F.col("run") == 0).alias("fresh"), F.array().cast(f"array<{kind}>").alias("ends"))
+
+    def fold(done, s):
+        full = s["total"] - done["end"] >= F.when(done["fresh"], MAX_TOKENS).otherwise(MAX_TOKENS - carried)
+        ends = ((s["barrier"] == 1) | full) & (s["total"] > 0)
+        return F.when(ends, F.struct(s["total"].alias("end"), F.lit(False).alias("fresh"), F.concat(done["ends"], F.array(s.cast(kind))).alias("ends"))).otherwise(done)
+
+    fresh = F.min(F.when(F.col("total") > 0, F.col("run"))).over(Window.partitionBy("v", "p"))
+    runs = runs.withColumn("total", F.element_at("stops", -1)["total"]).withColumn("start", fresh)
+    start = start.withField("fresh", F.col("run") <= F.coalesce("start", F.col("run")))
+    prose = runs.select("v", "p", "first_page", F.explode(F.aggregate("stops", start, fold)["ends"]).alias("s"))
+    # what is left at the end of a document
+    ended = events.groupBy("v", "p").agg(F.max("at").alias("at"), F.max("total").alias("total"), F.max_by("page", "at").alias("page"), F.max_by("path", "at").alias("path"), F.max_by("first_page", "at").alias("first_page")).where("total > 0")
+    left = ended.select("v", "p", "first_page", F.struct(F.col("at") + 1, "total", "page", F.lit(1), "path").cast(kind).alias("s"))
+    w = Window.partitionBy("v", "p").orderBy("s.at", "s.barrier")
+    prose = prose.unionByName(left).withColumns({"ended": F.lag("s.total").over(w), "ended_page": F.lag("s.page").over(w)})
+    prose = prose.select("v", "p", F.col("s.at").alias("at"), F.lit(0).alias("side"), F.coalesce("ended_page", "first_page", F.lit(1)).alias("page_start"), F.coalesce("s.page", "first_page", F.lit(1)).alias("page_end"), F.lit("prose").alias("chunk_type"), F.col("s.path").alias("heading_path"), F.greatest(F.lit(0), F.coalesce(F.col("ended") - carried, F.lit(0))).alias("from"), F.col("s.total").alias("to"))
+    # one row of words and one of chunks for each document
+    texts = events.where(is_text).groupBy(F.col("v").alias("tv"), F.col("p").alias("tp")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda s: s["words"])).alias("all"))
+    columns = ["at", "side", "page_start", "page_end", "chunk_type", "heading_path"]
+    spans = prose.groupBy("v", "p").agg(F.collect_list(F.struct(*columns, "from", "to")).alias("c")).join(texts, F.col("v").eqNullSafe(F.col("tv")) & F.col("p").eqNullSafe(F.col("tp")))
+    body = F.transform("c", lambda c: c.withField("body", F.array_join(F.slice("all", c["from"].cast("int") + 1, (c["to"] - c["from"]).cast("int")), " ")))
+    prose = spans.select("v", "p", F.explode(body).alias("c")).select("v", "p", *(f"c.{x}" for x in columns), "c.body")
+    tables = events.where(F.col("kind").isin("table", "spec_table")).select("v", "p", "at", F.lit(1).alias("side"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), F.col("kind").alias("chunk_type"), F.col("path").alias("heading_path"), F.col("text").alias("body"))
+    content = F.when(F.size("heading_path") > 0, F.concat(F.array_join("heading_path", " > "), F.lit("\n\n"), "body")).otherwise(F.col("body"))
+    index = F.row_number().over(Window.partitionBy("v", "p").orderBy("at", "side")) - 1
+    out = prose.unionByName(tables).withColumn("content", content)
+    return out.select(F.col("v").alias("document_version_id"), F.col("p").alias("page_id"), index.alias("chunk_index"), "page_start", "page_end", "chunk_type", "heading_path", "content", token_count(F.col("content")).cast("int").alias("token_count"))
 
 
 def page_chunk(pages: DataFrame, chunks: DataFrame) -> DataFrame:

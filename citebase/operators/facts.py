@@ -182,6 +182,16 @@ def persist_claims(log: DataFrame, keys: list[str], order: list[str], id_column:
     return stored.unionByName(noop)
 
 
+def store_claims(claims: DataFrame, known: DataFrame, keys: list[str], order: list[str], id_column: str, values: list[str], slices: Column | None = None) -> DataFrame:
+    """From extracted claims to the store: unknown keys dropped, quotes held against their page, the rest written in order.
+
+    claims: spec_key, source_quote, page_text and values; known: spec_key. What is not quoted verbatim is not stored.
+    """
+    cited = (F.col("source_quote") != "") & quoted(F.col("page_text"), F.col("source_quote"))
+    kept = claims.join(known.select("spec_key").distinct(), "spec_key", "left_semi").where(F.coalesce(cited, F.lit(False)))
+    return persist_claims(kept.drop("page_text", "source_quote"), keys, order, id_column, values, slices)
+
+
 def product_identity(rows: DataFrame, name: str, order: str, backfill: list[str]) -> DataFrame:
     """One product for each slug of its name, other columns from the earliest row that has them: filled, never overwritten."""
     firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in backfill]

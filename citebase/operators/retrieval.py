@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from citebase.functions.numbers import to_number, truthy
 from citebase.functions.text import words
-from citebase.functions.vectors import cosine_distance
+from citebase.functions.vectors import distance_to
 from citebase.operators.relational import with_each
+from citebase.session import checkpointed
 
 #: Query vectors of one broadcast block.
 QUERY_BLOCK = 2000
@@ -69,8 +70,7 @@ def grade(statuses: DataFrame, strict: bool = True) -> DataFrame:
 
 def nearest(vectors: DataFrame, query: list[float], k: int, id_column: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """The k rows nearest to a query vector with their distance; ties by id. Exact: one scan and a top-k, no sort of all rows."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.withColumn("distance", cosine_distance(F.col(vector), q)).where("distance is not null").orderBy("distance", id_column).limit(k)
+    return vectors.withColumn("distance", distance_to(F.col(vector), query)).where("distance is not null").orderBy("distance", id_column).limit(k)
 
 
 def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
@@ -78,7 +78,8 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, id_column: s
 
     Blocks of at most ``block`` queries are broadcast, one scan for each; a task multiplies its Arrow batches with the block
     and keeps k rows of each query, so k rows a query and task are shuffled. Null and zero vectors and those of another
-    length are left out. The number of blocks follows the queries, the memory does not.
+    length are left out. Blocks are worked off one by one, what each finds is stored before its broadcast goes, so the number
+    of scans follows the queries and the memory does not; ``operators.ann`` searches an index instead.
     """
     spark = vectors.sparkSession
     n = queries.count()
@@ -119,6 +120,10 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, id_column: s
             yield pa.RecordBatch.from_arrays([pa.array([c[j] for c in cols], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "distance"])
 
         found = vectors.select(F.col(id_column).cast("bigint"), vector).where(F.col(id_column).isNotNull()).mapInArrow(run, "query_id bigint, id bigint, distance double")
+        if blocks > 1:
+            ranked = Window.partitionBy("query_id").orderBy(F.round("distance", 12), "id")
+            found = checkpointed(found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("rank"))
+            handle.destroy()
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 12), "id")
     return out.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citebase.plans import audits, facts, retrieval, web  # noqa: F401  (they register their queries)
+from citebase.plans import audits, facts, retrieval, store, web  # noqa: F401  (they register their queries)
 from citebase.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
