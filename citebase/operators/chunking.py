@@ -97,16 +97,13 @@ def chunk_documents(pages: DataFrame) -> DataFrame:
     stop = F.struct("at", "total", "page", "barrier", F.when(is_text, F.col("path")).otherwise(F.col("path_before")).alias("path"))
     runs = events.groupBy("v", "p", "run").agg(F.array_sort(F.collect_list(stop)).alias("stops"), F.min(F.col("total") - F.size("words")).alias("begun"), F.first("first_page", ignorenulls=True).alias("first_page"))
     kind = "struct<at:int,total:bigint,page:int,barrier:int,path:array<string>>"
-    start = F.struct(F.col("begun").cast("bigint").alias("end"), (F.col("run") == 0).alias("fresh"), F.array().cast(f"array<{kind}>").alias("ends"))
+    start = F.struct(F.col("begun").cast("bigint").alias("end"), F.array().cast(f"array<{kind}>").alias("ends"))
 
     def fold(done, s):
-        full = s["total"] - done["end"] >= F.when(done["fresh"], MAX_TOKENS).otherwise(MAX_TOKENS - carried)
+        full = s["total"] - F.greatest(done["end"] - carried, F.lit(0)) >= MAX_TOKENS
         ends = ((s["barrier"] == 1) | full) & (s["total"] > 0)
-        return F.when(ends, F.struct(s["total"].alias("end"), F.lit(False).alias("fresh"), F.concat(done["ends"], F.array(s.cast(kind))).alias("ends"))).otherwise(done)
+        return F.when(ends, F.struct(s["total"].alias("end"), F.concat(done["ends"], F.array(s.cast(kind))).alias("ends"))).otherwise(done)
 
-    fresh = F.min(F.when(F.col("total") > 0, F.col("run"))).over(Window.partitionBy("v", "p"))
-    runs = runs.withColumn("total", F.element_at("stops", -1)["total"]).withColumn("start", fresh)
-    start = start.withField("fresh", F.col("run") <= F.coalesce("start", F.col("run")))
     prose = runs.select("v", "p", "first_page", F.explode(F.aggregate("stops", start, fold)["ends"]).alias("s"))
     # what is left at the end of a document
     ended = events.groupBy("v", "p").agg(F.max("at").alias("at"), F.max("total").alias("total"), F.max_by("page", "at").alias("page"), F.max_by("path", "at").alias("path"), F.max_by("first_page", "at").alias("first_page")).where("total > 0")

@@ -114,20 +114,45 @@ def page_chunk(spark, d):
     return chunking.page_chunk(table(spark, d, "document_pages"), table(spark, d, "document_chunks"))
 
 
-@query()
+TYPES = """select page_id, i, case when regexp_matches(x, '(?i)[^\\pL\\pN_](?:mm|db|kg|kg/m2|kg/m3|w/mk|m2k/w|w/m2k|ei[0-9]+|s[0-9]+|kpa|eur)[^\\pL\\pN_]') or regexp_matches(x, '(?i)[\\pL\\pN_](?:°C[^\\pL\\pN_]|%[\\pL\\pN_])') then 'spec_table' else 'table' end as kind
+from (select page_id, i, ' ' || array_to_string(list_transform(flatten(list_transform(t.rows, lambda r: coalesce(r, []))), lambda c: coalesce(c, '')), ' ') || ' ' as x from (select page_id, generate_subscripts(page_tables, 1) - 1 as i, unnest(page_tables) as t from document_pages))"""
+CHUNKS = f"""with recursive md as ({MARKDOWN}), ty as ({TYPES}),
+pg as (select *, coalesce('v' || document_version_id, 'p' || page_id) as k from document_pages),
+li as (select k, page_id, page_number as pn, median_font_size as m, page_tables, generate_subscripts(page_lines, 1) - 1 as i, unnest(page_lines) as l from pg),
+ke as (select *, trim(l.text) as text from li where len(list_filter(coalesce(page_tables, []), lambda t: l.top >= t.top - 1 and l.top <= t.bottom + 1)) = 0 and trim(l.text) <> ''),
+ta as (select k, page_id, page_number as pn, generate_subscripts(page_tables, 1) - 1 as i, unnest(page_tables) as t from pg),
+ev as (select k, pn, page_id, l.top as top, 1 as side, i, case when m > 0 and length(text) <= 100 and l.avg_font_size >= m * 1.4 then 'h1' when m > 0 and length(text) <= 100 and l.avg_font_size >= m * 1.15 then 'h2' else 'text' end as kind, text from ke
+union all select ta.k, ta.pn, ta.page_id, ta.t.top, 0, ta.i, ty.kind, md.markdown from ta join ty on ty.page_id = ta.page_id and ty.i = ta.i join md on md.page_id = ta.page_id and md.table_index = ta.i),
+o as (select *, case when kind = 'text' then [x for x in regexp_split_to_array(text, '\\s+') if x <> ''] else []::varchar[] end as words, row_number() over (partition by k order by pn nulls first, page_id, top nulls first, side, i) as pos from ev),
+h as (select *, sum(len(words)) over u as total, last_value(case when kind = 'text' then pn end ignore nulls) over u as page, first_value(case when kind = 'text' then pn end ignore nulls) over (partition by k order by pos rows between unbounded preceding and unbounded following) as first_page,
+last_value(case when kind = 'h1' then pos end ignore nulls) over u as a1, first_value(case when kind = 'h2' then pos end ignore nulls) over u as f2, last_value(case when kind = 'h2' then pos end ignore nulls) over u as a2 from o window u as (partition by k order by pos rows unbounded preceding)),
+pa as (select h.*, list_filter([x.text, y.text], lambda z: z is not null) as path from h left join o x on x.k = h.k and x.pos = coalesce(a1, f2) left join o y on y.k = h.k and y.pos = a2 and a2 > coalesce(a1, f2)),
+s as (select k, pos, kind, total, page, first_page, text, pn, case when kind = 'text' then path else coalesce(lag(path) over (partition by k order by pos), []) end as before, path from pa
+union all select k, max(pos) + 1, 'end', max(total), arg_max(page, pos), any_value(first_page), null, null, arg_max(path, pos), null from pa group by k),
+cut as (select distinct k, 0::bigint as pos, 0::bigint as e from s union all select x.k, x.pos, s.total::bigint from (select c.k, (select min(s.pos) from s where s.k = c.k and s.pos > c.pos and s.total > 0 and (s.kind <> 'text' or s.total - greatest(c.e - 120, 0) >= 800)) as pos from cut c) x join s on s.k = x.k and s.pos = x.pos),
+al as (select k, flatten(list(words order by pos)) as words from o where kind = 'text' group by k),
+pr as (select cut.k, cut.pos, 0 as side, coalesce(lag(s.page) over z, s.first_page, 1) as page_start, coalesce(s.page, s.first_page, 1) as page_end, 'prose' as chunk_type, s.before as path, greatest(coalesce(lag(cut.e) over z, 0) - 120, 0) as b, cut.e from cut join s on s.k = cut.k and s.pos = cut.pos where cut.pos > 0 window z as (partition by cut.k order by cut.pos)),
+c as (select pr.k, pos, side, page_start, page_end, chunk_type, path, array_to_string(al.words[b + 1:e], ' ') as body from pr join al on al.k = pr.k union all select k, pos, 1, pn, pn, kind, path, text from s where kind in ('table', 'spec_table')),
+f as (select *, case when len(path) > 0 then array_to_string(path, ' > ') || chr(10) || chr(10) else '' end || body as content from c)
+select k as document, (row_number() over (partition by k order by pos, side) - 1)::bigint as chunk_index, page_start::bigint as page_start, page_end::bigint as page_end, chunk_type, array_to_string(path, ' > ') as heading, content, greatest(1, len([x for x in regexp_split_to_array(content, '\\s+') if x <> '']))::bigint as token_count from f"""
+
+
+@query(CHUNKS)
 def chunk_documents(spark, d):
     """Chunks rebuilt from all parsed pages."""
-    return chunking.chunk_documents(table(spark, d, "document_pages"))
+    c = chunking.chunk_documents(table(spark, d, "document_pages"))
+    document = F.coalesce(F.concat(F.lit("v"), F.col("document_version_id").cast("string")), F.concat(F.lit("p"), F.col("page_id").cast("string")))
+    n = lambda x: F.col(x).cast("bigint").alias(x)
+    return c.select(document.alias("document"), n("chunk_index"), n("page_start"), n("page_end"), "chunk_type", F.array_join("heading_path", " > ").alias("heading"), "content", n("token_count"))
 
 
 @query("""with w as (select page_id, line.top as top, line.avg_font_size as size, line.text as text, position from (select page_id, generate_subscripts(page_lines, 1) as position, unnest(page_lines) as line from document_pages)),
 g as (select *, case when top - lag(top) over (partition by page_id order by top, position) > 2.0 then 1 else 0 end as gap from w), n as (select *, sum(gap) over (partition by page_id order by top, position rows unbounded preceding) as line from g)
-select page_id, line::bigint as line, count(*)::bigint as parts, min(top) as top from n group by 1, 2""")
+select page_id, line::bigint as line, string_agg(text, ' ' order by position) as text, min(top) as top, (list(size order by size))[count(size) // 2 + 1] as median_size from n group by 1, 2""")
 def line_groups(spark, d):
-    """Positioned texts grouped to lines by their vertical gaps."""
+    """Positioned texts grouped to lines by their vertical gaps, with the upper median of their sizes."""
     w = table(spark, d, "document_pages").select("page_id", F.posexplode("page_lines").alias("left", "x")).select("page_id", F.col("left").cast("double").alias("left"), "x.text", "x.top", F.col("x.avg_font_size").alias("size"))
-    parts = w.withColumn("text", F.lit("x"))
-    return chunking.group_lines(parts, ["page_id"]).select("page_id", "line", F.size(F.split("text", " ")).cast("bigint").alias("parts"), "top")
+    return chunking.group_lines(w, ["page_id"]).select("page_id", "line", "text", "top", "median_size")
 
 
 @query(LATEST)
@@ -147,10 +172,26 @@ def page_skip_reasons(spark, d):
     return web.skip_reasons(again, "https://plafond.example/", ["datasheet", "brochure", "webpage"], first.select("sha256"))
 
 
-@query()
+BLANK = "\\t\\n\\x0B\\f\\r\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')"
+
+
+@query(f"""with l as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '') as lines, title from documents)
+select doc_id as page_id, nullif(array_to_string([w for w in regexp_split_to_array({strip_sql("coalesce(title, '')")}, '[{BLANK}]+') if w <> ''], ' '), '') as title, len(lines)::bigint as lines, 1::bigint as tables, length(array_to_string(lines, chr(10)))::bigint as characters, doc_id || '|' || len(lines) as cells from l""")
 def parsed_pages(spark, d):
-    """Lines and tables of all pages by the HTML parser."""
+    """Lines and tables of all documents, set as pages of paragraphs with a table, by the HTML parser."""
     from citebase.sources.files import parse_pages
 
-    p = parse_pages(pages(spark, d))
-    return p.select("page_id", "page.title", F.size("page.page_lines").cast("bigint").alias("lines"), F.size("page.page_tables").cast("bigint").alias("tables"), F.length("page.text").cast("bigint").alias("characters"))
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    docs = table(spark, d, "documents")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), safe(x), F.lit("</p>"))), "")
+    cells = lambda a, b: F.concat(F.lit("<tr><td>"), a, F.lit("</td><td> "), b, F.lit("</td></tr>"))
+    n = F.size(F.filter(lines, lambda x: ~x.rlike(f"^[{BLANK}]*$")))
+    html = F.concat(F.lit("<html><head><title>"), safe(F.coalesce("title", F.lit(""))), F.lit("</title></head><body><nav><p>menu</p></nav>"), body, F.lit("<table><tr></tr>"), cells(F.col("doc_id").cast("string"), n.cast("string")), F.lit("</table><footer>foot</footer></body></html>"))
+    p = parse_pages(docs.select(F.col("doc_id").alias("page_id"), html.alias("html")))
+    rows = F.flatten(F.col("page.page_tables")[0]["rows"])
+    return p.select("page_id", "page.title", F.size("page.page_lines").cast("bigint").alias("lines"), F.size("page.page_tables").cast("bigint").alias("tables"), F.length("page.text").cast("bigint").alias("characters"), F.array_join(rows, "|").alias("cells"))
