@@ -360,3 +360,22 @@ def persist_facts(spark, d):
     a = table(spark, d, "visibility_answers").select("answer_id", F.col("response_text").alias("page_text"))
     stored = facts.store_claims(c.join(a, "answer_id"), table(spark, d, "spec_attributes").select("spec_key"), ["product_name", "spec_key"], ["created_at", "answer_claim_id"], "answer_claim_id", ["value_numeric", "value_text", "value_bool", "value_enum"], slices=F.date_trunc("month", F.col("created_at")))
     return stored.groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("""with s as (select status, run_id from extraction_runs), r as (select coalesce(status, '-') as title, string_agg('<li>{"run_id":"' || run_id || '"}</li>', '' order by run_id) as rows from s where status is not null group by 1)
+select 'runs' as report_id, '<html><body>' || string_agg('<h2>' || title || '</h2><ul>' || rows || '</ul>', '' order by title) || '</body></html>' as html from r""")
+def report_html(spark, d):
+    """Runs by their status as one page."""
+    from citebase.sources.sinks import render_html, report_sections
+
+    r = table(spark, d, "extraction_runs").select("run_id", "status")
+    states = sorted(x.status for x in r.select("status").where("status is not null").distinct().collect())  # a fixed set of states
+    return render_html(report_sections("runs", [(s, r.where(F.col("status") == s).select("run_id")) for s in states]))
+
+
+@query("""select page_id, array_to_string(list_filter(flatten(list_transform(coalesce(page_tables, []), lambda t: list_transform(t.rows, lambda r: array_to_string(list_filter(coalesce(r, []), lambda c: trim(c) <> ''), ' | ')))), lambda x: x <> ''), chr(10)) as text from document_pages""")
+def table_row_text(spark, d):
+    """The tables of each page as text, row by row."""
+    from citebase.sources.files import row_text
+
+    return table(spark, d, "document_pages").select("page_id", row_text(F.col("page_tables")).alias("text"))

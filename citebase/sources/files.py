@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+import uuid
 from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,6 +22,8 @@ SIZES = {"h1": 24.0, "h2": 18.0, "h3": 17.0}
 BODY_SIZE = 14.0
 #: Pages with less text are not worth an extraction.
 LEAST_TEXT = 200
+#: A page whose own text layer has fewer characters is read again by other means.
+SPARSE = 40
 #: Embeddings are asked for in batches of this many texts.
 EMBEDDING_BATCH = 96
 
@@ -156,11 +161,150 @@ def content_path(slug: str, sha256: str, extension: str) -> str:
     return f"{slug}/{sha256[:2]}/{sha256}.{extension.lstrip('.')}"
 
 
-def manifest(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """Entries of a JSON manifest with ``problem``: the first required field that is missing or blank, null if none is."""
+def store(files: DataFrame, root: str) -> DataFrame:
+    """(path, sha256, stored): files (slug, extension, content) put to their content-addressed place under a shared root.
+
+    A content that is there already is not written again (``stored`` is false), so a task that is run again changes nothing.
+    Null contents give no row.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            out = []
+            for slug, extension, content in zip(*(c.to_pylist() for c in b.columns)):
+                sha = hashlib.sha256(content).hexdigest()
+                at = f"{base}/{content_path(slug, sha, extension)}"
+                there = system.get_file_info(at).type == fs.FileType.File
+                if not there:
+                    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                    part = f"{at}.{uuid.uuid4().hex}"
+                    with system.open_output_stream(part) as f:
+                        f.write(content)
+                    system.move(part, at)  # whole or not at all
+                out.append((at, sha, not there))
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_()))], ["path", "sha256", "stored"])
+
+    return files.where("content is not null").select("slug", "extension", "content").mapInArrow(run, "path string, sha256 string, stored boolean")
+
+
+def load(spark: SparkSession, root: str, slug: str | None = None) -> DataFrame:
+    """(path, sha256, content) of stored files, of one owner or of all; the name and the content have to agree. Empty files are not
+    read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{slug}" if slug else root)
+    return files.select("path", F.regexp_extract("path", r"([0-9a-f]{64})\.[^/]*$", 1).alias("sha256"), "content").where(F.sha2("content", 256) == F.col("sha256"))
+
+
+def fetched(urls: DataFrame, fetcher: Callable[[str], tuple[int, str]], least: float = 0.0) -> DataFrame:
+    """(url, status_code, text, error) of each distinct URL by the host's fetcher; a failing one gives a row with the error.
+
+    ``least`` seconds are kept between two fetches of a task. Null URLs give no row.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for url in b.column(0).to_pylist():
+                begun = time.monotonic()
+                try:
+                    status, text = fetcher(url)
+                    out.append({"url": url, "status_code": status, "text": text, "error": None})
+                except Exception as e:  # one page that cannot be had must not end the crawl
+                    out.append({"url": url, "status_code": None, "text": None, "error": str(e) or type(e).__name__})
+                time.sleep(max(0.0, least - (time.monotonic() - begun)) if least else 0)
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("url", pa.string()), ("status_code", pa.int32()), ("text", pa.string()), ("error", pa.string())]))
+
+    return urls.select("url").where("url is not null").distinct().mapInArrow(run, "url string, status_code int, text string, error string")
+
+
+ANSWER = "response_text string, resolved_model_version string, citations array<string>, input_tokens int, output_tokens int"
+
+
+def answers(prompts: DataFrame, engine: Callable[[str], dict], replicates: int = 1) -> DataFrame:
+    """(prompt_id, replicate_index, error, ...) of each prompt (prompt_id, text) and replicate by the host's engine.
+
+    Whatever the engine leaves out is null; citations that repeat are kept in order. A failing call gives a row with the
+    error.
+    """
+    full = prompts.sparkSession.createDataFrame([], f"prompt_id bigint, replicate_index int, error string, {ANSWER}").schema
+    kinds, names = to_arrow_schema(full), [f.split()[0] for f in ANSWER.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, text, k in zip(*(c.to_pylist() for c in b.columns)):
+                try:
+                    got = engine(text)
+                    out.append({"prompt_id": i, "replicate_index": k, "error": None, **{n: got.get(n) for n in names}})
+                except Exception as e:  # the call's own failure
+                    out.append({"prompt_id": i, "replicate_index": k, "error": str(e) or type(e).__name__})
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    each = prompts.select("prompt_id", "text", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate_index"))
+    return each.mapInArrow(run, full)
+
+
+def with_fallback(pages: DataFrame, reader: Callable[[str, int], str], least: int = SPARSE) -> DataFrame:
+    """Pages (path, page_number, text) with the text of a second reader where a page's own layer is sparse.
+
+    ``used_fallback`` tells which. Null counts as no text; a reader that fails leaves what was there.
+    """
+    sparse = F.length(F.trim(F.coalesce("text", F.lit("")))) < least
+    kind = "path string, page_number int, text string"
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, number, text in zip(*(c.to_pylist() for c in b.columns)):
+                try:
+                    text, used = reader(path, number), True
+                except Exception:  # what the page has is better than nothing
+                    used = False
+                out.append({"path": path, "page_number": number, "text": text, "used_fallback": used})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("page_number", pa.int32()), ("text", pa.string()), ("used_fallback", pa.bool_())]))
+
+    own = pages.select("path", "page_number", "text")
+    read = own.where(sparse).mapInArrow(run, f"{kind}, used_fallback boolean")
+    return own.where(~sparse).withColumn("used_fallback", F.lit(False)).unionByName(read)
+
+
+def row_text(tables: Column) -> Column:
+    """The tables of a page as text, row by row, cells parted by bars: what a page's text gains so that quotes of cells are found."""
+    cells = lambda r: F.array_join(F.filter(F.coalesce(r, F.array().cast("array<string>")), lambda c: F.trim(c) != ""), " | ")
+    return F.array_join(F.filter(F.flatten(F.transform(F.coalesce(tables, F.array()), lambda t: F.transform(t["rows"], cells))), lambda x: x != ""), "\n")
+
+
+def manifest(spark: SparkSession, path: str, required: list[str], rules: dict[str, str] | None = None) -> DataFrame:
+    """Entries of a JSON manifest with ``problem``: the first required field that is missing or blank, else the first rule
+    (a field and the pattern its value has to match, where given) that is broken; null if none is.
+    """
     rows = spark.read.option("multiLine", True).json(path)
-    missing = F.coalesce(*(F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(f"{c} missing")) if c in rows.columns else F.lit(f"{c} missing") for c in required))
-    return rows.withColumn("problem", missing)
+    missing = [F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(f"{c} missing")) if c in rows.columns else F.lit(f"{c} missing") for c in required]
+    broken = [F.when(~F.coalesce(F.trim(F.col(c).cast("string")).rlike(f"^(?:{p})$"), F.lit(True)), F.lit(f"{c} invalid")) for c, p in (rules or {}).items() if c in rows.columns]
+    return rows.withColumn("problem", F.coalesce(*missing, *broken, F.lit(None).cast("string")))
+
+
+def manifest_files(entries: DataFrame, listing: DataFrame, file: str = "file") -> DataFrame:
+    """(file, state): listed and there, ``missing`` file, or a file that is ``unlisted``. listing: path."""
+    there = listing.select(F.regexp_extract("path", r"([^/]+)$", 1).alias(file)).distinct().withColumn("_there", F.lit(True))
+    said = entries.select(file).where(F.col(file).isNotNull()).distinct().withColumn("_said", F.lit(True))
+    return said.join(there, file, "full").select(F.col(file).alias("file"), F.when(F.col("_there").isNull(), "missing").when(F.col("_said").isNull(), "unlisted").otherwise("there").alias("state"))
+
+
+def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, **options) -> DataFrame:
+    """A table of Parquet, ORC, CSV or JSON (one value a line, or one document with ``multiLine``); partitions are pruned by
+    filters. CSV has a header unless told otherwise."""
+    reader = spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {}), **options)
+    return (reader.schema(schema) if schema else reader).load(path)
+
+
+def table_list(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(name, kind) of the tables and views that a session knows."""
+    rows = [(t.name, t.tableType) for t in (spark.catalog.listTables(database) if database else spark.catalog.listTables())]
+    return spark.createDataFrame(rows, "name string, kind string")
 
 
 def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], dimensions: int, column: str = "embedding") -> DataFrame:

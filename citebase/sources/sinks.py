@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citebase.functions.parsing import xml_escape
+
 
 def write_current(log: DataFrame, path: str, current: str = "is_current") -> None:
     """A log split by whether a row is current, so that readers of the current state prune the rest."""
@@ -25,6 +27,18 @@ def report_sections(report_id: str, sections: list[tuple[str, DataFrame]]) -> Da
     return out
 
 
+def render_html(sections: DataFrame) -> DataFrame:
+    """(report_id, html): the sections of each report as one page, in order, every text escaped.
+
+    A report is what people read, so its sections are gathered in one row.
+    """
+    escape = lambda c: xml_escape(F.col(c))
+    per = sections.groupBy("report_id", "position", "title").agg(F.array_sort(F.collect_list(escape("body"))).alias("rows"))
+    part = F.concat(F.lit("<h2>"), escape("title"), F.lit("</h2><ul>"), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("<li>"), r, F.lit("</li>"))), ""), F.lit("</ul>"))
+    pages = per.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("position", part.alias("part")))).alias("parts"))
+    return pages.select("report_id", F.concat(F.lit("<html><body>"), F.array_join(F.transform("parts", lambda p: p["part"]), ""), F.lit("</body></html>")).alias("html"))
+
+
 def merge_json(a, b):
     """Shallow merge of two JSON objects as maps of strings; the right one wins. Null counts as empty."""
     kind = "map<string,string>"

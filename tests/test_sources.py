@@ -86,3 +86,65 @@ def test_sink_does_not_hide_errors(spark, tmp_path):
     with pytest.raises(Exception):
         for i in range(200):
             latest.idempotent_sink(str(tmp_path / "bad"), ["k"], buckets=2)(spark.createDataFrame([(i, "a")], "k int, v string"), 0)
+
+
+def test_content_store(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    rows = spark.createDataFrame([("acme", ".pdf", bytearray(b"one")), ("acme", "pdf", bytearray(b"one")), ("b", "txt", bytearray(b"two")), ("b", "txt", None)], "slug string, extension string, content binary").coalesce(1)
+    assert sorted(r.stored for r in files.store(rows, root).collect()) == [False, True, True]
+    assert not any(r.stored for r in files.store(rows, root).collect())
+    got = files.load(spark, root, "acme").collect()
+    assert len(got) == 1 and bytes(got[0].content) == b"one" and got[0].path.endswith(files.content_path("acme", got[0].sha256, "pdf"))
+    assert files.load(spark, root).count() == 2
+
+
+def test_fetches_and_answers(spark):
+    def fetcher(url):
+        if "down" in url:
+            raise OSError("no route")
+        return (404, "") if "gone" in url else (200, url.upper())
+
+    urls = spark.createDataFrame([("a",), ("a",), ("gone",), ("down",), (None,)], "url string")
+    assert sorted(map(tuple, files.fetched(urls, fetcher).collect()), key=str) == [("a", 200, "A", None), ("down", None, None, "no route"), ("gone", 404, "", None)]
+
+    def engine(text):
+        if not text:
+            raise ValueError("empty prompt")
+        return {"response_text": text[::-1], "citations": ["u", "u"], "input_tokens": 3}
+
+    got = sorted(files.answers(spark.createDataFrame([(1, "ab"), (2, None)], "prompt_id bigint, text string"), engine, 2).collect(), key=lambda r: (r.prompt_id, r.replicate_index))
+    assert [(r.prompt_id, r.replicate_index, r.error, r.response_text, r.citations, r.output_tokens) for r in got] == [(1, 0, None, "ba", ["u", "u"], None), (1, 1, None, "ba", ["u", "u"], None), (2, 0, "empty prompt", None, None, None), (2, 1, "empty prompt", None, None, None)]
+
+
+def test_sparse_pages_are_read_again(spark):
+    def reader(path, number):
+        if number == 3:
+            raise OSError("no image")
+        return f"seen {path}"
+
+    rows = spark.createDataFrame([("p", 1, "x" * 40), ("p", 2, "  short "), ("p", 3, "stays"), ("p", 4, None)], "path string, page_number int, text string")
+    got = {r.page_number: (r.text, r.used_fallback) for r in files.with_fallback(rows, reader).collect()}
+    assert got == {1: ("x" * 40, False), 2: ("seen p", True), 3: ("stays", False), 4: ("seen p", True)}
+
+
+def test_manifest_rules_and_files(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps([{"file": "a.pdf", "url": "https://x.example", "date": "2026-01-02"}, {"file": "b.pdf", "url": "ftp:x", "date": None}, {"file": "c.pdf", "url": "https://y.example", "date": "soon"}]))
+    m = files.manifest(spark, str(tmp_path / "m.json"), ["file"], {"url": "https?://.+", "date": r"\d{4}-\d{2}-\d{2}"})
+    assert {r.file: r.problem for r in m.collect()} == {"a.pdf": None, "b.pdf": "url invalid", "c.pdf": "date invalid"}
+    listing = spark.createDataFrame([("file:/d/a.pdf",), ("file:/d/z.pdf",)], "path string")
+    assert {(r.file, r.state) for r in files.manifest_files(m, listing).collect()} == {("a.pdf", "there"), ("b.pdf", "missing"), ("c.pdf", "missing"), ("z.pdf", "unlisted")}
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "csv", "json"])
+def test_formats(spark, tmp_path, kind):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id bigint, name string")
+    rows.write.format(kind).option("header", "true").partitionBy("id").save(str(tmp_path / kind))
+    got = files.read_table(spark, str(tmp_path / kind), kind, "name string, id bigint").where("id = 1")
+    assert [tuple(r) for r in got.select("id", "name").collect()] == [(1, "a")]
+
+
+def test_table_list_and_html(spark):
+    spark.range(1).createOrReplaceTempView("some_view")
+    assert ("some_view", "TEMPORARY") in {tuple(r) for r in files.table_list(spark).collect()}
+    s = sinks.report_sections("r", [("A & B", spark.createDataFrame([("<x>",)], "name string")), ("two", spark.createDataFrame([("y",)], "name string"))])
+    assert [r.html for r in sinks.render_html(s).collect()] == ['<html><body><h2>A &amp; B</h2><ul><li>{"name":"&lt;x&gt;"}</li></ul><h2>two</h2><ul><li>{"name":"y"}</li></ul></body></html>']
