@@ -29,6 +29,8 @@ TOKENIZER, FOLDER = "byte_bpe_multi_50k.tiktoken", "/opt/tokenizers"
 CACHE = 500_000
 #: Kinds of containers planned at once, which with their capacities bound a broadcast plan; more are planned in turn.
 KINDS_BOUND = 100
+#: Bytes of partial sums that a combination holds before they are put down as numbers of steps.
+STEPS_BYTES = 1 << 26
 #: Parts into which the texts of one length are spread.
 SALTS = 256
 #: Fixed value: the pattern that parts a text before the merges of the rank files.
@@ -83,12 +85,11 @@ def token_sizes(documents: DataFrame, folder: str = FOLDER, name: str = TOKENIZE
 def fullest(capacity: int, sizes: list[int], left: dict[int, int]) -> dict[int, int]:
     """The fullest combination of the lengths left that fits: subset sums as bits of one integer, size by size.
 
-    ``sizes`` descend. Stops as soon as the capacity is met. Of each sum only the step that first reached it is kept, so
-    memory is the capacity's, however many lengths there are.
+    ``sizes`` descend. Stops as soon as the capacity is met. Of each step only the sums that it was the first to reach are
+    kept; once they hold ``STEPS_BYTES`` they are put down as one number for each sum, so memory stays the capacity's.
     """
-    reach, steps, full = 1, [], 1 << capacity
-    mask, width = (full << 1) - 1, capacity // 8 + 1
-    first = np.zeros(8 * width, np.int32)
+    reach, full, steps, held, first = 1, 1 << capacity, [], 0, None
+    mask = (full << 1) - 1
     for s in sizes:
         if s > capacity:
             continue
@@ -97,20 +98,38 @@ def fullest(capacity: int, sizes: list[int], left: dict[int, int]) -> dict[int,
             k = min(unit, n)
             new = (reach << (s * k)) & mask & ~reach
             if new:
-                steps.append((s, k))
-                first[np.unpackbits(np.frombuffer(new.to_bytes(width, "little"), np.uint8), bitorder="little").view(bool)] = len(steps)
+                steps.append((s, k, new))
                 reach |= new
+                held += new.bit_length() // 8
+                if held > STEPS_BYTES:
+                    first = _put_down(first, steps, capacity)
+                    held = 0
             n, unit = n - k, unit * 2
         if reach & full:
             break
     total, taken = reach.bit_length() - 1, defaultdict(int)
-    while total:  # what a step added to was reached by an earlier one
-        s, k = steps[first[total] - 1]
+    for s, k, new in reversed(steps):  # what a step added to was reached by an earlier one
+        if new and (new >> total) & 1:
+            taken[s] += k
+            total -= s * k
+    while total:
+        s, k, _ = steps[first[total] - 1]
         taken[s] += k
         total -= s * k
     return dict(taken)
 
 
+def _put_down(first: np.ndarray | None, steps: list[tuple[int, int, int]], capacity: int) -> np.ndarray:
+    """The number of the step that first reached each sum; the steps' own sums are emptied."""
+    width = capacity // 8 + 1
+    first = np.zeros(8 * width, np.int32) if first is None else first
+    for at, (s, k, new) in enumerate(steps):
+        if new:
+            first[np.unpackbits(np.frombuffer(new.to_bytes(width, "little"), np.uint8), bitorder="little").view(bool)] = at + 1
+            steps[at] = s, k, 0
+    return first
+
+
 def pack_lengths(capacity: int, histogram: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, per container, first container, containers) so that every text of each length has its place."""
     left = {s: n for s, n in histogram.items() if 0 < s <= capacity and n > 0}

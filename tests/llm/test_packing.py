@@ -21,12 +21,17 @@ def test_plan_places_all(capacity, histogram):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.integers(1, 40), st.dictionaries(st.integers(1, 40), st.integers(1, 4), min_size=1, max_size=6))
-def test_fullest_is_fullest(capacity, left):
+@given(st.integers(1, 40), st.dictionaries(st.integers(1, 40), st.integers(1, 4), min_size=1, max_size=6), st.sampled_from([-1, 0, 3, 9]))
+def test_fullest_is_fullest(capacity, left, bytes_):
     sums = {0}
     for s, n in left.items():
         sums = {x + s * k for x in sums for k in range(n + 1) if x + s * k <= capacity}
     taken = p.fullest(capacity, sorted(left, reverse=True), left)
+    held, p.STEPS_BYTES = p.STEPS_BYTES, bytes_
+    try:
+        assert p.fullest(capacity, sorted(left, reverse=True), left) == taken
+    finally:
+        p.STEPS_BYTES = held
     assert sum(s * k for s, k in taken.items()) == max(sums) and all(k <= left[s] for s, k in taken.items())
 
 
