@@ -151,5 +151,5 @@ h3 as (select distinct b as node, 3 as hop from g join h2 on node = a where b no
 select node, hop::bigint as hop from (from h0 union all from h1 union all from h2 union all from h3)""")
 def frontier_bfs(spark, d):
     """Breadth-first search over the supplier and part graph."""
-    e = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
     return relational.reachable(e.union(e.select("b", "a")), spark.createDataFrame([("s0",)], "node string"), 3)

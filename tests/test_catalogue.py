@@ -6,6 +6,7 @@ import pytest
 from citebase.plans import catalogue, training
 
 ALL = {**catalogue.QUERIES, **training.QUERIES}
+SQL = {**catalogue.ORACLE, **training.ORACLE}
 
 
 def plain(frame: pd.DataFrame) -> pd.DataFrame:
@@ -24,8 +25,8 @@ def plain(frame: pd.DataFrame) -> pd.DataFrame:
 @pytest.mark.parametrize("name", sorted(ALL))
 def test_query(spark, sf_dir, duck, name):
     got = ALL[name](spark, sf_dir).toPandas()
-    if name in catalogue.ORACLE:
-        want = duck.execute(catalogue.ORACLE[name]).df()
+    if name in SQL:
+        want = duck.execute(SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         pd.testing.assert_frame_equal(plain(got), plain(want))
 
