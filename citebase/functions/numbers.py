@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 
 def six_digits(v: Column) -> Column:
-    """A number in six significant digits without trailing zeros: ``%g`` for magnitudes from 1e-4 up to 1e6."""
-    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(v))))
-    rounded = (F.round(v * scale) / scale).cast("decimal(38,12)").cast("string")
-    return F.when(v == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(rounded, "0+$", ""), r"\.$", ""))
+    """A number in six significant digits without trailing zeros, as ``%g`` writes it: with an exponent below 1e-4 and from 1e6 on."""
+    size = F.abs(v)
+    raw = F.floor(F.log10(size)).cast("int")
+    # the double nearest to a decimal text, so that a scale below 1 loses nothing
+    mantissa = F.bround(F.when(raw < 0, size * F.pow(F.lit(10.0), -raw)).otherwise(size / F.pow(F.lit(10.0), raw)), 5)
+    exponent = F.when(mantissa >= 10, raw + 1).otherwise(raw)
+    mantissa = F.when(mantissa >= 10, mantissa / 10).otherwise(mantissa)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(size)))
+    plain = bare((F.round(size * scale) / scale).cast("decimal(38,12)").cast("string"))
+    far = F.concat(bare(mantissa.cast("decimal(12,5)").cast("string")), F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    far = F.when(F.abs(exponent) > 99, F.concat(F.regexp_extract(far, "^(.*e.)", 1), F.abs(exponent).cast("string"))).otherwise(far)
+    text = F.when((exponent < -4) | (exponent >= 6), far).otherwise(plain)
+    return F.when(v == 0, "0").when(F.isnan(v), "nan").when(size == float("inf"), F.when(v > 0, "inf").otherwise("-inf")).otherwise(F.when(v < 0, F.concat(F.lit("-"), text)).otherwise(text))
 
 
 def digits(c: Column) -> Column:

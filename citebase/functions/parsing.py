@@ -19,7 +19,8 @@ def iso_time(c: Column) -> Column:
     """A date or a time of ISO 8601, with or without an offset (UTC where there is none); null for anything else."""
     t = F.trim(c)
     known = t.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$")
-    return F.when(known, F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+    whole = F.regexp_replace(F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2")
+    return F.when(known, whole.try_cast("timestamp"))
 
 
 def xml_escape(c: Column) -> Column:

@@ -115,7 +115,20 @@ def ranked_tasks(branches: list[tuple[DataFrame, int]]) -> DataFrame:
     for at, (rows, effort) in enumerate(branches):
         part = rows.select(F.lit(at).cast("bigint").alias("branch"), "task", F.col("n").cast("bigint").alias("n"), F.least(F.lit(3), F.ceil(F.col("n") / 2)).cast("bigint").alias("impact"), F.lit(effort).cast("bigint").alias("effort"))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("priority", F.round(F.col("impact") / F.col("effort"), 6)).orderBy(F.desc("priority"), "branch", "task")
+    return out.withColumn("priority", F.round(F.col("impact") / F.col("effort"), 6)).orderBy(F.desc("priority"), "branch", F.desc("n"), "task")
+
+
+def remediation(crawlers: DataFrame, gaps: DataFrame, checks: DataFrame, findings: DataFrame) -> DataFrame:
+    """The ranked list of what to mend: (branch, task, n, impact, effort, priority), see ``ranked_tasks``.
+
+    crawlers: user_agent, allowed; those shut out are one task of full impact. gaps: task (a spec that documents do not
+    state); checks: task (a product), found (its value stands on its page); findings: task (a spec that answers get wrong).
+    """
+    count = lambda rows: rows.where(F.col("task").isNotNull()).groupBy("task").agg(F.count("*").alias("n"))
+    listed = ranked_tasks([(crawlers.limit(0).select(F.col("user_agent").alias("task"), F.lit(0).alias("n")), 1), (count(gaps), 1), (count(checks.where("not found")), 2), (count(findings), 3)])
+    shut = crawlers.where("allowed = false").agg(F.array_join(F.array_sort(F.collect_set("user_agent")), ", ").alias("task"), F.count_distinct("user_agent").alias("n")).where("n > 0")
+    first = shut.select(F.lit(0).cast("bigint").alias("branch"), "task", "n", F.lit(3).cast("bigint").alias("impact"), F.lit(1).cast("bigint").alias("effort"), F.lit(3.0).alias("priority"))
+    return first.unionByName(listed).orderBy(F.desc("priority"), "branch", F.desc("n"), "task")
 
 
 def problem_statement(counts: DataFrame, audited: str) -> DataFrame:

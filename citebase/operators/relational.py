@@ -253,3 +253,11 @@ def sessions(events: DataFrame, key: str, at: str, gap: str, slices: Column) ->
     opens = F.coalesce(F.col("start") > F.lag("end").over(w) + wait, F.lit(True))
     numbered = near.withColumn("_s", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "_s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_s")
+
+
+def where_given(rows: DataFrame, **values) -> DataFrame:
+    """Rows that have the given values; a value that is None asks for nothing, so the filter is left out of the plan."""
+    for column, value in values.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows

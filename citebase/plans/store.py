@@ -8,6 +8,7 @@ from citebase.functions import parsing
 from citebase.functions.text import normalize_full, slug, words
 from citebase.functions.web import visible_text
 from citebase.operators import ann, audit, chunking, facts, jobs, relational, retrieval, security, web
+from citebase.plans.audits import JUDGED, judged
 from citebase.plans.registry import NORMAL, SLUG, WORDS, query
 from citebase.session import table
 
@@ -382,3 +383,49 @@ def table_row_text(spark, d):
     from citebase.sources.files import row_text
 
     return table(spark, d, "document_pages").select("page_id", row_text(F.col("page_tables")).alias("text"))
+
+
+@query(f"""with {JUDGED}, g as (select p_type as task from j where not is_competitor and verdict = 'unverifiable_spec'), w as (select p_type as task from j where not is_competitor and verdict in ('incorrect', 'likely_confusion')),
+p as (select product_name as task from answer_claims left join visibility_answers using (answer_id) where value_text is not null and value_numeric is null and not contains(lower(trim(regexp_replace(regexp_replace(regexp_replace(response_text, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))), lower(value_text))),
+b as (select 1 as branch, task, count(*) as n, 1 as effort from g group by task union all select 2, task, count(*), 2 from p where task is not null group by task union all select 3, task, count(*), 3 from w group by task)
+select 0::bigint as branch, 'CCBot, GPTBot' as task, 2::bigint as n, 3::bigint as impact, 1::bigint as effort, 3.0::double as priority union all select branch, task, n, least(3, ceil(n / 2))::bigint, effort, round(least(3, ceil(n / 2)) / effort, 6) from b""")
+def remediation_list(spark, d):
+    """What to mend first: crawlers shut out, gaps in the documents, values missing on pages, wrong answers."""
+    robots = "User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nUser-agent: *\nDisallow:"
+    crawlers = web.crawlability(spark.createDataFrame([(1, 200, robots, "/")], "file_id int, status_code int, robots_txt string, path string"))
+    own = judged(spark, d).where("not is_competitor").withColumnRenamed("p_type", "task")
+    a = table(spark, d, "visibility_answers").select("answer_id", visible_text(F.col("response_text")).alias("visible"))
+    claims = table(spark, d, "answer_claims").where("value_numeric is null and value_text is not null").select("answer_id", F.col("product_name").alias("task"), "value_numeric", "value_text", "value_bool").join(a, "answer_id", "left")
+    return audit.remediation(crawlers, own.where("verdict = 'unverifiable_spec'"), web.value_visible(claims), own.where(F.col("verdict").isin("incorrect", "likely_confusion")))
+
+
+@query("select strftime(time_bucket(interval 6 hours, ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*)::bigint as n from events group by 1, 2")
+def stream_windows(spark, d):
+    """Events in windows of six hours, counted by a stream with a watermark."""
+    from citebase.streaming import latest
+
+    s = latest.file_stream(spark, d, "events.parquet").select(F.col("ts").cast("timestamp").alias("at"), "event_type")
+    out = latest.run_available(latest.windowed_counts(s, "at", ["event_type"], "6 hours", "40 days"), "stream_windows")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
+
+
+@query("select count(*)::bigint as stored, count(distinct (user_id, event_type))::bigint as keys from (select user_id, event_type from events group by 1, 2)")
+def stream_once(spark, d):
+    """One row for each key by a sink that a stream reaches twice, as after a failure."""
+    from citebase.streaming import latest
+
+    folder = latest.shared_folder(spark, "stream_once")
+    sink = latest.idempotent_sink(f"{folder}/table", ["user_id", "event_type"])
+    for run in range(2):
+        s = latest.file_stream(spark, d, "events.parquet").select("user_id", "event_type", "event_id")
+        s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/{run}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/table").agg(F.count("*").alias("stored"), F.count_distinct("user_id", "event_type").alias("keys"))
+
+
+@query("select doc_id, length(text)::double as letters, (length(text) - length(replace(text, ' ', '')))::double as blanks from documents")
+def embedded_texts(spark, d):
+    """Texts with the vectors of a host's embedder, here one that counts letters and blanks."""
+    from citebase.sources.files import embed
+
+    e = embed(table(spark, d, "documents").select("doc_id", "text"), "text", lambda ts: [[float(len(t)), float(t.count(" "))] for t in ts], 2)
+    return e.select("doc_id", F.col("embedding")[0].cast("double").alias("letters"), F.col("embedding")[1].cast("double").alias("blanks"))

@@ -350,3 +350,58 @@ def test_median_of_a_cube(spark, tmp_path):
             groups.setdefault(key, []).append(x)
     want = sorted((a or "all", b or "all", len(v), round(median(w), 4) if (w := [x for x in v if x is not None]) else -1.0) for (_, a, b), v in groups.items())
     assert got == want
+
+
+def test_six_digits_are_those_of_g(spark):
+    import random
+
+    r = random.Random(4)
+    values = [0.0, 1e6, 999999.5, 999999.4, 1e-4, 9.9999999e-5, 1e-5, 123456789.0, -2.5, -1e7, 1e100, 1.5e-120, 100000.0, 0.1, 1234565.0, 65536.0] + [r.choice([-1, 1]) * r.random() * 10 ** r.randint(-9, 12) for _ in range(400)]
+    got = [x.g for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", numbers.six_digits(F.col("v")).alias("g")).orderBy("i").collect()]
+    assert got == ["%g" % v for v in values]
+
+
+def test_where_given(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, kind string")
+    assert relational.where_given(rows, kind=None).count() == 3 and [r.id for r in relational.where_given(rows, kind="b", id=None).collect()] == [2]
+
+
+def test_run_checks(spark):
+    from citebase.operators import jobs
+
+    runs = spark.createDataFrame([("r1", "acme"), ("r2", None)], "run_id string, brand_id string")
+    assert jobs.require_run(runs, "r1", "acme") is None and jobs.require_run(runs, "r2") is None
+    with pytest.raises(LookupError):
+        jobs.require_run(runs, "r9")
+    with pytest.raises(ValueError, match="acme"):
+        jobs.require_run(runs, "r1", "other")
+
+
+def test_queue(spark):
+    from citebase.operators import jobs
+
+    schema = "id int, kind string, status string, priority int, attempts int, max_attempts int, run_after timestamp, locked_at timestamp, locked_by string, last_error string"
+    import datetime as dt
+
+    t = dt.datetime(2026, 1, 1)
+    rows = [(1, "a", "pending", 2, 0, 3, t, None, None, None), (2, "a", "pending", 1, 2, 3, t, None, None, "x"), (3, "b", "pending", 0, 0, 1, t + dt.timedelta(days=9), None, None, None)]
+    now = F.lit(t + dt.timedelta(hours=1))
+    q = jobs.claim(spark.createDataFrame(rows, schema), now, "w", ["a"])
+    assert {r.id: (r.status, r.attempts, r.locked_by) for r in q.collect()} == {1: ("pending", 0, None), 2: ("running", 3, "w"), 3: ("pending", 0, None)}
+    done = jobs.finish(q, spark.createDataFrame([(2, "boom"), (1, None), (77, "y")], "id int, error string"), now)
+    assert {r.id: (r.status, r.last_error, r.run_after == t) for r in done.collect()} == {1: ("succeeded", None, True), 2: ("dead", "boom", False), 3: ("pending", None, False)}
+    assert [tuple(r) for r in jobs.dead_letters(done).collect()] == [(2, "a", 3, "boom")]
+    assert jobs.claim(q.limit(0), now, "w").count() == 0
+
+
+def test_values_that_sources_get_wrong(spark):
+    from citebase.functions import parsing
+
+    items = ['[{"k":1},{"k":2}]', '"[{\\"k\\":1}]"', '{"items":[{"k":3}]}', '"{\\"items\\":[{\\"k\\":4}]}"', "nothing", None, "[]", "{broken"]
+    got = [r.a if r.a is None else [x.k for x in r.a] for r in spark.createDataFrame([(i, v) for i, v in enumerate(items)], "i int, v string").select("i", parsing.json_array(F.col("v"), "struct<k:int>", "items").alias("a")).orderBy("i").collect()]
+    assert got[:5] == [[1, 2], [1], [3], [4], None] and got[5] is None and got[6] == []
+    times = ["2026-08-09", "2026-08-09T10:00:00+02:00", "2026-08-09T10:00+0200", "2026-08-09 10:00:00.5Z", "09/08/2026", "2026-13-01", "", None]
+    at = [r.t for r in spark.createDataFrame([(i, v) for i, v in enumerate(times)], "i int, v string").select("i", F.date_format(parsing.iso_time(F.col("v")), "dd HH:mm:ss").alias("t")).orderBy("i").collect()]
+    assert at == ["09 00:00:00", "09 08:00:00", "09 08:00:00", "09 10:00:00", None, None, None, None]
+    assert one(spark, parsing.xml_escape(F.lit("<A> & b"))) == "&lt;A&gt; &amp; b" and one(spark, parsing.xml_escape(F.lit(""))) == "-"
+    assert one(spark, parsing.tail_tokens(F.lit(" a  b c "), 2)) == "b c" and one(spark, parsing.tail_tokens(F.lit(None).cast("string"), 2)) == "" and one(spark, parsing.tail_tokens(F.lit("a"), 0)) == ""
