@@ -258,7 +258,11 @@ def agreeing_pairs(usual: DataFrame) -> tuple[DataFrame, DataFrame]:
     values = [F.when(either.bitwiseAND(1 << k) == 0, F.col(c).cast("string")).otherwise("*") for k, c in enumerate(OPEN)]
     block = F.concat_ws("|", "s.name", F.least("open", "facing"), F.greatest("open", "facing"), *values)
     sides = [F.concat_ws("|", "s.own", "open").alias("side"), F.concat_ws("|", "s.others", "facing").alias("across")]
-    members = checkpointed(rows.select("id", "n", "ref", "open", "facing", *OPEN, block.alias("block"), *sides))
+    # a block's name is long and shuffled several times, so two hashes stand for it: 96 bits, and whatever met by chance is compared
+    members = rows.select("id", "n", "ref", "open", "facing", *OPEN, F.struct(F.xxhash64(block).alias("a"), F.hash(block).alias("b")).alias("block"), *sides)
+    # one that is alone in its block meets nobody
+    crowded = members.groupBy("block").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("block")
+    members = checkpointed(members.join(crowded, "block", "left_semi"))
 
     stated = members.groupBy("block", "side").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in OPEN for f in (F.min, F.max)))
     heard = members.where("open <> 0").select("id", "open", "block", F.col("across").alias("side")).join(stated, ["block", "side"])
