@@ -4,7 +4,7 @@ Attributes are parsed out of name and specification text and brought to canonica
 representative, so a product listed any number of times is compared once. Every two representatives of one number and
 close series that agree in all attributes both state meet, by way of the most frequent one of a block whose members all
 show the same agreement (``agreeing_pairs``), so a block costs as many comparisons as it has members. Blocks of number and
-series form alone (each with its most frequent member) and the runs' own warnings add pairs that differ. Linkage weights
+usual series alone (each with its most frequent member) and the runs' own warnings add pairs that differ. Linkage weights
 are fitted by expectation-maximisation over the counts of the agreement patterns, from the prior that a stated attribute is
 hardly ever wrong, and decide which pairs are links; links are clustered. A listing that leaves an attribute open and fits
 products that differ in it is not joined to either.
@@ -313,8 +313,7 @@ def group_listings(listings: DataFrame, extraction_runs: DataFrame | None = None
     signed = parsed.withColumn("signature", F.when(F.col("series").isNull(), F.concat(F.lit("#"), F.col("listing_id").cast("string"))).otherwise(signature))
     reps = checkpointed(signed.groupBy("signature", *own).agg(F.min("listing_id").alias("id"), F.count("*").alias("n"), F.min("ref").alias("ref")))
     usual = checkpointed(reps.join(usual_series(reps), ["number", "series"], "left"))
-    keyed = usual.where("usual is not null").withColumn("form", F.explode(F.array_union(F.array(F.concat(F.lit("="), "usual")), deletions(F.col("series")))))
-    blocks = keyed.select("id", "n", F.concat_ws("|", "number", "form").alias("block"))
+    blocks = usual.where("usual is not null").select("id", "n", F.concat_ws("|", "number", "usual").alias("block"))
     hubs = blocks.groupBy("block").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("hub"), F.count("*").alias("size")).where("size > 1")
     pairs = blocks.join(hubs, "block").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     agreeing, judged = agreeing_pairs(usual)
