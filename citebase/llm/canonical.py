@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from citebase.operators.vocabulary import SPEC_ALIASES
 from citebase.session import checkpointed
 
-#: Entries of the list that one broadcast may hold.
+#: Entries of the list that one broadcast may hold: about 120 MB in each worker.
 LIST_BOUND = 50_000
 #: Values resolved once that a worker remembers.
 CACHE = 200_000

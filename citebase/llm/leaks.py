@@ -35,8 +35,8 @@ ANSWER = 16
 RUNS = 32
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
-#: Items of a posting block, and items that one broadcast index may hold.
-BLOCK, ITEM_BOUND = 16, 20_000
+#: Items of a posting block, and items that one broadcast index may hold: about 100 MB in each worker.
+BLOCK, ITEM_BOUND = 16, 5_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[̀-ͯ­​-‏‪-‮⁠-⁤﻿᠎]")
@@ -65,15 +65,13 @@ class Index:
         frequency = Counter(t for w in words.values() for t in set(w))
         idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in frequency.items()}
         postings = defaultdict(list)
-        self.runs: list[set[tuple[str, ...]]] = []
+        self.passages = [f" {' '.join(words[i])} " for i in self.items]
         for slot, i in enumerate(self.items):
             w, tf = words[i], Counter(words[i])
             weight = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / average)) for t, f in tf.items()}
-            runs = [tuple(w[k : k + RUN]) for k in range(len(w) - RUN + 1)]
-            least = min(sum(weight[t] for t in set(r)) for r in runs)
+            least = min(sum(weight[t] for t in set(w[k : k + RUN])) for k in range(len(w) - RUN + 1))
             for t, x in weight.items():
                 postings[t].append((slot, x / least * (1 + 1e-9)))
-            self.runs.append(set(runs))
         self.terms = {t: k for k, t in enumerate(postings, 1)}  # 0 stands for every other word
         self.slots = [[s for s, _ in p] for p in postings.values()]
         self.weights = [[x for _, x in p] for p in postings.values()]
@@ -150,8 +148,8 @@ class Index:
         words, slot = normal_words(text), {self.items[s]: s for s in range(len(self.items))}
         out = {}
         for i in found:
-            runs = self.runs[slot[i]]
-            end = next(k for k in range(len(words), RUN - 1, -1) if tuple(words[k - RUN : k]) in runs)
+            passage = self.passages[slot[i]]
+            end = next(k for k in range(len(words), RUN - 1, -1) if f" {' '.join(words[k - RUN : k])} " in passage)
             out[i] = f" {' '.join(words[end : end + ANSWER])} "
         return out
 
@@ -160,8 +158,8 @@ class Index:
         slots = [s for s in self.retrieve(list(terms)) if self.items[s] not in known]
         if not slots:
             return set()
-        grams = {tuple(part[k : k + RUN]) for k in range(len(part) - RUN + 1)}
-        return {self.items[s] for s in slots if grams & self.runs[s]}
+        grams = [f" {' '.join(part[k : k + RUN])} " for k in range(len(part) - RUN + 1)]
+        return {self.items[s] for s in slots if any(g in self.passages[s] for g in grams)}
 
 
 def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
