@@ -35,7 +35,7 @@ ANSWER = 16
 RUNS = 32
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
-#: Items of a posting block, and items that one broadcast index may hold: about 100 MB in each worker.
+#: Items of a posting block, and items that one broadcast index may hold: about 140 MB in each worker.
 BLOCK, ITEM_BOUND = 16, 5_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -66,6 +66,7 @@ class Index:
         idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in frequency.items()}
         postings = defaultdict(list)
         self.passages = [f" {' '.join(words[i])} " for i in self.items]
+        self.runs = [{hash(tuple(w[k : k + RUN])) for k in range(len(w) - RUN + 1)} for w in map(words.get, self.items)]
         for slot, i in enumerate(self.items):
             w, tf = words[i], Counter(words[i])
             weight = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / average)) for t, f in tf.items()}
@@ -158,8 +159,9 @@ class Index:
         slots = [s for s in self.retrieve(list(terms)) if self.items[s] not in known]
         if not slots:
             return set()
-        grams = [f" {' '.join(part[k : k + RUN])} " for k in range(len(part) - RUN + 1)]
-        return {self.items[s] for s in slots if any(g in self.passages[s] for g in grams)}
+        hashes = [hash(tuple(part[k : k + RUN])) for k in range(len(part) - RUN + 1)]
+        # an equal hash is looked at word by word
+        return {self.items[s] for s in slots if any(h in self.runs[s] and f" {' '.join(part[k : k + RUN])} " in self.passages[s] for k, h in enumerate(hashes))}
 
 
 def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
