@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,6 +167,43 @@ class TextQuery:
         return F.size(F.filter(tokens, lambda w: w.isin(*terms))).cast("bigint") if terms else F.lit(0).cast("bigint")
 
 
+#: Fixed value: weight of a word without a label in a cover.
+COVER_WEIGHT = 0.1
+
+
+def covers(tokens: list[str], groups: list[list[list[str]]]) -> list[tuple[int, int, int]]:
+    """(first, last, hits) of the shortest spans that hold every phrase of one group; spans do not hold each other.
+
+    One pass: a span ends where the latest occurrences of a group's phrases first begin later than those of the span before.
+    """
+    phrases = {tuple(p) for g in groups for p in g}
+    wanted = {w for p in phrases for w in p}
+    hits, latest, out = [], {}, []
+    for at, word in enumerate(tokens):
+        if word not in wanted:
+            continue
+        hits.append(at)
+        for p in phrases:
+            if p[-1] == word and at + 1 >= len(p) and tuple(tokens[at + 1 - len(p) : at + 1]) == p:
+                latest[p] = at + 1 - len(p)
+        begin = max((min(latest[tuple(p)] for p in g) for g in groups if g and all(tuple(p) in latest for p in g)), default=-1)
+        if begin > (out[-1][0] if out else -1):
+            out.append((begin, at, len(hits) - bisect_left(hits, begin)))
+    return out
+
+
+def cover_density(tokens: Column, query: str) -> Column:
+    """Rank of a token array by cover density: each shortest span counts ``COVER_WEIGHT``, divided by one more than the
+    words in it that were not asked for. Exclusions play no part; 0 without a span. Arrow batches, for rows that match."""
+    groups = [[terms for terms, negated in g if not negated] for g in TextQuery.of(query).any_of]
+
+    @F.pandas_udf("double")
+    def rank(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ts: 0.0 if ts is None else float(sum(COVER_WEIGHT / (1 + (b - a) - (n - 1)) for a, b, n in covers(list(ts), groups))))
+
+    return rank(tokens)
+
+
 def keyword_rank(chunks: DataFrame, query: str, k: int, id_column: str = "chunk_id", text: str = "content") -> DataFrame:
     """The k matching rows by term hits per word (a stand-in for cover density: only its order is used), ties by id."""
     q = TextQuery.of(query)

@@ -429,3 +429,12 @@ def embedded_texts(spark, d):
 
     e = embed(table(spark, d, "documents").select("doc_id", "text"), "text", lambda ts: [[float(len(t)), float(t.count(" "))] for t in ts], 2)
     return e.select("doc_id", F.col("embedding")[0].cast("double").alias("letters"), F.col("embedding")[1].cast("double").alias("blanks"))
+
+
+@query(f"""with t as (select doc_id, {WORDS.format('text')} as w from documents), h as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from t where list_contains(w, 'plafond') and list_contains(w, 'raster')), k as (select doc_id, i, w[i] as x from h where w[i] in ('plafond', 'raster')),
+p as (select doc_id, i, x, lag(i) over z as j, lag(x) over z as y from k window z as (partition by doc_id order by i)) select doc_id, round(coalesce(sum(0.1 / (i - j)) filter (x <> y), 0), 9)::double as density from p group by 1""")
+def cover_ranks(spark, d):
+    """Texts that hold two words, ranked by how closely they stand together."""
+    t = table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    found = t.where(F.array_contains("w", "plafond") & F.array_contains("w", "raster"))
+    return found.select("doc_id", F.round(retrieval.cover_density(F.col("w"), "plafond raster"), 9).alias("density"))

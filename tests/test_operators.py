@@ -405,3 +405,13 @@ def test_values_that_sources_get_wrong(spark):
     assert at == ["09 00:00:00", "09 08:00:00", "09 08:00:00", "09 10:00:00", None, None, None, None]
     assert one(spark, parsing.xml_escape(F.lit("<A> & b"))) == "&lt;A&gt; &amp; b" and one(spark, parsing.xml_escape(F.lit(""))) == "-"
     assert one(spark, parsing.tail_tokens(F.lit(" a  b c "), 2)) == "b c" and one(spark, parsing.tail_tokens(F.lit(None).cast("string"), 2)) == "" and one(spark, parsing.tail_tokens(F.lit("a"), 0)) == ""
+
+
+def test_covers(spark):
+    of = lambda text, q: retrieval.covers(text.split(), [[t for t, neg in g if not neg] for g in retrieval.TextQuery.of(q).any_of])
+    assert of("a x b b y y y a", "a b") == [(0, 2, 2), (3, 7, 2)]
+    assert of("a b a", "a or b") == [(0, 0, 1), (1, 1, 1), (2, 2, 1)]
+    assert of("in een raster x raster in een raster", '"een raster"') == [(1, 2, 2), (6, 7, 2)]
+    assert of("a b", "a c") == [] and of("", "a") == [] and of("a b", "a -b") == [(0, 0, 1)]
+    df = spark.createDataFrame([(["a", "x", "b"],), (None,), ([],)], "w array<string>")
+    assert [r.r for r in df.select(retrieval.cover_density(F.col("w"), "a b").alias("r")).collect()] == [0.05, 0.0, 0.0]
