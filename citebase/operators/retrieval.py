@@ -22,6 +22,8 @@ from citebase.session import checkpointed
 QUERY_BLOCK = 2000
 #: Fixed values of the fusion: rank offset, weight of the trust bonus, sizes of pool, result and grounding.
 RANK_OFFSET, TRUST, POOL, LIMIT, GROUNDING = 60, 0.004, 300, 20, 12
+#: Columns of a fact by the names that ``requirement_status`` has for them.
+FACT = {"number": "value_numeric", "upper": "value_numeric_max", "text": "value_text", "enum": "value_enum", "flag": "value_bool"}
 
 
 def requirement_status(op: Column, wanted: Column, fact: dict[str, Column], ordinals: Column, stated: Column) -> Column:
@@ -54,12 +56,21 @@ def evaluate_requirements(products: DataFrame, requirements: DataFrame, definiti
     requirements: key, op, value; definitions: key, ordinals (map); facts: the current rows product_id, key, value_numeric,
     value_numeric_max, value_text, value_enum, value_bool, presence. Each product meets each requirement once (requirements
     are those of one search and are exploded from a literal array, not cross-joined); unknown keys are unknown.
+
+    The facts asked for are gathered by product and joined before the requirements are put to the products, so what is
+    shuffled follows products and facts, not their pairs with requirements, and a later grouping by product needs no shuffle.
+    The join is a merge by hint: the planner's estimate of exploded facts is many times too low, and the driver would have
+    to build the broadcast of them all.
     """
     asked = requirements.join(definitions, "key", "left").select("key", "op", F.col("value").alias("wanted"), "ordinals", F.col("ordinals").isNotNull().alias("known"))
-    each = with_each(products.select("product_id"), asked)
-    both = each.join(facts, ["product_id", "key"], "left")
-    fact = {"number": F.col("value_numeric"), "upper": F.col("value_numeric_max"), "text": F.col("value_text"), "enum": F.col("value_enum"), "flag": F.col("value_bool")}
-    stated = F.col("known") & F.col("presence").isNotNull() & (F.col("presence") != "not_stated")
+    keys = sorted({r.key for r in requirements.select("key").collect()} - {None})
+    useful = facts.where(F.col("product_id").isNotNull() & F.col("key").isin(keys))
+    held = useful.groupBy("product_id").agg(F.collect_list(F.struct("key", *FACT.values(), "presence")).alias("_held"))
+    each = with_each(products.select("product_id").join(held.hint("merge"), "product_id", "left"), asked)
+    both = each.withColumn("_fact", F.explode_outer(F.filter("_held", lambda f: f["key"] == F.col("key"))))
+    fact = {name: F.col(f"_fact.{c}") for name, c in FACT.items()}
+    presence = F.col("_fact.presence")
+    stated = F.col("known") & presence.isNotNull() & (presence != "not_stated")
     return both.select("product_id", "key", requirement_status(F.col("op"), F.col("wanted"), fact, F.col("ordinals"), stated).alias("status"))
 
 

@@ -415,3 +415,32 @@ def test_covers(spark):
     assert of("a b", "a c") == [] and of("", "a") == [] and of("a b", "a -b") == [(0, 0, 1)]
     df = spark.createDataFrame([(["a", "x", "b"],), (None,), ([],)], "w array<string>")
     assert [r.r for r in df.select(retrieval.cover_density(F.col("w"), "a b").alias("r")).collect()] == [0.05, 0.0, 0.0]
+
+
+def test_requirements_broadcast_no_facts(spark, sf_dir):
+    """Facts exploded from a small file are many times its size: a broadcast of them is built in the driver."""
+    from citebase.plans import catalogue
+
+    for name in ("requirement_grading", "requirement_status"):
+        df = catalogue.QUERIES[name](spark, sf_dir)
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
+
+
+def test_requirements_of_odd_rows(spark):
+    """Doubled and null products, doubled facts, facts and keys that nobody asks for, no requirement at all."""
+    products = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "product_id int")
+    facts = [(1, "a", 5.0, "stated"), (1, "b", 1.0, "not_stated"), (1, "zzz", 5.0, "stated"), (2, "a", 1.0, "stated"), (2, "a", 9.0, "stated"), (2, None, 5.0, "stated"), (9, "a", 5.0, "stated"), (None, "a", 5.0, "stated")]
+    none = [F.lit(None).cast(t).alias(f"value_{c}") for c, t in (("numeric_max", "double"), ("text", "string"), ("enum", "string"), ("bool", "boolean"))]
+    facts = spark.createDataFrame(facts, "product_id int, key string, value_numeric double, presence string").select("*", *none)
+    definitions = spark.createDataFrame([(k, {"-": 0}) for k in ("a", "b")], "key string, ordinals map<string,int>")
+    asked = spark.createDataFrame([("a", ">=", "3"), ("a", "<=", "3"), ("b", ">=", "1"), (None, ">=", "1"), ("ghost", ">=", "1")], "key string, op string, value string")
+    status = retrieval.evaluate_requirements(products, asked, definitions, facts)
+    got = sorted((r.product_id or 0, r.key or "", r.status) for r in status.collect())
+    unknown = lambda *keys: [(k, "unknown") for k in ("", "b", "ghost", *keys)]
+    want = {0: unknown("a", "a"), 1: [*unknown(), ("a", "met"), ("a", "unmet")] * 2, 2: [*unknown(), *[("a", "met"), ("a", "unmet")] * 2], 3: unknown("a", "a")}
+    assert got == sorted((p, *x) for p, xs in want.items() for x in xs)
+    graded = {r.product_id: (r.met, r.unmet, len(r.unknown)) for r in retrieval.grade(status, strict=False).collect()}
+    assert graded[2] == (["a", "a"], ["a", "a"], 2) and graded[3] == ([], [], 4)  # a key that is null is in no list
+    assert retrieval.evaluate_requirements(products, asked.where("false"), definitions, facts).collect() == []
